@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from sieveline.llm.line_dedup import OP2_SQL, op2_line_dedup
+from sieveline.llm.minhash import OP6_SQL, op6_minhash_near_dedup
 from sieveline.llm.packing import op3_packing
 from sieveline.llm.secrets import op10_secrets
 
@@ -17,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL}

@@ -1,73 +1,18 @@
-"""Helpers the training-data operators share: scratch tables, joins that
-survive hot keys, and small text expressions.
-
-Nothing here collects rows to the driver.  Scratch tables live under the folder
-named by ``spark.checkpoint.dir``, which every executor can reach, so a lost
-executor only costs the tasks that read from it.
-"""
+"""Small text and column expressions that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.sources.scratch import clear_scratch, drop_path, materialise, rekeyed, scratch_path, scratch_root  # noqa: F401
+
 #: The six ASCII white-space characters 0x20 and 0x09-0x0D as a Java class.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sieveline"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to a scratch table and return the table.
-
-    It cuts the lineage: what follows reads the files, never the plan above.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete one scratch table."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this session's shared folder."""
-    drop_path(spark, scratch_root(spark))
-
-
-def rekeyed(column: Column, kind: str = "long") -> Column:
-    """``column``, as an expression whose partitioning Spark doesn't know.
-
-    A table that was just grouped by a key would be joined on it without a new
-    exchange, and adaptive execution can only split a hot key where both sides
-    of the join are exchanged for that join.  The regrouped side is small.
-    """
-    return F.concat(column, F.lit("")) if kind == "string" else column.bitwiseXOR(F.lit(0).cast("long"))
-
-
 def or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
