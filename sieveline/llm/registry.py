@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sieveline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from sieveline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from sieveline.llm.minhash import OP6_SQL, op6_minhash_near_dedup
+from sieveline.llm.mixing import op9_mixing
 from sieveline.llm.packing import op3_packing
 from sieveline.llm.secrets import op10_secrets
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
     }
 
