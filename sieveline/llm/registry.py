@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from sieveline.llm.langid import op1_language_id
 from sieveline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from sieveline.llm.minhash import OP6_SQL, op6_minhash_near_dedup
 from sieveline.llm.mixing import op9_mixing
@@ -16,6 +17,7 @@ from sieveline.llm.secrets import op10_secrets
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op5_exact_dedup": op5_exact_dedup,
