@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at_text = batch.schema.get_field_index("__text")
+            at_text = kept.index(text_col)
             for at in range(0, len(batch), chunk):
                 part = batch.slice(at, chunk)
                 texts = [t or "" for t in part.column(at_text).to_pylist()]
@@ -172,12 +172,12 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", c
                 pred = [languages[k] if ok else UNKNOWN for k, ok in zip(top, known)]
                 mix = [[(languages[k], float(share[r, k])) for k in np.flatnonzero(share[r])] if ok else [] for r, ok in enumerate(known)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for k, c in enumerate(part.columns) if k != at_text), pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0)), pa.array(mix, pa.map_(pa.string(), pa.float64()))],
-                    names=[*(x for k, x in enumerate(part.schema.names) if k != at_text), "lang_pred", "score", "lang_mix"],
+                    [*part.columns, pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0)), pa.array(mix, pa.map_(pa.string(), pa.float64()))],
+                    names=[*part.schema.names, "lang_pred", "score", "lang_mix"],
                 )
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_mix")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, lang_mix map<string,double>")
 
