@@ -58,7 +58,7 @@ def weighted_average(states: DataFrame, sizes: DataFrame, private: list[str] | N
     """
     rows = states.where(~is_private(F.col("key"), private or [])).join(F.broadcast(sizes), "client")  # a row for each client
     g = rows.groupBy("key", "idx").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.min_by("value", "client").alias("first"), F.min("is_float").alias("is_float"))
-    return g.select("key", "idx", F.when("is_float", F.col("mean")).otherwise(F.col("first")).alias("value"))
+    return g.select("key", "idx", F.when(F.col("is_float"), F.col("mean")).otherwise(F.col("first")).alias("value"))
 
 
 def payload(states: DataFrame, private: list[str] | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import curation, partitioning
+from sieveline.plans import curation, evaluation, partitioning
 
-MODULES = (curation, partitioning)
+MODULES = (curation, partitioning, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
