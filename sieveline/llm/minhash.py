@@ -311,9 +311,9 @@ def near_duplicates(
     words: int = 5,
     percent: int = 80,
     trees: int = 10,
-    leaf: int = 160,
-    branches: int = 3,
-    depth: int = 4,
+    leaf: int = 1000,
+    branches: int = 2,
+    depth: int = 12,
     part_rows: int = 96,
     leaders: int = 4,
     id_col: str = "doc_id",
@@ -326,8 +326,11 @@ def near_duplicates(
     reachable over links and ``kept`` marks the rows with that id.
 
     A pair at the threshold misses a tree with probability 0.2 at its root and
-    0.008 at each further level, and all ten trees with less than one in a
-    million.  Signatures only propose: a pair is proposed from 4.5 standard
+    0.04 at each further level, which only nodes of more than ``leaf`` documents
+    have: it misses all ten trees with a probability of one in ten million, or of
+    two in a million two levels down.  A token that many documents share is
+    branched ``branches`` ways at a level, so where it is a third of their tokens
+    the rows of large nodes fall by a third each level.  Signatures only propose: a pair is proposed from 4.5 standard
     deviations below the threshold, and full sets decide.
 
     Null texts and texts without words have no shingles and link with nothing.
