@@ -8,7 +8,6 @@ are sketched again at twice the size.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -113,19 +112,20 @@ class Sketches:
         none = np.empty(0, np.int64)
         return np.concatenate([none, *found]), np.concatenate([none, *signs]), left == 0
 
-    def texts(self, number: np.ndarray) -> list[str]:
-        """Each sketch as text: cells a hash, digests, then the cells, base64."""
+    def packed(self, number: np.ndarray) -> list[bytes]:
+        """Each sketch as bytes: cells a hash and digests (4 each), then 11 for each
+        cell, its count modulo 256, the digests' xor and 16 bits of the checks'."""
+        count, check = self.count.astype(np.uint8), (self.check >> U64(48)).astype("<u2")
         out = []
-        for k, (b, s) in enumerate(zip(self.begin, self.size)):
+        for b, s, n in zip(self.begin.tolist(), self.size.tolist(), number.tolist()):
             part = slice(b, b + HASHES * s)
-            data = self.count[part].astype("<i4").tobytes() + self.key[part].astype("<u8").tobytes() + (self.check[part] >> U64(32)).astype("<u4").tobytes()
-            out.append(f"{s}.{number[k]}.{base64.b64encode(data).decode()}")
+            out.append(np.array([s, n], "<u4").tobytes() + count[part].tobytes() + self.key[part].astype("<u8").tobytes() + check[part].tobytes())
         return out
 
 
 def sketch_size(n: np.ndarray) -> np.ndarray:
-    """Cells a hash for n digests: a power of two near n / 2, 8 at least."""
-    return (1 << np.maximum(3, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 1)).astype(np.int64)
+    """Cells a hash for n digests: a power of two near n / 4, 4 at least."""
+    return (1 << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 2)).astype(np.int64)
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +133,12 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, U64), *sets]), np.repeat(np.arange(len(sets)), size)
 
 
-def sketches(sets: list[np.ndarray]) -> list[str]:
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
     """The fingerprint of each set of digests."""
     n = np.array([len(s) for s in sets], np.int64)
     made = Sketches(sketch_size(n))
     made.change(*_flat(sets), 1)
-    return made.texts(n)
+    return made.packed(n)
 
 
 def likeness(a: list[np.ndarray], b: list[np.ndarray], tries: int = 12) -> np.ndarray:
@@ -166,7 +166,8 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], tries: int = 12) -> np.nd
     return np.where(na + nb > 0, common / np.maximum(common + differ, 1), 1.0)
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What the tasks return: digest and sketches as bytes, written as text in the end.
+RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _versions(ids: pa.Array, texts: list[str], after: list[str], own: list[np.ndarray] | None = None, chunk: int = 128) -> Iterator[list]:
@@ -182,7 +183,7 @@ def _versions(ids: pa.Array, texts: list[str], after: list[str], own: list[np.nd
         yield [
             ids.slice(at, chunk),
             pa.array([len(t) for t in text], pa.int64()),
-            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
+            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited]),
             pa.array(sketches(sets)),
             pa.array(sketches(changed)),
             pa.array(likeness(sets, changed)),
@@ -215,7 +216,7 @@ def fingerprint_versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         kept = [*names, "part", "role", "text"]
 
         def border(ids: pa.Array, text: str, role: int) -> pa.RecordBatch:
-            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([ids, *empty, pa.array([part], pa.int32()), pa.array([role], pa.int32()), pa.array([text])], names=kept)
 
         for batch in batches:
@@ -245,7 +246,9 @@ def fingerprint_versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             for columns in _versions(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return made.where("role = 0").select(*names).unionByName(borders.mapInArrow(finish, f"doc_id {id_type}, {RESULT}"))
+    out = made.where("role = 0").select(*names).unionByName(borders.mapInArrow(finish, f"doc_id {id_type}, {RESULT}"))
+    text = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")}
+    return out.select(*[text.get(c, F.col(c)).alias(c) for c in names])
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

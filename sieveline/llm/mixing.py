@@ -166,7 +166,7 @@ def mix_sources(
     source, this = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
     null = F.array(F.lit(None).cast("string"))
     if isinstance(docs.schema[source_col].dataType, T.ArrayType):
-        pattern = F.when(F.size(F.coalesce(source, null)) > 0, F.array_sort(F.array_distinct(source))).otherwise(null)
+        pattern = F.when(F.size(F.coalesce(source, F.array().cast("array<string>"))) > 0, F.array_sort(F.array_distinct(source))).otherwise(null)
     else:
         pattern = F.array(source.cast("string"))
     text = docs.withColumns(

@@ -13,7 +13,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -190,16 +189,19 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, shard_rows: int = 4096, sla
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, __closed boolean"
 
     def shard(round_no: int, last: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat(list(frames), ignore_index=True) if frames else None
-            if rows is None or rows.empty:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if len(b)]
+            if not held:
                 return
+            rows = pa.Table.from_batches(held)
+            lengths = rows.column("length").to_numpy()
             # Long pieces first: the short ones then fill the gaps; within a length the order is fixed.
-            order = np.argsort(-rows["length"].to_numpy(), kind="stable")
-            rows = rows.iloc[order].reset_index(drop=True)
-            where, offset, level = sum_of_squares(rows["length"].to_numpy(), capacity)
+            order = np.argsort(-lengths, kind="stable")
+            where, offset, level = sum_of_squares(lengths[order], capacity)
             number = (round_no << 56) + (TaskContext.get().partitionId() << 24)
-            yield rows.assign(sequence_id=number + where, offset=offset, __closed=last | (level[where] >= capacity - slack))
+            closed = np.full(len(where), last) | (level[where] >= capacity - slack)
+            rows = rows.take(pa.array(order)).append_column("sequence_id", pa.array(number + where)).append_column("offset", pa.array(offset)).append_column("__closed", pa.array(closed))
+            yield from rows.combine_chunks().to_batches()
 
         return run
 
@@ -209,7 +211,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, shard_rows: int = 4096, sla
         shards = max(1, -(-count // shard_rows))
         # A round that closed too little would go on for ever: then the rest is closed as it is.
         last = shards == 1 or round_no == max_rounds - 1 or (before is not None and count > 0.9 * before)
-        placed = rest.repartition(shards).mapInPandas(shard(round_no, last), out_schema)
+        placed = rest.repartition(shards).mapInArrow(shard(round_no, last), out_schema)
         if last:
             done.append(placed)
             break
