@@ -69,9 +69,9 @@ def holm(df: DataFrame, p: str, *, alpha: float = 0.05, by: Sequence[str] = (),
 
 def paired_differences(df: DataFrame, *, unit: str, arm: str, value: str, reference: str) -> DataFrame:
     """(arm, unit, d): each arm's mean minus the reference's, unit by unit."""
-    means = df.groupBy(unit, arm).agg(F.avg(value).alias("m")).where("m IS NOT NULL AND NOT isnan(m)")
-    ref = means.where(F.col(arm) == reference).select(unit, F.col("m").alias("ref"))
-    return means.where(F.col(arm) != reference).join(ref, unit).select(arm, unit, (F.col("ref") - F.col("m")).alias("d"))
+    means = df.groupBy(unit, arm).agg(F.avg(value).alias("__m")).where("__m IS NOT NULL AND NOT isnan(__m)")
+    ref = means.where(F.col(arm) == reference).select(unit, F.col("__m").alias("__ref"))
+    return means.where(F.col(arm) != reference).join(ref, unit).select(arm, unit, (F.col("__ref") - F.col("__m")).alias("d"))
 
 
 def signed_rank(diffs: DataFrame, arm: str) -> DataFrame:

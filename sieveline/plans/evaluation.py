@@ -389,7 +389,7 @@ cn AS (SELECT client, idx, m / nm AS v FROM mn JOIN nr USING (client))"""
 _CAM = "mm AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings), cam AS (SELECT vec_id, list_transform(a, lambda x: (x - list_min(a)) / (list_max(a) - list_min(a))) AS a, list_transform(b, lambda x: (x - list_min(b)) / (list_max(b) - list_min(b))) AS b FROM mm)"
 _HEADS = values([(c, [[float((c + k) % 3 - 1), float((2 * c + k) % 5 - 2)] for k in range(3)]) for c in range(3)], "client, w")
 _WIN = "ref AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0 ORDER BY md5('5:' || vec_id), vec_id LIMIT 128), cur AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1 ORDER BY md5('5:' || vec_id), vec_id LIMIT 128)"
-_LEVELS = "(SELECT round(0.5 + 0.05 * k, 2) AS coverage FROM (SELECT unnest(range(11)) AS k))"
+_LEVELS = "(SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS coverage FROM (SELECT unnest(range(11)) AS k))"
 
 from sieveline.functions.dist import t_quantile  # noqa: E402
 

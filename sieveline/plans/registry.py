@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import curation, evaluation, partitioning
+from sieveline.plans import curation, evaluation, kernels, partitioning
 
-MODULES = (curation, partitioning, evaluation)
+MODULES = (curation, partitioning, evaluation, kernels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
