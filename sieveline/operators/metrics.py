@@ -174,3 +174,15 @@ def coverage_risk(df: DataFrame, uncertainty: Column, wrong: Column, missed: Col
         F.round(F.sum("wrong") / F.sum("k"), 9).alias("selective_error"),
         F.round(F.sum("fn") / F.greatest(F.sum("pos"), F.lit(1)), 9).alias("selective_fn_rate"),
     )
+
+
+def selective(df: DataFrame, accepted: str = "accepted") -> DataFrame:
+    """The accepted rows, or all rows where none is accepted."""
+    some = df.agg(F.coalesce(F.bool_or(accepted), F.lit(False)).alias("__some"))
+    return df.crossJoin(F.broadcast(some)).where(F.col(accepted) | ~F.col("__some")).drop("__some")
+
+
+def waterfall(counts: DataFrame, step: str, order: str, n: str) -> DataFrame:
+    """Running totals of removals: start and end of each step's bar; a row for each step."""
+    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.select(step, order, n, (F.sum(n).over(run) - F.col(n)).alias("start"), F.sum(n).over(run).alias("end"))

@@ -154,3 +154,9 @@ def repair(assigned: DataFrame, label: str, *, clients: int, classes: int, least
         target = F.when(here, client).otherwise(target)
         given[donor, k] = at + rows
     return ranked.withColumn("__to", target).drop("client", "r", "n").withColumnRenamed("__to", "client")
+
+
+def same_shards(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("vec_id", "client")) -> DataFrame:
+    """Rows in which two assignments differ; empty if they are equal."""
+    x, y = a.select(*columns), b.select(*columns)
+    return x.exceptAll(y).unionByName(y.exceptAll(x))
