@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.rng import hash_key
+from sieveline.functions.rng import hash_key, uniform
 
 
 def rank_in(df: DataFrame, by: Sequence[str], seed: int | str, id_col: str) -> DataFrame:
@@ -28,8 +28,6 @@ def stratified_split(df: DataFrame, label: str, *, id_col: str, seed: int = 42,
 
 def split_groups(df: DataFrame, group: str, *, seed: int = 42, test: float = 0.2, val: float = 0.1) -> DataFrame:
     """``split`` by whole groups: a group's hash decides, so no group straddles."""
-    from sieveline.functions.rng import uniform
-
     u = uniform(seed, F.col(group))
     return df.withColumn("split", F.when(u < test, "test").when(u < test + val, "val").otherwise("train"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.dist import t_quantile
 from sieveline.functions.arrays import doubles, entropy, margin, softmax
 from sieveline.operators import attribution as X
 from sieveline.operators import inference as R
@@ -391,8 +392,6 @@ _HEADS = values([(c, [[float((c + k) % 3 - 1), float((2 * c + k) % 5 - 2)] for k
 _WIN = "ref AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0 ORDER BY md5('5:' || vec_id), vec_id LIMIT 128), cur AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1 ORDER BY md5('5:' || vec_id), vec_id LIMIT 128)"
 _LEVELS = "(SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS coverage FROM (SELECT unnest(range(11)) AS k))"
 
-from sieveline.functions.dist import t_quantile  # noqa: E402
-
 _T = values([(n, t_quantile(0.975, n - 1)) for n in range(2, 65)], "n, q")
 
 ORACLES = {
