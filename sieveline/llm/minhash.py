@@ -35,7 +35,7 @@ COORDINATES = 128
 class _WordHash(dict):
     """Word -> 64-bit hash; starts anew when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -33,7 +33,7 @@ class WordIds(dict):
     ``limit`` bounds the memory; the table starts anew when it is full.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import json
         import re
 
