@@ -124,8 +124,12 @@ class Sketches:
 
 
 def sketch_size(n: np.ndarray) -> np.ndarray:
-    """Cells a hash for n digests: a power of two near n / 4, 4 at least."""
-    return (1 << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 2)).astype(np.int64)
+    """Cells a hash for n digests: a power of two near n / 8, 4 at least.
+
+    A sketch recovers about as many differences as it has cells; versions that
+    differ in more are sketched again at twice the size.
+    """
+    return (1 << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 3)).astype(np.int64)
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
