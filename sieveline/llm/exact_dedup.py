@@ -86,9 +86,10 @@ def exact_dedup(
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(documents(spark, sf_dir))
-    digest = F.coalesce(F.col("full_hash"), F.sha2(normalised("text").cast("binary"), 256))
-    return found.select("doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
+    # The digest every row must have is taken at the scan, so that no text is exchanged.
+    digest = F.sha2(normalised("text").cast("binary"), 256)
+    docs = documents(spark, sf_dir).select("doc_id", "text", digest.alias("text_sha256"))
+    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP5_SQL = r"""
