@@ -2,7 +2,8 @@
 
 A cell holds a count, the xor of digests and the xor of their checks.  Two
 sketches of one size subtract cell by cell; peeling cells with a single digest
-recovers the digests in which two versions differ.  Where it gets stuck, both
+recovers the digests in which two versions differ.  A fingerprint is large
+enough for the edit of ``fingerprint_versions``.  Where peeling gets stuck, both
 are sketched again at twice the size.
 """
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.shared import documents, or_empty
@@ -33,6 +34,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def _check(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys ^ U64(0xA0761D6478BD642F)) >> U64(32)).astype(np.uint32)
+
+
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 500_000:
@@ -75,28 +80,30 @@ class Sketches:
         self.size = size.astype(np.int64)
         self.begin = HASHES * (np.cumsum(self.size) - self.size)
         cells = int(HASHES * self.size.sum())
-        self.count, self.key, self.check = np.zeros(cells, np.int32), np.zeros(cells, U64), np.zeros(cells, U64)
+        self.count, self.key, self.check = np.zeros(cells, np.int8), np.zeros(cells, U64), np.zeros(cells, np.uint32)
 
     def cells(self, keys: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
         size, begin = self.size[of].astype(U64), self.begin[of]
         return [begin + j * self.size[of] + (_mix(keys + U64(j + 1)) % size).astype(np.int64) for j in range(HASHES)]
 
     def change(self, keys: np.ndarray, of: np.ndarray, by: np.ndarray | int) -> None:
-        """Insert (by = 1) or remove (by = -1) keys."""
-        check = _mix(keys ^ U64(0xA0761D6478BD642F))
+        """Insert (by = 1) or remove (by = -1) keys; counts are modulo 256."""
+        check = _check(keys)
         for at in self.cells(keys, of):
-            np.add.at(self.count, at, np.int32(by) if np.isscalar(by) else by.astype(np.int32))
+            np.add.at(self.count, at, np.int8(by) if np.isscalar(by) else by.astype(np.int8))
             np.bitwise_xor.at(self.key, at, keys)
             np.bitwise_xor.at(self.check, at, check)
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Empty the sketches: (sketch, sign) of each digest found, and which sketches came out empty."""
         of_cell = np.repeat(np.arange(len(self.size)), HASHES * self.size)
-        found, signs = [], []
+        found, signs, taken = [], [], 0
         look = np.flatnonzero(self.count)
-        while len(look):
+        while len(look) and taken <= len(self.count):  # a digest that isn't one, let through by its check, could come and go for ever
             pure = look[np.abs(self.count[look]) == 1]
-            pure = pure[self.check[pure] == _mix(self.key[pure] ^ U64(0xA0761D6478BD642F))]
+            pure = pure[self.check[pure] == _check(self.key[pure])]
+            if len(pure):
+                pure = pure[np.any([at == pure for at in self.cells(self.key[pure], of_cell[pure])], axis=0)]
             if not len(pure):
                 break
             # A digest may be alone in several of its cells: take it once.
@@ -106,6 +113,7 @@ class Sketches:
             keys, of, sign = self.key[pure].copy(), of_cell[pure], self.count[pure].astype(np.int64)
             found.append(of)
             signs.append(sign)
+            taken += len(of)
             self.change(keys, of, -sign)
             look = np.unique(np.concatenate(self.cells(keys, of)))
         left = np.bincount(of_cell, weights=(self.count != 0) | (self.key != 0), minlength=len(self.size))
@@ -113,23 +121,49 @@ class Sketches:
         return np.concatenate([none, *found]), np.concatenate([none, *signs]), left == 0
 
     def packed(self, number: np.ndarray) -> list[bytes]:
-        """Each sketch as bytes: cells a hash and digests (4 each), then 11 for each
-        cell, its count modulo 256, the digests' xor and 16 bits of the checks'."""
-        count, check = self.count.astype(np.uint8), (self.check >> U64(48)).astype("<u2")
+        """Each sketch as bytes: cells a hash and digests (4 each), then 13 for each
+        cell, its count modulo 256, the digests' xor and the xor of their checks."""
         out = []
         for b, s, n in zip(self.begin.tolist(), self.size.tolist(), number.tolist()):
             part = slice(b, b + HASHES * s)
-            out.append(np.array([s, n], "<u4").tobytes() + count[part].tobytes() + self.key[part].astype("<u8").tobytes() + check[part].tobytes())
+            out.append(np.array([s, n], "<u4").tobytes() + self.count[part].tobytes() + self.key[part].astype("<u8").tobytes() + self.check[part].astype("<u4").tobytes())
         return out
 
 
+def unpacked(print_: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells a hash, digests, and the cells' counts, xors of digests and of checks, a row for each hash."""
+    s, n = np.frombuffer(print_, "<u4", 2).tolist()
+    cells = HASHES * s
+    count, key, check = np.frombuffer(print_, np.int8, cells, 8), np.frombuffer(print_, "<u8", cells, 8 + cells), np.frombuffer(print_, "<u4", cells, 8 + 9 * cells)
+    return s, n, count.reshape(HASHES, s), key.reshape(HASHES, s), check.reshape(HASHES, s)
+
+
+def subtracted(a: list[bytes], b: list[bytes]) -> Sketches:
+    """The differences of pairs of fingerprints.
+
+    Sizes are powers of two, so that the larger of a pair folds to the smaller
+    one's size.
+    """
+    pairs = [(unpacked(x), unpacked(y)) for x, y in zip(a, b)]
+    made = Sketches(np.array([min(x[0], y[0]) for x, y in pairs], np.int64))
+    for (x, y), begin, s in zip(pairs, made.begin.tolist(), made.size.tolist()):
+        part = slice(begin, begin + HASHES * s)
+        fold = lambda v, how: (v if v.shape[1] == s else how.reduce(v.reshape(HASHES, -1, s), axis=1, dtype=v.dtype)).ravel()  # noqa: B023, E731
+        made.count[part] = fold(x[2], np.add) - fold(y[2], np.add)
+        made.key[part] = fold(x[3], np.bitwise_xor) ^ fold(y[3], np.bitwise_xor)
+        made.check[part] = fold(x[4], np.bitwise_xor) ^ fold(y[4], np.bitwise_xor)
+    return made
+
+
 def sketch_size(n: np.ndarray) -> np.ndarray:
-    """Cells a hash for n digests: a power of two near n / 8, 4 at least.
+    """Cells a hash for n digests: a power of two, 8 at least.
 
-    A sketch recovers about as many differences as it has cells; versions that
-    differ in more are sketched again at twice the size.
+    The edit of a third of a text removes n / 3 digests, adds as many and
+    changes those at its ends.  Three hashes peel from 1.22 cells a difference
+    on if there are many; this has 1.5, and 15 more for small texts.
     """
-    return (1 << np.maximum(2, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 3)).astype(np.int64)
+    cells = 1.5 * (2 * n / 3 + 2) + 15
+    return (1 << np.maximum(3, np.ceil(np.log2(cells / HASHES)).astype(np.int64))).astype(np.int64)
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,25 +179,27 @@ def sketches(sets: list[np.ndarray]) -> list[bytes]:
     return made.packed(n)
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray], tries: int = 12) -> np.ndarray:
-    """Jaccard likeness of pairs of digest sets from their sketches' differences.
+def likeness(a: list[np.ndarray], b: list[np.ndarray], prints: tuple[list[bytes], list[bytes]] | None = None, tries: int = 12) -> np.ndarray:
+    """Jaccard likeness of pairs of digest sets from their fingerprints' differences.
 
-    Sketches of the larger set's size are subtracted and peeled; pairs that
-    aren't recovered are tried again at twice the size.  Two empty sets are alike.
+    The fingerprints (``prints``, or else made here) are subtracted and peeled;
+    pairs that aren't recovered are sketched again at twice the larger one's
+    size, and so on.  Two empty sets are alike.
     """
     na, nb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
     differ, todo = np.zeros(len(a), np.int64), np.arange(len(a))
     size = sketch_size(np.maximum(na, nb))
+    made = subtracted(*(prints or (sketches(a), sketches(b))))
     for k in range(tries):
+        of, _, whole = made.peel()
+        differ[todo] = np.bincount(of, minlength=len(todo))
+        todo = todo[~whole]
         if not len(todo):
             break
+        size[todo] *= 2
         made = Sketches(size[todo])
         made.change(*_flat([a[i] for i in todo]), 1)
         made.change(*_flat([b[i] for i in todo]), -1)
-        of, _, whole = made.peel()
-        differ[todo] = np.bincount(of, minlength=len(todo))
-        todo = todo[~whole]
-        size[todo] *= 2
     for i in todo:  # never seen: two digests that share all cells at every size
         differ[i] = len(np.setxor1d(a[i], b[i]))
     common = (na + nb - differ) / 2
@@ -174,35 +210,45 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], tries: int = 12) -> np.nd
 RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _versions(ids: pa.Array, texts: list[str], after: list[str], own: list[np.ndarray] | None = None, chunk: int = 128) -> Iterator[list]:
+def _versions(ids: pa.Array, texts: list[str], after: list[str], chunk: int = 128) -> Iterator[list]:
     """Result columns for documents with their next documents' texts."""
     for at in range(0, len(texts), chunk):
         text, follow = texts[at : at + chunk], after[at : at + chunk]
         cut = [len(t) // 3 for t in text]
         edited = [t[: len(t) - n] + f[:n] for t, f, n in zip(text, follow, cut)]
-        sets = [digests(t) for t in text]
         # Mostly a document's next one is the row below it.
-        nexts = [sets[k + 1] if k + 1 < len(text) and follow[k] is text[k + 1] else digests(follow[k]) for k in range(len(text))]
+        below = [k + 1 < len(text) and follow[k] is text[k + 1] for k in range(len(text))]
+        others = [f for f, near in zip(follow, below) if not near]
+        n, sets = len(text), [digests(t) for t in [*text, *others]]
+        prints = sketches(sets)
+        rest = iter(range(n, len(sets)))
+        after_of = [k + 1 if near else next(rest) for k, near in enumerate(below)]
         changed = [digests(t) for t in edited]
+        changed_prints = sketches(changed)
         yield [
             ids.slice(at, chunk),
             pa.array([len(t) for t in text], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited]),
-            pa.array(sketches(sets)),
-            pa.array(sketches(changed)),
-            pa.array(likeness(sets, changed)),
-            pa.array(likeness(sets, nexts)),
+            pa.array(prints[:n]),
+            pa.array(changed_prints),
+            pa.array(likeness(sets[:n], changed, (prints[:n], changed_prints))),
+            pa.array(likeness(sets[:n], [sets[k] for k in after_of], (prints[:n], [prints[k] for k in after_of]))),
         ]
 
 
-def fingerprint_versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Bytes of text in a part.
+PART_BYTES = 12_000_000
+
+
+def fingerprint_versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last third of the code points replaced by as many
     of the next document's first ones, in descending order of ids; after the
-    last document comes the first.  Documents are dealt by ranges of ids, the
-    only exchange of texts; each task keeps back its last document, which then
-    meets the first one of the next task.
+    last document comes the first.  Bounds come from ranges of the ids alone.
+    Each range's texts go to one task, the only exchange of texts, together
+    with a copy of the next range's first document, so that fingerprints are
+    made after the exchange and never written between steps.
 
     Null texts count as empty.  Null ids come last; rows that repeat an id are
     ordered by a hash of their text.  An empty table gives an empty result, and
@@ -212,45 +258,47 @@ def fingerprint_versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), or_empty(F.col(f"`{text_col}`")).alias("text"))
     order = F.col("doc_id").desc_nulls_last()
-    dealt = rows.repartitionByRange(order).sortWithinPartitions(order, F.xxhash64("text"))
+    result = f"doc_id {id_type}, {RESULT}"
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0]
+    if n_bytes is None:
+        return spark.createDataFrame([], result.replace("binary", "string"))
+
+    def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), batch.column(0).slice(0, 1)], names=["part", "doc_id"])
+                return
+
+    ids = rows.select("doc_id").repartitionByRange(max(1, -(-n_bytes // part_bytes)), order).sortWithinPartitions(order)
+    firsts = [r[1] for r in sorted(ids.mapInArrow(first_of, f"part int, doc_id {id_type}").collect(), key=lambda r: r[0])]
+    n = len(firsts)
+    bounds = F.broadcast(spark.createDataFrame([(firsts,)], f"firsts array<{id_type}>"))  # an id for each part
+
+    def reached(k: Column) -> Column:
+        return (k < n) & (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.get("firsts", k), F.lit(False)))
+
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    part = F.aggregate(halves, F.lit(0), lambda at, step: F.when(reached(at + step), at + step).otherwise(at))
+    own = rows.crossJoin(bounds).select(part.alias("part"), F.lit(0).alias("role"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    starts = spark.createDataFrame([((k - 1) % n, i) for k, i in enumerate(firsts)], f"part int, first {id_type}")
+    heads = rows.join(F.broadcast(starts), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    heads = materialise(heads, "heads").select("part", F.lit(1).alias("role"), F.lit(0).cast("long").alias("h"), F.lit(None).cast(id_type).alias("doc_id"), "text")
+    dealt = own.unionByName(heads).repartitionById(n, F.col("part")).sortWithinPartitions("role", order, "h")
     names = ["doc_id", *(c.split()[0] for c in RESULT.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, first = TaskContext.get().partitionId(), None, True
-        kept = [*names, "part", "role", "text"]
-
-        def border(ids: pa.Array, text: str, role: int) -> pa.RecordBatch:
-            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([ids, *empty, pa.array([part], pa.int32()), pa.array([role], pa.int32()), pa.array([text])], names=kept)
-
+        held = None
         for batch in batches:
             if not len(batch):
                 continue
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            if first:
-                yield border(ids.slice(0, 1), texts[0], 2)
-                first = False
             if held is not None:
                 ids, texts = pa.concat_arrays([held[0], ids]), [held[1], *texts]
-            held = (ids.slice(len(ids) - 1), texts[-1])
+            held = (ids.slice(len(ids) - 1), texts[-1])  # in the end the head of the next part, which has no row here
             for columns in _versions(ids.slice(0, len(ids) - 1), texts[:-1], texts[1:]):
-                n = len(columns[0])
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string())], names=kept)
-        if held is not None:
-            yield border(held[0], held[1], 1)
-
-    made = materialise(dealt.mapInArrow(run, f"doc_id {id_type}, {RESULT}, part int, role int, text string"), "versions")
-    parts = sorted(r[0] for r in made.where("role = 2").select("part").collect())  # a number for each task
-    follows = spark.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part int, follow int")
-    heads = made.where("role = 2").select(F.col("part").alias("head"), F.col("text").alias("after"))
-    borders = made.where("role = 1").join(follows, "part").join(heads, F.col("follow") == F.col("head")).select("doc_id", "text", "after")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in _versions(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = made.where("role = 0").select(*names).unionByName(borders.mapInArrow(finish, f"doc_id {id_type}, {RESULT}"))
+    out = dealt.select("doc_id", "text").mapInArrow(run, result)
     text = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")}
     return out.select(*[text.get(c, F.col(c)).alias(c) for c in names])
 

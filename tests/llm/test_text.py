@@ -175,6 +175,25 @@ def test_sketch_difference_round_trip():
     assert len(of) == 2 and set(sign) == {1} and whole.all()
 
 
+def test_fingerprints_peel_the_edit():
+    words = random.Random(5)
+    text = lambda n: "\n".join(" ".join(words.choice("stone river cloud ember willow".split()) + str(words.randrange(9999)) for _ in range(6)) for _ in range(n))
+    for n in (6, 12, 24, 32, 100, 1000):
+        first, second = [text(n) for _ in range(20)], [text(n) for _ in range(20)]
+        edited = [t[: len(t) - len(t) // 3] + f[: len(t) // 3] for t, f in zip(first, second)]
+        a, b = ([FP.digests(t) for t in x] for x in (first, edited))
+        of, _, whole = FP.subtracted(FP.sketches(a), FP.sketches(b)).peel()
+        assert whole.sum() >= 18, n
+        found = np.bincount(of, minlength=20)
+        assert all(found[k] == len(np.setxor1d(a[k], b[k])) for k in np.flatnonzero(whole))
+
+
+def test_fingerprints_over_many_parts(spark):
+    docs = spark.createDataFrame([(k // 2 if k % 7 else None, prose(k, 30)) for k in range(60)], "doc_id long, text string")
+    got = lambda **more: sorted(FP.fingerprint_versions(docs, **more).collect(), key=str)
+    assert got() == got(part_bytes=900)
+
+
 def test_fingerprints_match_plain(spark):
     texts = [t for t in ODD] + [prose(k, 80) for k in range(40)] + [prose(5, 80)]
     docs = table(spark, texts)
