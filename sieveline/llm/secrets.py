@@ -24,18 +24,23 @@ ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*[
 ASSIGN_VALUE = r"[A-Za-z0-9+/_.=-]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
-#: Candidates for the entropy scan: runs of token characters with a digit in them.
+#: Candidates for the entropy scan: runs of token characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
-#: Least bits a character in a window, by the class of the candidate's characters.
-HEX_BITS, LOWER_BITS, MIXED_BITS = 3.1, 3.6, 3.9
-#: Candidates that are no secrets: UUIDs, documented sample keys, dates, version and path-like names.
+#: Least bits a character in a window, by the class of the candidate's characters; the README has the miss rates on
+#: random keys.  A long mixed candidate has many windows to reach its bits in; one made like words needs the most.
+HEX_BITS, LOWER_BITS, UPPER_BITS, SHORT_MIXED_BITS, MIXED_BITS, WORD_BITS = 2.9, 3.4, 3.3, 3.6, 3.9, 3.9
+SHORT_MIXED = 31
+#: Pieces of candidates that are no secrets: UUIDs, placeholders and documented sample keys, dates and versions.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"EXAMPLE|example|sample|placeholder|your_|xxxx|XXXX",
+    r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])",
+    r"wJalrXUtnFEMI/K7MDENG/",
+    r"(?<![0-9a-zA-Z])[0-9a-zA-Z]*?(?:EXAMPLE|example|sample|placeholder|your_|xxxx|XXXX)[0-9a-zA-Z]*",
     r"^[0-9/_=+-]+$",
-    r"^[A-Za-z]+([/_-][A-Za-z]+)*[/_=-]*[0-9]{0,4}$",
 )
+#: What words don't have: digits other than up to four at the end, and capitals that come and go.
+NO_WORDS = r"[0-9][/_=+-]*[A-Za-z]|[0-9]{5}|[0-9][/_=+-]+[0-9]|[A-Z][a-z][A-Z]"
+FILL = "="
 
 
 def _spans(text: Column, pattern: str, kind: int, least_inner: int | None = None) -> Column:
@@ -68,6 +73,11 @@ def entropy_windows(value: Column, window: int, least_bits: Column) -> Column:
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
     codes = F.filter(codes, lambda c: c > 0)
 
+    # bound once, or each step would work them out again
+    return F.flatten(F.transform(F.array(codes), lambda c: _slide(c, window, least_bits, table)))
+
+
+def _slide(codes: Column, window: int, least_bits: Column, table: Column) -> Column:
     def bump(state: Column, code: Column, by: int) -> Column:
         count = F.element_at(state["counts"], code)
         total = state["total"] + F.element_at(table, count + 1 + by) - F.element_at(table, count + 1)
@@ -96,10 +106,20 @@ def entropy_windows(value: Column, window: int, least_bits: Column) -> Column:
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
     )
     return F.when(
-        F.length(value) >= window, F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda s: s["spans"])
+        F.size(codes) >= window, F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda s: s["spans"])
     ).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
+def _blanked(value: Column, allowed: Sequence[str]) -> Column:
+    """``value`` with the pieces that an ``allowed`` pattern finds filled up."""
+    if not allowed:
+        return value
+    pattern = "|".join(f"(?:{p})" for p in allowed)
+    parts = F.split(F.regexp_replace(value, pattern, f"{EDGE}$0{EDGE}"), EDGE, -1)
+    filled = F.transform(parts, lambda part, k: F.when(k % 2 == 1, F.repeat(F.lit(FILL), F.length(part))).otherwise(part))
+    return F.when(value.rlike(pattern), F.array_join(filled, "")).otherwise(value)
+
+
 def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
     found = _spans(text, CANDIDATE % window, KINDS.index("entropy"))
 
@@ -107,16 +127,20 @@ def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
         value = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
 
         def scan(v: Column) -> Column:
-            bits = F.when(v.rlike("^[0-9a-fA-F]+$"), HEX_BITS).when(v.rlike("^[0-9a-z_=-]+$"), LOWER_BITS).otherwise(MIXED_BITS)
+            bits = (
+                F.when(v.rlike("^[0-9a-fA-F=]+$") & v.rlike("[0-9]"), HEX_BITS)
+                .when(~v.rlike(NO_WORDS), WORD_BITS)
+                .when(v.rlike("^[0-9a-z_=-]+$"), LOWER_BITS)
+                .when(v.rlike("^[0-9A-Z_=-]+$"), UPPER_BITS)
+                .when(F.length(v) <= SHORT_MIXED, SHORT_MIXED_BITS)
+                .otherwise(MIXED_BITS)
+            )
             return F.transform(
-                entropy_windows(v, window, bits),
+                F.flatten(F.transform(F.array(bits), lambda b: entropy_windows(v, window, b))),  # the class is found once
                 lambda s: F.struct((span["start"] + s["start"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (span["start"] + s["end"]).alias("end")),
             )
 
-        quiet = ~value.rlike("[0-9]")
-        for pattern in allowed:
-            quiet = quiet | value.rlike(pattern)
-        return F.when(quiet, F.array().cast(SPAN)).otherwise(F.element_at(F.transform(F.array(value), scan), 1))
+        return F.element_at(F.transform(F.array(_blanked(value, allowed)), scan), 1)
 
     return F.flatten(F.transform(found, inside))
 
@@ -134,8 +158,8 @@ def scan_secrets(
     indexes ``KINDS``.  Base spans are the matches of the fixed patterns,
     leftmost and not overlapping within a kind, that reach their least length.
     Entropy spans cover the windows of ``window`` characters of a candidate that
-    are too random for its class of characters.  Candidates without a digit, and
-    those an ``allowed`` pattern is found in, add nothing; base spans always stay.
+    are too random for its class of characters.  Pieces that an ``allowed``
+    pattern finds count as filled with one character; base spans always stay.
 
     Null texts count as empty.  An empty table gives an empty result; columns
     named like a result are replaced.
