@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.config import Evaluation, Sweep
 from sieveline.functions.dist import t_quantile
 from sieveline.functions.arrays import doubles, entropy, margin, softmax
 from sieveline.operators import attribution as X
@@ -275,10 +276,10 @@ def privacy_sweep(spark, sf):
     return M.auc(p, F.round(F.get("p", F.lit(0)) + F.get("p", F.lit(1)), 7), (F.col("y5") <= 1).cast("int"), ["epsilon"])
 
 
-def _windows(spark, sf):
+def _windows(spark, sf, size=128):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ref = R.window_sample(e.where("id % 2 = 0"), "id", 128, 5).select(F.col("id").cast("string").alias("id"), "embedding")
-    cur = R.window_sample(e.where("id % 2 = 1"), "id", 128, 5).select(F.col("id").cast("string").alias("id"), "embedding")
+    ref = R.window_sample(e.where("id % 2 = 0"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "embedding")
+    cur = R.window_sample(e.where("id % 2 = 1"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "embedding")
     return ref, cur
 
 
@@ -299,9 +300,9 @@ def drift_inject(spark, sf):
 
 def drift_check(spark, sf):
     """Both monitors at five severities; rows only."""
-    ref, cur = _windows(spark, sf)
+    ref, cur = _windows(spark, sf, Evaluation().drift_window)
     rows = []
-    for severity in (0.0, 0.5, 1.0):
+    for severity in Sweep().severities:
         moved = R.inject_drift(cur, "embedding", "id", D, severity, seed=3)
         rows.append((severity, *R.check_drift(ref, moved, "embedding")))
     return spark.createDataFrame(rows, "severity double, drift boolean, mmd2 double, ks_fraction double")

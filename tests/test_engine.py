@@ -240,3 +240,15 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 75
+
+
+def test_drift_check_runs_the_whole_sweep(spark, monkeypatch):
+    from sieveline.plans import evaluation as E
+
+    sizes = []
+    frame = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(600)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(E, "table", lambda *a: frame)
+    monkeypatch.setattr(E.R, "inject_drift", lambda cur, *a, **b: cur)
+    monkeypatch.setattr(E.R, "check_drift", lambda ref, cur, _: sizes.append((ref.count(), cur.count())) or (False, 0.0, 0.0))
+    assert [r.severity for r in E.drift_check(spark, "").collect()] == [0.0, 0.25, 0.5, 0.75, 1.0]
+    assert sizes == [(256, 256)] * 5
