@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import documents, with_columns
+from sieveline.llm.shared import documents, emptied_after, in_buckets, small_batches, with_columns
 from sieveline.operators.graph import components
 from sieveline.sources.scratch import materialise, rekeyed
 
@@ -49,6 +49,10 @@ class _WordHash(dict):
 _WORDS = _WordHash()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> U64(29))) * U64(0xC4CEB9FE1A85EC53)
@@ -88,9 +92,12 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, words: int, trees: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set digest (d1, d2), the trees' first tokens and one byte for each coordinate."""
+    """doc_id, a hash of the text, n_shingles, set digest (d1, d2), the trees' first tokens and a byte for each coordinate."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    small_batches(docs.sparkSession)
+
+    @emptied_after(forget_words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _mixed(np.arange(1, trees + 1, dtype=U64))
         for batch in batches:
@@ -104,13 +111,13 @@ def signatures(docs: DataFrame, *, words: int, trees: int, id_col: str, text_col
                 low = minwise(s) if len(s) else np.zeros(COORDINATES, U64)
                 roots.append(_mixed(low[:trees] ^ salt).view(np.int64) if len(s) else np.empty(0, np.int64))
                 sig.append((_mixed(low) >> U64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "roots", "sig"],
-            )
+            found = [*(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array(roots, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=names)
 
-    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {id_type}, n_shingles long, d1 long, d2 long, roots array<long>, sig binary")
+    text = F.col(f"`{text_col}`")
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    names = ["doc_id", "text_hash", "n_shingles", "d1", "d2", "roots", "sig"]
+    return picked.mapInArrow(run, f"doc_id {id_type}, text_hash long, n_shingles long, d1 long, d2 long, roots array<long>, sig binary")
 
 
 def _by_group(rows: DataFrame, key: list[str], work: Callable[[pa.Table, np.ndarray], list], schema: str, names: list[str]) -> DataFrame:
@@ -144,7 +151,7 @@ def _by_group(rows: DataFrame, key: list[str], work: Callable[[pa.Table, np.ndar
         if held is not None and len(held):
             yield from give(held, groups(held))
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(emptied_after(forget_words)(run), schema)
 
 
 def _roots_of(adjacent: np.ndarray) -> np.ndarray:
@@ -193,33 +200,40 @@ def _alike(least: int):
     return work
 
 
-def _led(rows: DataFrame, least: int) -> DataFrame:
-    """Mark the rows of large nodes that resemble the node's leader."""
-    leader = rows.groupBy("node").agg(F.min_by(F.struct("rep", "sig"), F.xxhash64("node", "rep")).alias("lead"))
-    both = rows.join(leader.select(rekeyed(F.col("node")).alias("of"), F.col("lead.rep").alias("lead"), F.col("lead.sig").alias("lead_sig")), F.col("node") == F.col("of")).drop("of")
+def _led(rows: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """Mark the rows of large nodes that don't resemble the node's leader as free."""
+    leaders = reps.select(rekeyed(F.col("rep")).alias("of_lead"), F.col("sig").alias("lead_sig"))
+    both = rows.join(leaders, F.col("lead") == F.col("of_lead"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            sig, led = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sig", "lead_sig"))
+            sig, led = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                for c in ("sig", "lead_sig")
+            )
             free = (sig == led).sum(axis=1) < least
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "sig", "cnt", "lead")), pa.array(free)], names=["node", "rep", "sig", "cnt", "lead", "free"])
+            kept = [batch.column(c) for c in ("node", "rep", "sig", "cnt", "lead")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(free)], names=["node", "rep", "sig", "cnt", "lead", "free"])
 
-    return both.select("node", "rep", "sig", "cnt", "lead", "lead_sig").mapInArrow(run, "node long, rep long, sig binary, cnt long, lead long, free boolean")
+    slim = both.select("node", "rep", "sig", "cnt", "lead", "lead_sig")
+    return slim.mapInArrow(run, "node long, rep long, sig binary, cnt long, lead long, free boolean")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with at least two members, with the node's count."""
-    cnt = rows.groupBy("node").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    cnt = cnt.select(rekeyed(F.col("node")).alias("of"), "cnt")
-    return rows.join(cnt, rows.node == cnt.of).drop("of")
+    """Rows of nodes with at least two members, with the node's count and its
+    leader, the member of the least hash.  One join attaches both."""
+    stat = rows.groupBy("node").agg(F.count(F.lit(1)).alias("cnt"), F.min_by("rep", F.xxhash64("node", "rep")).alias("lead"))
+    stat = stat.where("cnt > 1").select(rekeyed(F.col("node")).alias("of"), "cnt", "lead")
+    return rows.join(stat, F.col("node") == F.col("of")).drop("of")
 
 
 def candidate_edges(reps: DataFrame, *, least: int, leaf: int, branches: int, depth: int) -> list[DataFrame]:
     """Edges between documents that look alike, from all trees at once."""
     skinny = reps.select("rep", F.explode("roots").alias("node"))
-    rows = _counted(skinny).join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).select("node", "rep", "sig", "cnt")
+    sigs = reps.select(F.col("rep").alias("r"), "sig")
+    rows = _counted(skinny).join(sigs, F.col("rep") == F.col("r")).select("node", "rep", "sig", "cnt", "lead")
     edges, small = [], []
     for level in range(depth + 1):
         rows = materialise(rows, f"nodes-{level}")
@@ -227,10 +241,12 @@ def candidate_edges(reps: DataFrame, *, least: int, leaf: int, branches: int, de
         large = rows.where(F.col("cnt") > leaf)
         if large.isEmpty():
             break
-        led = materialise(_led(large, least), "led")
-        edges.append(led.where(~F.col("free") & (F.col("rep") != F.col("lead"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-        alone = led.groupBy("node").agg(F.count_if("free").alias("alone")).where("alone > 0").select(rekeyed(F.col("node")).alias("of"), "alone")
-        open_ = led.join(alone, led.node == alone.of).drop("of")
+        led = materialise(_led(large, reps, least), "led")
+        alike = led.where(~F.col("free") & (F.col("rep") != F.col("lead")))
+        edges.append(alike.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+        alone = led.groupBy("node").agg(F.count_if("free").alias("alone")).where("alone > 0")
+        alone = alone.select(rekeyed(F.col("node")).alias("of"), "alone")
+        open_ = materialise(led.join(alone, F.col("node") == F.col("of")).drop("of", "lead"), "open")
         ends = F.lit(True) if level == depth else F.col("alone") <= leaf
         # Blocks of the node; each meets all members that don't resemble the leader, in blocks too.
         blocks = F.ceil(F.col("cnt") / leaf).cast("int")
@@ -292,15 +308,13 @@ def _linked(words: int, percent: int):
     return work
 
 
-def _confirmed(docs: DataFrame, parts: DataFrame, words: int, percent: int, buckets: int = 1 << 20) -> DataFrame:
+def _confirmed(docs: DataFrame, parts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links on full sets within each (comp, part) of ``parts`` (rep, comp, part).
 
-    The texts of candidates are found by at most ``buckets`` broadcast integers
-    and then joined by id.
+    The texts of candidates are found by hash buckets of their ids, a broadcast
+    of bounded size, and then joined by id.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    wanted = materialise(parts.select(bucket("rep").alias("bucket")).distinct(), "wanted")
-    texts = docs.join(F.broadcast(wanted), bucket("doc_id") == F.col("bucket"), "left_semi")
+    texts = in_buckets(docs, "doc_id", parts, "rep")
     rows = parts.join(texts, parts.rep == texts.doc_id).select("comp", "part", "rep", "text")
     return _by_group(rows, ["comp", "part"], _linked(words, percent), EDGES, ["a", "b"])
 
@@ -334,10 +348,11 @@ def near_duplicates(
     deviations below the threshold, and full sets decide.
 
     Null texts and texts without words have no shingles and link with nothing.
-    Rows with a null id aren't searched and keep a null ``component_id``.  Rows
-    that repeat an id are one document, linked by each of its texts.  An empty
-    table gives an empty result; columns named like a result are replaced.
-    Ids must be integers.
+    Rows with a null id aren't searched and keep a null ``component_id``; their
+    shingles are counted.  Rows that repeat an id are documents of their own:
+    each has the component of its text.  An empty table gives an empty result;
+    columns named like a result are replaced.  Ids must be integers.  What other
+    columns ``docs`` has makes no difference.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sigs = materialise(signatures(own, words=words, trees=trees, id_col="doc_id", text_col="text"), "signatures")
@@ -389,14 +404,26 @@ def near_duplicates(
     # Documents without shingles get a key of their own instead of meeting in one task.
     found = sigs.withColumn("k1", F.when(F.col("n_shingles") > 0, F.col("d1")).otherwise(F.xxhash64("doc_id", F.lit(3))))
     found = found.join(named, (F.col("k1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
-    found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    if set(docs.columns) == {id_col, text_col} and id_col == "doc_id" and text_col == "text":
-        return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    per_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_shingles").alias("__n"), F.min("component_id").alias("__c"))
-    this = F.col(f"`{id_col}`")
-    joined = docs.join(per_id.select(rekeyed(F.col("__id")).alias("__id"), "__n", "__c"), this.cast("long") == F.col("__id"), "left")
-    out = with_columns(joined, {"n_shingles": F.coalesce("__n", F.lit(0).cast("long")), "component_id": F.col("__c"), "kept": this.eqNullSafe(F.col("__c"))})
-    return out.drop("__id", "__n", "__c")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    found = found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+    found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if set(docs.columns) <= {id_col, text_col} and id_col == "doc_id":  # nothing else to bring back
+        return found.drop("text_hash")
+    # Rows with one id and one text have one verdict; a row's key is never null.
+    verdict = found.groupBy(row_key("doc_id", F.col("text_hash")).alias("__k"), "doc_id", "text_hash").agg(
+        F.any_value("n_shingles").alias("__n"), F.any_value("component_id").alias("__c")
+    )
+    verdict = verdict.select(rekeyed(F.col("__k")).alias("__k"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "__n", "__c")
+    this, h = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))
+    on = (row_key(this, h) == F.col("__k")) & this.eqNullSafe(F.col("__id")) & (h == F.col("__h"))
+    joined = docs.join(verdict, on, "left")
+    out = with_columns(joined, {"n_shingles": F.col("__n"), "component_id": F.col("__c"), "kept": this.eqNullSafe(F.col("__c"))})
+    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("n_shingles", "component_id", "kept")], "n_shingles", "component_id", "kept")
+
+
+def row_key(doc_id: str | Column, text_hash: Column) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(doc_id, text_hash)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
