@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import crc32_of_id, documents
+from sieveline.llm.shared import chunks, crc32_of_id, documents, small_batches
 
 #: Trigrams are hashed to so many features: a model is this times the languages, whatever the corpus.
 FEATURES = 1 << 15
@@ -83,14 +83,15 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 rows = np.flatnonzero(langs == lang)
-                for at in range(0, len(rows), 256):
-                    texts = batch.column(1).take(pa.array(rows[at : at + 256])).to_pylist()
-                    n = np.bincount(trigrams(texts)[1], minlength=FEATURES)
+                texts = batch.column(1).take(pa.array(rows)).to_pylist()
+                for part in chunks(texts, 256):
+                    n = np.bincount(trigrams(texts[part])[1], minlength=FEATURES)
                     sums[lang] = sums[lang] + n if lang in sums else n
             if len(sums) > 64:
                 yield from flush()
         yield from flush()
 
+    small_batches(docs.sparkSession)
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`")
     known = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"))
     sums = known.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
@@ -102,13 +103,15 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     return LanguageModel(languages, counts / counts.sum(axis=1, keepdims=True))
 
 
-def infer_mixtures(texts: list[str], model: LanguageModel, *, rounds: int = 12, most: int = 3, penalty: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+def infer_mixtures(texts: list[str], model: LanguageModel, *, tolerance: float = 1e-3, penalty: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
     """Language proportions of each text (texts x languages), and whether it has a letter.
 
-    A first fit over all languages ranks them; the sets of the strongest 1 to
-    ``most`` are fitted again, and the set with the greatest
-    ``log likelihood - penalty * languages * log(1 + trigrams)`` stays.  Rows of
-    texts without trigrams are 0.
+    A first fit over all languages ranks them.  The strongest language alone is
+    the first set; the next strongest is added, and the proportions are fitted
+    again, as long as
+    ``log likelihood - penalty * languages * log(1 + trigrams)`` rises.  Every
+    fit goes on until no proportion of the text changes by ``tolerance``.  Rows
+    of texts without trigrams are 0.
     """
     of, feature, has = trigrams(texts)
     n, langs = len(texts), len(model.languages)
@@ -116,33 +119,52 @@ def infer_mixtures(texts: list[str], model: LanguageModel, *, rounds: int = 12,
         return np.zeros((n, langs)), has
     pair, times = np.unique(of * FEATURES + feature, return_counts=True)
     of, feature = pair // FEATURES, pair % FEATURES
-    begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    docs = of[begin]
-    row = np.repeat(np.arange(len(docs)), np.diff(np.r_[begin, len(of)]))
-    p, times = model.probability[:, feature].T, times.astype(float)  # features x languages
+    docs, begin = np.unique(of, return_index=True)
+    size = np.diff(np.r_[begin, len(of)])
+    p, times = model.probability.T[feature], times.astype(float)  # features x languages
     total = np.add.reduceat(times, begin)
 
-    def fit(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            joint = p * share[row]
-            share = np.add.reduceat(joint * (times / joint.sum(axis=1))[:, None], begin) / total[:, None]
-        return share, np.add.reduceat(times * np.log((p * share[row]).sum(axis=1)), begin)
-
-    mixed, _ = fit(np.full((len(docs), langs), 1 / langs))
-    order = np.argsort(-mixed, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    best, best_at = None, None
-    for k in range(1, min(most, langs) + 1):
-        share = np.where(rank < k, np.maximum(mixed, 1e-6), 0)
-        share, fits = fit(share / share.sum(axis=1, keepdims=True)) if k > 1 else (share / share.sum(axis=1, keepdims=True), None)
-        if fits is None:  # one language: nothing to fit
-            fits = np.add.reduceat(times * np.log((p * share[row]).sum(axis=1)), begin)
-        value = fits - penalty * k * np.log1p(total)
-        if best is None:
-            best, best_at = share, value
-        else:
-            better = value > best_at
-            best, best_at = np.where(better[:, None], share, best), np.where(better, value, best_at)
+    def of_docs(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some documents: features' rows of p, their times, each one's document, and where documents begin."""
+        n = size[which]
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(first - begin[which], n)
+        return p[at], times[at], np.repeat(np.arange(len(which)), n), first
+
+    def fit(share: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Expectation-maximisation from ``share``; documents leave when they have converged."""
+        share, todo = share.copy(), np.arange(len(which))
+        q, t, row, first = of_docs(which)
+        while len(todo):
+            now = share[todo]
+            joint = q * now[row]
+            new = np.add.reduceat(joint * (t / joint.sum(axis=1))[:, None], first) / total[which[todo]][:, None]
+            share[todo] = new
+            moving = np.abs(new - now).max(axis=1) >= tolerance
+            if moving.sum() <= 0.75 * len(todo):  # fewer rows are worth taking anew
+                todo = todo[moving]
+                q, t, row, first = of_docs(which[todo])
+        return share
+
+    def value(share: np.ndarray, which: np.ndarray, languages: int) -> np.ndarray:
+        q, t, row, first = of_docs(which)
+        fits = np.add.reduceat(t * np.log((q * share[row]).sum(axis=1)), first)
+        return fits - penalty * languages * np.log1p(total[which])
+
+    every = np.arange(len(docs))
+    mixed = fit(np.full((len(docs), langs), 1 / langs), every)
+    rank = np.argsort(np.argsort(-mixed, axis=1, kind="stable"), axis=1, kind="stable")
+    best = np.where(rank < 1, 1.0, 0.0)
+    best_at, growing = value(best, every, 1), every
+    for k in range(2, langs + 1):
+        start = np.where(rank[growing] < k, np.maximum(mixed[growing], 1e-6), 0)
+        share = fit(start / start.sum(axis=1, keepdims=True), growing)
+        now = value(share, growing, k)
+        better = now > best_at[growing]
+        growing, share, now = growing[better], share[better], now[better]
+        best[growing], best_at[growing] = share, now
+        if not len(growing):
+            break
     out = np.zeros((n, langs))
     out[docs] = best
     return out, has
@@ -161,10 +183,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at_text = kept.index(text_col)
-            for at in range(0, len(batch), chunk):
-                part = batch.slice(at, chunk)
-                texts = [t or "" for t in part.column(at_text).to_pylist()]
+            every = [t or "" for t in batch.column(kept.index(text_col)).to_pylist()]
+            for some in chunks(every, chunk):
+                part, texts = batch.slice(some.start, some.stop - some.start), every[some]
                 share, has = infer_mixtures(texts, model)
                 top = share.argmax(axis=1) if len(languages) else np.zeros(len(texts), np.int64)
                 score = share.max(axis=1) if len(languages) else np.zeros(len(texts))
@@ -176,6 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", c
                     names=[*part.schema.names, "lang_pred", "score", "lang_mix"],
                 )
 
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_mix")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
