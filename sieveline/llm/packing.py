@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import documents, materialise
+from sieveline.llm.shared import documents, emptied_after, materialise, small_batches
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -33,7 +33,7 @@ class WordIds(dict):
     ``limit`` bounds the memory; the table starts anew when it is full.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 100_000):
         import json
         import re
 
@@ -89,6 +89,13 @@ class WordIds(dict):
 _WORDS: dict[str, WordIds] = {}
 
 
+def forget_ids() -> None:
+    """Drop what was looked up; the tokenizers themselves stay."""
+    for table in _WORDS.values():
+        table.clear()
+        table.words.clear()
+
+
 def word_ids(tokenizer: str) -> WordIds:
     """The table for a tokenizer file or a name in ``public_tokenizers``, once a worker."""
     if tokenizer not in _WORDS:
@@ -119,6 +126,9 @@ def tokenised_pieces(
     ids_type = docs.schema[id_col].dataType
     schema = PIECES.format(id=ids_type.simpleString())
 
+    small_batches(docs.sparkSession)
+
+    @emptied_after(forget_ids)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last = word_ids(tokenizer), array("I", [end_id]).tobytes()
         for batch in batches:
@@ -175,20 +185,23 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset, np.array(level, np.int64)
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, shard_rows: int = 4096, slack: int = 0, max_rounds: int = 12) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, shard_rows: int = 4096) -> DataFrame:
     """All rows of ``pieces`` with ``sequence_id`` and ``offset``.
 
     Every ``length`` must be from 1 to ``capacity``.  In a sequence the offsets
     are gapless from 0.  A round deals the rows evenly to shards of about
-    ``shard_rows``, whatever their keys; bins with more than ``slack`` tokens
-    free are opened again for the next round, which has fewer shards.  The last
-    round closes all.  Rows are carried as they are, so repeated rows are packed
-    each; an empty table gives an empty result.
+    ``shard_rows``, whatever their keys.  Bins that aren't full are opened again
+    for the next round, which has fewer shards; one shard closes all.  Where
+    half of the rows or more come back, few of them fill bins: from then on each
+    such round accepts twice as many free tokens in a closed bin, so that rounds
+    end without closing half-empty bins while others could be filled.  Rows are
+    carried as they are, so repeated rows are packed each; an empty table gives
+    an empty result.
     """
     schema = pieces.schema
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, __closed boolean"
 
-    def shard(round_no: int, last: bool):
+    def shard(round_no: int, last: bool, slack: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if len(b)]
             if not held:
@@ -205,19 +218,20 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, shard_rows: int = 4096, sla
 
         return run
 
-    done, rest, before = [], pieces, None
-    for round_no in range(max_rounds):
+    done, rest, before, slack, round_no = [], pieces, None, 0, 0
+    while True:
         count = rest.count()
         shards = max(1, -(-count // shard_rows))
-        # A round that closed too little would go on for ever: then the rest is closed as it is.
-        last = shards == 1 or round_no == max_rounds - 1 or (before is not None and count > 0.9 * before)
-        placed = rest.repartition(shards).mapInArrow(shard(round_no, last), out_schema)
+        if before is not None and 2 * count >= before:
+            slack = max(1, 2 * slack)
+        last = shards == 1
+        placed = rest.repartition(shards).mapInArrow(shard(round_no, last, slack), out_schema)
         if last:
             done.append(placed)
             break
         placed = materialise(placed, "packed")
         done.append(placed.where("__closed"))
-        rest, before = placed.where("NOT __closed").select(*[f"`{c}`" for c in pieces.columns]), count
+        rest, before, round_no = placed.where("NOT __closed").select(*[f"`{c}`" for c in pieces.columns]), count, round_no + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
