@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.sources.scratch import materialise, rekeyed
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of ``edges`` but isolated roots; root is the
     component's smallest node, and roots are listed with themselves.
 
@@ -17,11 +17,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
     end in a star around each smallest node after O(log^2 n) rounds.  A round
     is two aggregations and two joins that adaptive execution can split at a
     hub; its edges are written to a scratch table.  Null ends are ignored.
+    Labels are never returned unfinished: more than ``most_rounds`` rounds, far
+    more than any graph needs, raise an error.
     """
     x, y = F.col(f"`{a}`").cast("long"), F.col(f"`{b}`").cast("long")
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct()
     now, before = materialise(now, "edges"), None
-    for _ in range(max_rounds):
+    for _ in range(most_rounds):
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
             break
@@ -33,4 +35,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
         keyed = low.select(rekeyed(F.col("u")).alias("w"), "m")
         small = large.join(keyed, large.u == keyed.w).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components unfinished after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
