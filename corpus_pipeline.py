@@ -3,7 +3,8 @@ deduplication, mixing, and packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``; an empty table gives an empty result at
+every stage.
 """
 
 from __future__ import annotations
@@ -25,28 +26,48 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay: those without a letter in their text go."""
-    return identify(docs.select(*COLUMNS), fit_languages(docs)).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    """Documents with a language stay, those without a letter in their text go;
+    where ``lang`` is null the language found is filled in.
+
+    Null and empty texts go.  Rows that repeat are judged each.  Without any
+    row of known language nothing can be told, and no document stays.
+    """
+    found = identify(docs.select(*COLUMNS), fit_languages(docs)).where(F.col("lang_pred") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id stays.
+
+    Null texts equal empty ones; a row without an id stays only where its whole
+    group has none; rows that repeat an id and a text stay together.
+    """
     return exact_dedup(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the
+    document with the smallest id stays.
+
+    Texts without words and rows without an id resemble nothing and stay.
+    """
     return near_duplicates(docs.select(*COLUMNS), words=5, percent=80).where("kept").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document that is taken twice is there twice, one that isn't taken goes."""
+    """The mix: a document that is taken twice is there twice, one that isn't taken goes.
+
+    A null source is a source; texts without words go where their source is cut.
+    """
     mixed = mix_sources(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text is one piece, its end; a repeated row has pieces of its own.
+    """
     return pack_documents(docs.select(*COLUMNS), tokenizer=TOKENIZER).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
