@@ -56,3 +56,16 @@ def rekeyed(column: Column, kind: str = "long") -> Column:
     of the join are exchanged for that join.  The regrouped side is small.
     """
     return F.concat(column, F.lit("")) if kind == "string" else column.bitwiseXOR(F.lit(0).cast("long"))
+
+
+def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a scratch table in hash buckets of ``keys``, each sorted.
+
+    Tables with as many buckets are joined on the keys without an exchange.
+    The number follows the session's shuffle partitions if none is given.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    name = f"scratch_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
