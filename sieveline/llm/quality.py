@@ -1,153 +1,267 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-Characters are folded to a small alphabet, so that a table of all n-grams has a
-fixed size.  Counts of trusted text are sharded by n-gram; joins with their
-contexts' sums and with the next shorter n-gram's probability make the model.
+The model is over characters as they are, of every script and case, so what it
+counts grows with the trusted text.  Documents stay in blocks: a block asks for
+the costs of its distinct n-grams, which are joined with the sharded counts of
+the trusted text, and answers come back to the block.  So n-grams are aggregated
+before any exchange, and no text is exchanged at all.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import documents, or_empty, with_columns
-from sieveline.sources.scratch import materialise
-
-ORDER = 4
-SYMBOLS = 48
-_FOLD: list[np.ndarray] = []
-
-
-def _symbol(c: int) -> int:
-    """a-z 0-25 (accents dropped), any capital 26, digit 27, space 28, line feed
-    29, five marks 30-34, other marks 35, other letters 36-43."""
-    ch = chr(c)
-    if ch == "\n":
-        return 29
-    if ch.isspace() or c < 32:
-        return 28
-    if ch.isdigit():
-        return 27
-    if ch.isalpha():
-        base = unicodedata.normalize("NFD", ch)[0]
-        return 26 if ch != ch.lower() else ord(base) - 97 if "a" <= base <= "z" else 36 + c % 8
-    return 30 + ".,'-|".index(ch) if ch in ".,'-|" else 35
-
-
-def _fold() -> np.ndarray:
-    if not _FOLD:
-        _FOLD.append(np.fromiter((_symbol(c) for c in range(0x110000)), np.int32, 0x110000))
-    return _FOLD[0]
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of whole texts as numbers below ``SYMBOLS ** ORDER``, and how
-    many each text has: one for each character and one for its end."""
-    points = [np.frombuffer(("\n" * (ORDER - 1) + t + "\n").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    size = np.array([len(p) for p in points], np.int64)
-    s = _fold()[np.concatenate(points)] if points else np.empty(0, np.int32)
-    g = s[ORDER - 1 :].astype(np.int64) if len(s) else np.empty(0, np.int64)
-    for k in range(1, ORDER):
-        g += s[ORDER - 1 - k : len(s) - k].astype(np.int64) * SYMBOLS**k
-    begin = np.cumsum(size) - size
-    keep = np.ones(len(g), bool)
-    for k in range(1, ORDER):  # n-grams across two texts
-        at = begin[1:] - k
-        keep[at[at >= 0]] = False
-    return g[keep], size - (ORDER - 1)
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, c) over the column ``text``, summed in each task and then by n-gram."""
+from sieveline.llm.shared import chunks, documents, small_batches, with_columns
+from sieveline.sources.scratch import bucketed, materialise, rekeyed
+
+U64 = np.uint64
+ORDER = 5
+#: What stands before a text, ``ORDER - 1`` times, and after it.
+BEGIN, END = "\x02", "\x03"
+#: Characters of text in a block and in a step of work on a block.
+BLOCK_CHARS, STEP_CHARS = 32_000_000, 2_000_000
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
+    return x ^ (x >> U64(32))
+
+
+def _hashes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``ORDER`` code points, by the run's last place from ``ORDER - 1`` on."""
+    n = len(points) - ORDER + 1
+    h = np.zeros(max(n, 0), U64)
+    for k in range(ORDER):
+        h = (h + points[k : k + n]) * U64(0x9E3779B97F4A7C15)
+        h ^= h >> U64(29)
+    return _mix(h)
+
+
+class Grams:
+    """The n-grams of some texts: one ends at each character and one at each text's end.
+
+    ``code[i]`` numbers the i-th n-gram among the distinct ones, whose hashes
+    are ``hashes``; ``size[t]`` is how many text t has.
+    """
+
+    def __init__(self, texts: list[str]):
+        begin = BEGIN * (ORDER - 1)
+        joined = "".join([f"{begin}{t}{END}" for t in texts])
+        self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size = np.array([len(t) + 1 for t in texts], np.int64)
+        starts = np.cumsum(self.size + ORDER - 1) - (self.size + ORDER - 1)
+        keep = np.ones(len(self.points), bool)
+        for k in range(ORDER - 1):  # the marks before a text; an n-gram that ends there would reach into another text
+            keep[starts + k] = False
+        self.last = np.flatnonzero(keep)
+        found = pa.array(_hashes(self.points)[keep[ORDER - 1 :]]).dictionary_encode()
+        self.code = found.indices.to_numpy(zero_copy_only=False)
+        self.hashes = found.dictionary.to_numpy(zero_copy_only=False)
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        """The distinct n-grams numbered ``which``."""
+        first = np.empty(len(self.hashes), np.int64)
+        first[self.code[::-1]] = self.last[::-1]  # the first place is written last
+        places = first[which][:, None] + np.arange(1 - ORDER, 1)
+        flat = self.points[places].tobytes().decode("utf-32-le", "surrogatepass")
+        return [flat[at : at + ORDER] for at in range(0, len(flat), ORDER)]
+
+
+def distinct_grams(texts: list[str]) -> list[str]:
+    seen, out = np.empty(0, U64), []
+    for part in chunks(texts, len(texts), STEP_CHARS):
+        grams = Grams(texts[part])
+        new = ~np.isin(grams.hashes, seen)
+        out += grams.strings(np.flatnonzero(new))
+        seen = np.concatenate([seen, grams.hashes[new]])
+    return out
+
+
+def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Blocks of rows: (block, rows, ids, grams), bucketed by block.
+
+    ``rows`` holds whole rows of ``docs``, compressed.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray | None = None
+        held: list[pa.RecordBatch] = []
+        chars, number = 0, 0
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
+                out.write_table(table, max_chunksize=4096)
+            grams = distinct_grams(_texts(table, text_col))
+            names = ["block", "rows", "ids", "grams"]
+            columns = [
+                pa.array([(TaskContext.get().partitionId() << 32) + number]),
+                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                pa.array([table.column(id_col).to_pylist()], pa.list_(table.schema.field(id_col).type)),
+                pa.array([grams], pa.list_(pa.string())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                g, _ = grams([t or "" for t in batch.column(0).slice(at, 512).to_pylist()])
-                n = np.bincount(g, minlength=SYMBOLS**ORDER).astype(np.int32)
-                total = n.astype(np.int64) if total is None else total + n
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "c"])
+            if len(batch):
+                held.append(batch)
+                chars += batch.column(text_col).nbytes
+            if chars >= block_chars:
+                yield block()
+                held, chars, number = [], 0, number + 1
+        if held:
+            yield block()
 
-    return texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    made = docs.mapInArrow(run, f"block long, rows binary, ids array<{id_type}>, grams array<string>")
+    return bucketed(made, "quality-blocks", ["block"])
 
 
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """Negative log probabilities of all n-grams, dense: 4 bytes for each.
+def _texts(rows: pa.Table, text_col: str) -> list[str]:
+    return [t or "" for t in rows.column(text_col).to_pylist()]
 
-    For each order the count of an n-gram is joined with its context's sums and
-    with the probability of its suffix.  Lower orders count the distinct
-    characters before an n-gram.  The three discounts of an order come from its
-    counts of counts; where these don't allow it (a count that never occurs),
-    0.5, 0.75 and 1 are used.  Without counts all characters are equally likely.
-    """
-    tables = {ORDER: materialise(counts, "grams")}
-    for k in range(ORDER - 1, 0, -1):
-        shorter = tables[k + 1].groupBy(F.pmod(F.col("gram"), F.lit(SYMBOLS**k)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        tables[k] = materialise(shorter, "grams")
-    dense, below = np.full(1, 1 / SYMBOLS), None
-    for k in range(1, ORDER + 1):
-        n = [float(x or 0) for x in tables[k].agg(*[F.count_if(F.col("c") == j) for j in (1, 2, 3, 4)]).first()]
-        discount = [0.5, 0.75, 1.0]
-        if all(n):
-            y = n[0] / (n[0] + 2 * n[1])
-            found = [j + 1 - (j + 2) * y * n[j + 1] / n[j] for j in range(3)]
-            discount = [min(max(d, 0.05), j + 0.95) for j, d in enumerate(found)]
-        d: Column = F.when(F.col("c") == 1, discount[0]).when(F.col("c") == 2, discount[1]).otherwise(discount[2])
-        rows = tables[k].select("gram", F.expr(f"gram div {SYMBOLS}").alias("ctx"), F.pmod(F.col("gram"), F.lit(SYMBOLS ** (k - 1))).alias("suffix"), F.col("c").cast("double").alias("c"), d.alias("d"))
-        ctx = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("back"))
-        joined = rows.join(ctx, "ctx")
-        if below is None:
-            joined = joined.withColumn("low", F.lit(1 / SYMBOLS))
-        else:
-            joined = joined.join(below, "suffix")
-        made = joined.select("gram", "ctx", F.expr("back / total").alias("weight"), F.expr("(c - d + back * low) / total").alias("p"))
-        made = materialise(made, "probabilities")
-        below = made.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
-        # At most SYMBOLS ** k rows, however large the corpus is; unseen n-grams back off to their suffix.
-        frame = made.toPandas()
-        weight = np.ones(SYMBOLS ** (k - 1))
-        weight[frame["ctx"].to_numpy()] = frame["weight"]
-        dense = (weight[:, None] * np.tile(dense.reshape(-1, SYMBOLS), (SYMBOLS if k > 1 else 1, 1)) if k > 1 else weight[:, None] * np.full((1, SYMBOLS), 1 / SYMBOLS)).reshape(-1)
-        dense[frame["gram"].to_numpy()] = frame["p"]
-    return (-np.log(dense)).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, cost: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with ``perplexity`` over the characters of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(cost)  # SYMBOLS ** ORDER floats
+
+def _rows(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def count_grams(blocks: DataFrame, marks: DataFrame, text_col: str) -> DataFrame:
+    """(gram, c) over the rows at ``train`` of each block, summed in the block and then by n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            value = []
-            for at in range(0, len(batch), 256):
-                g, n = grams(batch.column(batch.num_columns - 1).slice(at, 256).to_pylist())
-                value.append(np.exp(np.add.reduceat(table[g].astype(float), np.cumsum(n) - n) / n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(value) if value else np.empty(0))], names=[*batch.schema.names[:-1], "perplexity"])
+            for blob, train in zip(batch.column(0), batch.column(1)):
+                texts = _texts(_rows(blob).select([text_col]).take(pa.array(train.as_py(), pa.int64())), text_col)
+                for part in chunks(texts, len(texts), 4 * STEP_CHARS):
+                    grams = Grams(texts[part])
+                    every = np.arange(len(grams.hashes))
+                    counts = np.bincount(grams.code, minlength=len(every))
+                    for at in range(0, len(every), 50_000):
+                        names = grams.strings(every[at : at + 50_000])
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts[at : at + 50_000])], names=["gram", "c"])
+
+    trained = blocks.join(marks.where(F.size("train") > 0), "block").select("rows", "train")
+    return trained.mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def suffix(gram: str | Column, length: int) -> Column:
+    gram = F.col(gram) if isinstance(gram, str) else gram
+    return F.substring(gram, -length, length)
+
+
+class KneserNey:
+    """Tables of an interpolated modified Kneser-Ney model.
+
+    ``chance[k]`` has (gram, p) of the n-grams of k characters that were seen,
+    ``back[k]`` (ctx, weight) of the contexts of k - 1 characters.  Both are
+    scratch tables, sharded by their keys when they are joined.
+    """
 
-    kept = [c for c in docs.columns if c != "perplexity"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    rows = docs.select(*[f"`{c}`" for c in kept], or_empty(F.col(f"`{text_col}`")).alias("__text"))
-    return rows.mapInArrow(run, f"{schema}, perplexity double")
+    def __init__(self, counts: DataFrame):
+        """From the counts of the longest n-grams.
 
+        Shorter ones count the distinct characters before them.  The three
+        discounts of an order come from its counts of counts; where these don't
+        allow it (a count that never occurs), 0.5, 0.75 and 1 are used.  The
+        lowest order is backed by an equal chance for each character seen and
+        one unseen.
+        """
+        tables = {ORDER: materialise(counts, "grams")}
+        for k in range(ORDER - 1, 0, -1):
+            shorter = tables[k + 1].groupBy(suffix("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+            tables[k] = materialise(shorter, "grams")
+        self.chance: dict[int, DataFrame] = {}
+        self.back: dict[int, DataFrame] = {}
+        self.least = 1 / (tables[1].count() + 1)
+        for k in range(1, ORDER + 1):
+            n = [float(x or 0) for x in tables[k].agg(*[F.count_if(F.col("c") == j) for j in (1, 2, 3, 4)]).first()]
+            discount = [0.5, 0.75, 1.0]
+            if all(n):
+                y = n[0] / (n[0] + 2 * n[1])
+                found = [j + 1 - (j + 2) * y * n[j + 1] / n[j] for j in range(3)]
+                discount = [min(max(d, 0.05), j + 0.95) for j, d in enumerate(found)]
+            d = F.when(F.col("c") == 1, discount[0]).when(F.col("c") == 2, discount[1]).otherwise(discount[2])
+            rows = tables[k].select("gram", F.left("gram", F.lit(k - 1)).alias("of"), F.col("c").cast("double").alias("c"), d.alias("d"))
+            context = rows.groupBy(F.col("of").alias("ctx")).agg(F.sum("c").alias("total"), F.sum("d").alias("off"))
+            context = materialise(context, "contexts")
+            self.back[k] = context.select("ctx", (F.col("off") / F.col("total")).alias("weight"))
+            # A context has at most as many rows as there are characters; its key is handed over so that a hot one can be split.
+            keyed = context.select(rekeyed(F.col("ctx"), "string").alias("ctx"), "total", "off")
+            joined = rows.join(keyed, F.col("of") == F.col("ctx"))
+            low: Column = F.lit(self.least)
+            if k > 1:
+                joined = joined.withColumn("tail", suffix("gram", k - 1))
+                joined = joined.join(self.chance[k - 1].select(F.col("gram").alias("shorter"), F.col("p").alias("low")), F.col("tail") == F.col("shorter"))
+                low = F.col("low")
+            p = (F.col("c") - F.col("d") + F.col("off") * low) / F.col("total")
+            self.chance[k] = materialise(joined.select("gram", p.alias("p")), "chances")
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, buckets: int = 1 << 20) -> DataFrame:
-    """The texts of ``docs`` whose id is in ``trusted``.  At most ``buckets``
-    broadcast integers keep most other texts from being exchanged."""
-    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(buckets)).cast("int")
-    ids = trusted.select(F.col(f"`{id_col}`").cast("long").alias("t")).where("t IS NOT NULL").distinct()
-    wanted = materialise(ids.select(bucket(F.col("t")).alias("bucket")).distinct(), "wanted")
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    near = own.join(F.broadcast(wanted), bucket(F.col("id")) == F.col("bucket"), "left_semi")
-    return near.join(ids, F.col("id") == F.col("t"), "left_semi").select("text")
+    def costs(self, grams: DataFrame) -> DataFrame:
+        """(gram, cost) of distinct n-grams: what was seen has its chance, what
+        wasn't that of its suffix, weighed by its context."""
+        found, p = grams.select("gram"), F.lit(self.least)
+        for k in range(1, ORDER + 1):
+            weight = self.back[k].select(F.col("ctx").alias(f"ctx{k}"), F.col("weight").alias(f"w{k}"))
+            chance = self.chance[k].select(F.col("gram").alias(f"gram{k}"), F.col("p").alias(f"p{k}"))
+            found = found.join(weight, F.left(suffix("gram", k), F.lit(k - 1)) == F.col(f"ctx{k}"), "left")
+            found = found.join(chance, suffix("gram", k) == F.col(f"gram{k}"), "left")
+            p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(1.0)) * p)
+        return found.select("gram", (-F.log(p)).cast("float").alias("cost"))
+
+
+def answers(blocks: DataFrame, model: KneserNey) -> DataFrame:
+    """(block, costs): the costs of each block's n-grams in their order, bucketed by block."""
+    asked = blocks.select("block", F.posexplode("grams").alias("place", "asked"))
+    distinct = blocks.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.lit(1).alias("one"))
+    costs = materialise(model.costs(materialise(distinct.select("gram"), "asked")), "costs")
+    told = asked.join(costs.select("gram", "cost"), F.col("asked") == F.col("gram")).select("block", "place", "cost")
+    # As many as a block's text has distinct n-grams: bounded by the block's size.
+    pairs = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "cost"))).alias("told"))
+    return bucketed(pairs.select("block", F.col("told.cost").alias("costs")), "quality-answers", ["block"])
+
+
+def perplexities(blocks: DataFrame, told: DataFrame, marks: DataFrame, docs: DataFrame, text_col: str, *, returned: list[str], only: str | None = None) -> DataFrame:
+    """The columns ``returned`` of all rows of the blocks, or of those at the
+    places ``only`` of ``marks``, with ``perplexity`` over the whole text and ``trusted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, grams, cost, trusted, places in zip(*batch.columns):
+                flat = np.frombuffer("".join(grams.values.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+                value = cost.values.to_numpy(zero_copy_only=False).astype(float)
+                if len(flat) != ORDER * len(value):
+                    raise RuntimeError("a block's answers lack some of its n-grams")
+                keys = _hashes(flat)[::ORDER]
+                order = np.argsort(keys)
+                keys, value = keys[order], value[order]
+                rows = _rows(blob)
+                mark = np.zeros(len(rows), bool)
+                mark[trusted.as_py() or []] = True
+                if only:
+                    rows, mark = rows.take(pa.array(places.as_py(), pa.int64())), mark[places.as_py()]
+                texts = _texts(rows, text_col)
+                for part in chunks(texts, 4096, STEP_CHARS):
+                    got = Grams(texts[part])
+                    at = np.searchsorted(keys, got.hashes)
+                    total = np.add.reduceat(value[at][got.code], np.cumsum(got.size) - got.size)
+                    some = rows.slice(part.start, part.stop - part.start)
+                    some = some.append_column("perplexity", pa.array(np.exp(total / got.size))).append_column("trusted", pa.array(mark[part]))
+                    yield from some.select(names).combine_chunks().to_batches()
+
+    names = [*returned, "perplexity", "trusted"]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in returned)
+    rows = blocks.select("block", "rows", "grams").join(told, "block").join(marks, "block", "left")
+    if only:
+        rows = rows.where(F.size(only) > 0)
+    rows = rows.select("rows", "grams", "costs", "trusted", F.col(only or "trusted").alias("places"))
+    return rows.mapInArrow(run, f"{schema}perplexity double, trusted boolean")
 
 
 def score_quality(
@@ -155,41 +269,52 @@ def score_quality(
     trusted: DataFrame,
     *,
     quantile: float = 0.99,
-    least_rows: int = 20,
     folds: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    with_text: bool = True,
 ) -> DataFrame:
-    """All rows of ``docs`` with ``perplexity``, ``threshold``, ``trusted`` and ``kept``.
+    """All rows of ``docs`` with ``perplexity``, ``threshold``, ``trusted`` and ``kept``;
+    the text itself only ``with_text``.
 
     The model is trained on the texts whose id is in ``trusted``, but for one id
     in ``folds``: a text is no fair measure of a model that was trained on it.
     A language's threshold is the ``quantile`` of the perplexities of its trusted
-    documents left out, that of all of these where a language is null or has
-    fewer than ``least_rows``.  Rows above it aren't kept.
+    documents left out; that of all of these where a language is null or has
+    none.  Rows above it aren't kept.
 
     Null texts count as empty, which are scored by their end alone.  Without
     trusted rows the threshold is null and everything is kept.  Rows that repeat
     an id are scored each.  An empty table gives an empty result; columns named
     like a result are replaced.
     """
-    this, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`").cast("string")
-    left_out = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(4)), F.lit(folds)) == 0
-    cost = kneser_ney(count_grams(trusted_texts(docs, trusted.where(~left_out), id_col=id_col, text_col=text_col)))
-    ids = trusted.select(F.col(f"`{id_col}`").cast("long").alias("__t")).where("__t IS NOT NULL").distinct()
-    scored = perplexities(docs, cost, text_col=text_col)
-    small = scored.where(left_out).select(this.cast("long").alias("id"), lang.alias("lang"), "perplexity").join(ids, F.col("id") == F.col("__t"))
-    cuts = small.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("cut"), F.count(F.lit(1)).alias("n"))
-    overall = small.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    cuts = materialise(cuts.where((F.col("n") >= least_rows) & F.col("lang").isNotNull()).select(F.col("lang").alias("__lang"), "cut"), "cuts")
-    out = scored.join(cuts, lang == F.col("__lang"), "left").join(ids.withColumn("__is", F.lit(True)), this.cast("long") == F.col("__t"), "left")
-    threshold = F.coalesce(F.col("cut"), F.lit(overall).cast("double"))
-    out = with_columns(out, {"threshold": threshold, "trusted": F.coalesce("__is", F.lit(False)), "kept": F.coalesce(F.col("perplexity") <= threshold, F.lit(True))})
-    return out.drop("__lang", "cut", "__t", "__is")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("perplexity", "threshold", "trusted", "kept")])
+    blocks = blocks_of(docs, id_col=id_col, text_col=text_col)
+    ids = trusted.select(F.col(f"`{id_col}`").cast("long").alias("t")).where("t IS NOT NULL").groupBy("t").agg(F.lit(1).alias("one"))
+    ids = ids.select(rekeyed(F.col("t")).alias("t"))
+    # Which places of a block are trusted: ids alone are exchanged.
+    placed = blocks.select("block", F.posexplode("ids").alias("place", "id"))
+    placed = placed.select("block", "place", F.col("id").cast("long").alias("id")).where("id IS NOT NULL").join(ids, F.col("id") == F.col("t"))
+    out = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(folds)) == 0
+    places = lambda c: F.collect_list(F.when(c, F.col("place")))
+    marks = placed.groupBy("block").agg(places(F.lit(True)).alias("trusted"), places(~out).alias("train"), places(out).alias("held"))
+    marks = bucketed(marks, "quality-marks", ["block"])
+
+    told = answers(blocks, KneserNey(count_grams(blocks, marks, text_col)))
+    measured = perplexities(blocks, told, marks, docs, text_col, returned=[lang_col], only="held")
+    lang = F.col(f"`{lang_col}`").cast("string")
+    measured = materialise(measured.select(lang.alias("lang"), "perplexity"), "held-out")
+    cut = F.percentile_approx("perplexity", quantile, 10_000)
+    overall = measured.agg(cut).first()[0]
+    cuts = materialise(measured.where("lang IS NOT NULL").groupBy(F.col("lang").alias("__lang")).agg(cut.alias("__cut")), "cuts")
+    returned = [c for c in docs.columns if with_text or c != text_col]
+    scored = perplexities(blocks, told, marks, docs, text_col, returned=returned).join(cuts, lang == F.col("__lang"), "left")
+    threshold = F.coalesce(F.col("__cut"), F.lit(overall).cast("double"))
+    return with_columns(scored, {"threshold": threshold, "kept": F.coalesce(F.col("perplexity") <= threshold, F.lit(True))}).drop("__lang", "__cut")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return score_quality(docs, trusted).select("doc_id", "lang", "perplexity", "threshold", "trusted", "kept")
+    return score_quality(docs, trusted, with_text=False).select("doc_id", "lang", "perplexity", "threshold", "trusted", "kept")
