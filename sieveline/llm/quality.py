@@ -21,11 +21,11 @@ from sieveline.llm.shared import chunks, documents, small_batches, with_columns
 from sieveline.sources.scratch import bucketed, materialise, rekeyed
 
 U64 = np.uint64
-ORDER = 5
+ORDER = 4
 #: What stands before a text, ``ORDER - 1`` times, and after it.
 BEGIN, END = "\x02", "\x03"
 #: Characters of text in a block and in a step of work on a block.
-BLOCK_CHARS, STEP_CHARS = 32_000_000, 2_000_000
+BLOCK_CHARS, STEP_CHARS = 32_000_000, 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,14 +73,18 @@ class Grams:
         return [flat[at : at + ORDER] for at in range(0, len(flat), ORDER)]
 
 
-def distinct_grams(texts: list[str]) -> list[str]:
-    seen, out = np.empty(0, U64), []
-    for part in chunks(texts, len(texts), STEP_CHARS):
-        grams = Grams(texts[part])
-        new = ~np.isin(grams.hashes, seen)
-        out += grams.strings(np.flatnonzero(new))
-        seen = np.concatenate([seen, grams.hashes[new]])
-    return out
+class DistinctGrams:
+    """The distinct n-grams of the texts that were added."""
+
+    def __init__(self) -> None:
+        self.seen, self.strings = np.empty(0, U64), pa.array([], pa.string())
+
+    def add(self, texts: list[str]) -> None:
+        for part in chunks(texts, len(texts), STEP_CHARS):
+            grams = Grams(texts[part])
+            new = ~np.isin(grams.hashes, self.seen)
+            self.strings = pa.concat_arrays([self.strings, pa.array(grams.strings(np.flatnonzero(new)), pa.string())])
+            self.seen = np.concatenate([self.seen, grams.hashes[new]])
 
 
 def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -92,44 +96,58 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_chars: int =
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        sink = out = grams = None
+        ids: list = []
         chars, number = 0, 0
 
         def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
-                out.write_table(table, max_chunksize=4096)
-            grams = distinct_grams(_texts(table, text_col))
-            names = ["block", "rows", "ids", "grams"]
+            out.close()
             columns = [
                 pa.array([(TaskContext.get().partitionId() << 32) + number]),
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                pa.array([table.column(id_col).to_pylist()], pa.list_(table.schema.field(id_col).type)),
-                pa.array([grams], pa.list_(pa.string())),
+                pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)),
+                pa.ListArray.from_arrays(pa.array([0, len(grams.strings)], pa.int32()), grams.strings),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "ids", "grams"])
 
         for batch in batches:
-            if len(batch):
-                held.append(batch)
-                chars += batch.column(text_col).nbytes
+            if not len(batch):
+                continue
+            if out is None:
+                sink, grams, ids, chars = pa.BufferOutputStream(), DistinctGrams(), [], 0
+                out = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5)))
+            out.write_batch(batch)
+            ids.append(batch.column(id_col))
+            grams.add(_texts(batch, text_col))
+            chars += batch.column(text_col).nbytes
             if chars >= block_chars:
                 yield block()
-                held, chars, number = [], 0, number + 1
-        if held:
+                out, number = None, number + 1
+        if out is not None:
             yield block()
 
     made = docs.mapInArrow(run, f"block long, rows binary, ids array<{id_type}>, grams array<string>")
     return bucketed(made, "quality-blocks", ["block"])
 
 
-def _texts(rows: pa.Table, text_col: str) -> list[str]:
+def _texts(rows: pa.RecordBatch, text_col: str) -> list[str]:
     return [t or "" for t in rows.column(text_col).to_pylist()]
 
 
-def _rows(blob: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+def _rows(blob: pa.Scalar) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A block's batches of rows, each with the place of its first row."""
+    place = 0
+    for batch in pa.ipc.open_stream(blob.as_buffer()):
+        yield place, batch
+        place += len(batch)
+
+
+def _within(places: np.ndarray, first: int, batch: pa.RecordBatch) -> np.ndarray:
+    return places[(places >= first) & (places < first + len(batch))] - first
+
+
+def _places(value: pa.Scalar) -> np.ndarray:
+    return np.sort(np.array(value.as_py() or [], np.int64))
 
 
 def count_grams(blocks: DataFrame, marks: DataFrame, text_col: str) -> DataFrame:
@@ -138,14 +156,14 @@ def count_grams(blocks: DataFrame, marks: DataFrame, text_col: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, train in zip(batch.column(0), batch.column(1)):
-                texts = _texts(_rows(blob).select([text_col]).take(pa.array(train.as_py(), pa.int64())), text_col)
-                for part in chunks(texts, len(texts), 4 * STEP_CHARS):
-                    grams = Grams(texts[part])
-                    every = np.arange(len(grams.hashes))
-                    counts = np.bincount(grams.code, minlength=len(every))
-                    for at in range(0, len(every), 50_000):
-                        names = grams.strings(every[at : at + 50_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts[at : at + 50_000])], names=["gram", "c"])
+                places = _places(train)
+                for first, rows in _rows(blob):
+                    texts = _texts(rows.take(pa.array(_within(places, first, rows))), text_col)
+                    for part in chunks(texts, len(texts), STEP_CHARS):
+                        grams = Grams(texts[part])
+                        every = np.arange(len(grams.hashes))
+                        counts = np.bincount(grams.code, minlength=len(every))
+                        yield pa.RecordBatch.from_arrays([pa.array(grams.strings(every)), pa.array(counts)], names=["gram", "c"])
 
     trained = blocks.join(marks.where(F.size("train") > 0), "block").select("rows", "train")
     return trained.mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -241,19 +259,20 @@ def perplexities(blocks: DataFrame, told: DataFrame, marks: DataFrame, docs: Dat
                 keys = _hashes(flat)[::ORDER]
                 order = np.argsort(keys)
                 keys, value = keys[order], value[order]
-                rows = _rows(blob)
-                mark = np.zeros(len(rows), bool)
-                mark[trusted.as_py() or []] = True
-                if only:
-                    rows, mark = rows.take(pa.array(places.as_py(), pa.int64())), mark[places.as_py()]
-                texts = _texts(rows, text_col)
-                for part in chunks(texts, 4096, STEP_CHARS):
-                    got = Grams(texts[part])
-                    at = np.searchsorted(keys, got.hashes)
-                    total = np.add.reduceat(value[at][got.code], np.cumsum(got.size) - got.size)
-                    some = rows.slice(part.start, part.stop - part.start)
-                    some = some.append_column("perplexity", pa.array(np.exp(total / got.size))).append_column("trusted", pa.array(mark[part]))
-                    yield from some.select(names).combine_chunks().to_batches()
+                marked, wanted = _places(trusted), _places(places)
+                for first, rows in _rows(blob):
+                    mark = np.zeros(len(rows), bool)
+                    mark[_within(marked, first, rows)] = True
+                    if only:
+                        some = _within(wanted, first, rows)
+                        rows, mark = rows.take(pa.array(some)), mark[some]
+                    texts = _texts(rows, text_col)
+                    for part in chunks(texts, len(texts), STEP_CHARS):
+                        got = Grams(texts[part])
+                        total = np.add.reduceat(value[np.searchsorted(keys, got.hashes)][got.code], np.cumsum(got.size) - got.size)
+                        kept = rows.slice(part.start, part.stop - part.start)
+                        columns = [*(kept.column(c) for c in returned), pa.array(np.exp(total / got.size)), pa.array(mark[part])]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [*returned, "perplexity", "trusted"]
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in returned)
