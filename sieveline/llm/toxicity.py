@@ -13,13 +13,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import crc32_of_id, documents, or_empty, with_columns
+from sieveline.llm.shared import chunks, crc32_of_id, documents, or_empty, small_batches, with_columns
 from sieveline.sources.scratch import materialise
 
 SYMBOLS = 64
@@ -28,7 +30,10 @@ EDGE = 26
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "", "#": "", ".": "", "-": "", "_": ""}
 #: Costs of reading a sign as a letter, of dropping a sign, and of dropping a letter from a run of two or of more.
 AS_LETTER, NO_SIGN, ONE_OF_TWO, ONE_OF_MORE = 1.0, 4.0, 6.0, 0.5
-SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]{1,3}\w){2,}(?!\w)")
+#: Single letters set apart.  What separates is never a letter, so that matching takes linear time.
+SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*]{1,3}[^\W_]){2,}(?!\w)")
+#: Letters of a learned word that may be written as two pieces with a space between them.
+TWO_PIECES = 5
 _FOLD: list[np.ndarray] = []
 
 
@@ -53,13 +58,15 @@ def character_model(docs: DataFrame, *, text_col: str = "text", strength: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                text = "  ".join(t or "" for t in batch.column(0).slice(at, 256).to_pylist()).lower()
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for part in chunks(texts, 256):
+                text = "  ".join(texts[part]).lower()
                 s = _fold()[np.frombuffer(f"  {text}  ".encode("utf-32-le", "surrogatepass"), np.uint32)]
                 total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "c"])
 
+    small_batches(docs.sparkSession)
     counts = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c")).toPandas()
     n = np.zeros(SYMBOLS**3)
     n[counts["gram"].to_numpy(int)] = counts["c"]
@@ -73,56 +80,71 @@ def character_model(docs: DataFrame, *, text_col: str = "text", strength: float
 def decode(word: str, cost: np.ndarray) -> str:
     """The likeliest spelling of an obfuscated word.
 
-    Each character offers letters, or nothing, at a cost; the path with the
-    least sum of these and of the character model's costs wins.  A state is the
-    last two symbols, so the search is exact.
+    A run of equal letters offers one or two of them, each other character
+    letters or nothing, at a cost; the path with the least sum of these and of
+    the character model's costs wins.  A state is the last two symbols, so the
+    search is exact; where a single state is left, what led to it is settled.
+    Time is linear in the word's length.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for k, ch in enumerate(word):
-        run = 1
-        while k + run < len(word) and word[k + run] == ch:
-            run += 1
-        back = 0
-        while back < k and word[k - back - 1] == ch:
-            back += 1
-        offers = [(ch, 0.0)] if ch.isalpha() else [(c, AS_LETTER) for c in LEET.get(ch, "")]
-        if not ch.isalpha():
-            offers.append(("", NO_SIGN if LEET.get(ch) else 0.0))
-        elif back and run + back == 2:
-            offers.append(("", ONE_OF_TWO))
-        elif back:
-            offers.append(("", ONE_OF_MORE))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, text) in states.items():
-            for letter, extra in offers:
-                if letter:
-                    c = symbol(letter)
-                    to, value = (b, c), (spent + extra + float(cost[a, b, c]), text + letter)
-                else:
-                    to, value = (a, b), (spent + extra, text)
-                if to not in new or value < new[to]:
-                    new[to] = value
-        states = new
-    ends = [(spent + float(cost[a, b, EDGE]), text) for (a, b), (spent, text) in states.items()]
-    return min(ends)[1]
+    settled: list[str] = []
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+
+    def path(node: tuple | None) -> list[str]:
+        letters = []
+        while node:
+            letters.append(node[0])
+            node = node[1]
+        return letters[::-1]
+
+    for ch, group in groupby(word):
+        run = sum(1 for _ in group)
+        if ch.isalpha():
+            dropped = ONE_OF_TWO if run == 2 else ONE_OF_MORE
+            steps = [[(ch * n, (run - n) * dropped) for n in (1, 2) if n <= run]]
+        else:
+            read = LEET.get(ch, "")
+            steps = repeat([*((c, AS_LETTER) for c in read), ("", NO_SIGN if read else 0.0)], run if read else 1)
+        for offers in steps:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (spent, node) in states.items():
+                for letters, extra in offers:
+                    x, y, value, to = a, b, spent + extra, node
+                    for letter in letters:
+                        c = symbol(letter)
+                        value, x, y, to = value + float(cost[x, y, c]), y, c, (letter, to)
+                    if (x, y) not in new or value < new[x, y][0]:
+                        new[x, y] = (value, to)
+            states = new
+            if len(states) == 1:
+                ((at, (_, node)),) = states.items()
+                settled += path(node)
+                states = {at: (0.0, None)}
+    _, best = min(((spent + float(cost[a, b, EDGE]), node) for (a, b), (spent, node) in states.items()), key=lambda e: e[0])
+    return "".join([*settled, *path(best)])
 
 
 _TRIM = ".,;:?!\"'()[]{}<>%&*#=~`^/\\"
-_ODD = re.compile(r"[^\W\d_]*[0-9@$!|+€*#._-]|(.)\1\1")
+_ODD = re.compile(r"[0-9@$!|+€*#._-]|([^\W\d_])\1")
 
 
 def restored(token: str, cost: np.ndarray) -> list[str]:
     """The readings of a white-space separated token, lower-cased: its letters as
-    they are, and its decoded form where it looks obfuscated."""
+    they are, and its decoded form where it has a digit or sign or a repeated
+    letter.  A sign before it that may be a letter makes one reading more."""
     token = token.lower()
     core = token.strip(_TRIM)
+    before = token[: token.index(core)] if core else ""
     tail = len(core) - len(core.rstrip("$@+|"))
     if tail > 2:  # a row of signs is decoration
         core = core[:-tail]
     plain = [w for w in re.split(r"[\W\d_]+", core) if w]
-    if not any(ch.isalpha() for ch in core) or not _ODD.match(core) and not _ODD.search(core):
+    if not plain:
         return plain
-    return [*plain, decode(core, cost)]
+    if LEET.get(before[-1:]):
+        plain.append(decode(before[-1] + core, cost))
+    if _ODD.search(core):
+        plain.append(decode(core, cost))
+    return plain
 
 
 def features(word: str) -> list[str]:
@@ -136,7 +158,7 @@ def tokens(text: str) -> set[str]:
     if any(len(t) == 1 for t in found) or "." in text:
         for m in SPACED.finditer(text):
             if any(c.isalpha() for c in m[0]):
-                found.add("".join(re.split(r"[ .\-_*]+", m[0])))
+                found.add("".join(re.split(r"[\s.\-_*]+", m[0])))
     return found
 
 
@@ -153,30 +175,29 @@ class ToxicityModel:
 class _Evidence(dict):
     """Token -> evidence; starts anew when it holds ``limit`` tokens."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 500_000):
+    def __init__(self, model: ToxicityModel, limit: int = 200_000):
         super().__init__()
         self.model, self.limit = model, limit
+        self.words = {f[1:] for f in model.weight if f[0] == "=" and len(f) > TWO_PIECES}
 
     def __missing__(self, token: str) -> float:
         if len(self) >= self.limit:
             self.clear()
         value = 0.0
         if len(token) > 2:
-            if token.isalpha():
-                words = [token.lower()]
-                if re.search(r"(.)\1\1", words[0]):
-                    words.append(decode(words[0], self.model.cost))
-            else:
-                words = restored(token, self.model.cost)
             weight = self.model.weight
-            value = max((weight.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+            value = max((weight.get(f, 0.0) for w in restored(token, self.model.cost) for f in features(w)), default=0.0)
         self[token] = value
         return value
 
-    def of(self, text: str, top: int = 5) -> float:
-        """The sum of the ``top`` greatest evidences of a text's distinct tokens."""
-        values = [v for v in map(self.__getitem__, tokens(text)) if v > 0]
-        return sum(sorted(values, reverse=True)[:top])
+    def of(self, text: str) -> float:
+        """The evidences of a text's distinct tokens, and of learned words written
+        in two pieces: the greatest counts in full, the k-th by 1 / k."""
+        found = tokens(text)
+        pieces = text.lower().split()
+        found |= self.words.intersection(map(add, pieces, pieces[1:]))
+        values = sorted((v for v in map(self.__getitem__, found) if v > 0), reverse=True)
+        return sum(v / k for k, v in enumerate(values, 1))
 
 
 def fit_toxicity(
@@ -185,7 +206,6 @@ def fit_toxicity(
     *,
     cost: np.ndarray,
     fit_rows: int = 20_000,
-    max_features: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -194,8 +214,8 @@ def fit_toxicity(
     the smallest hashes of their ids.
 
     A feature's weight is the lower bound, two standard errors below, of its
-    log odds in toxic against other documents; those above 1 stay, at most
-    ``max_features``.  A logistic line through the documents' evidence follows.
+    log odds in toxic against other documents; those above 1 stay, of which
+    ``fit_rows`` documents have a bounded number.  A logistic line through the documents' evidence follows.
     Rows with a null id or label don't count; an id labelled twice is toxic if
     any label says so.  Without both labels every score is the base rate.
     """
@@ -230,7 +250,7 @@ def fit_toxicity(
 
     sums = fit.repartition(max(1, -(-(n1 + n0) // 512))).mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = f"ln((a + 0.5) / {n1 + 1}) - ln((b + 0.5) / {n0 + 1}) - 2 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5))"
-    best = sums.where("a >= 2").select("f", F.expr(odds).alias("w")).where("w > 1").orderBy(F.desc("w"), "f").limit(max_features).collect()
+    best = sums.where("a >= 2").select("f", F.expr(odds).alias("w")).where("w > 1").collect()
     model = ToxicityModel(cost, {r[0]: float(r[1]) for r in best})
     seen = evidence(fit, model).select("evidence", "y").toPandas()  # fit_rows at most
     slope, base = _logistic(seen["evidence"].to_numpy(float), (seen["y"] == 1).to_numpy(float))
@@ -251,7 +271,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 6
 
 def evidence(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` with ``evidence``, from the whole text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_features weights and SYMBOLS ** 3 costs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights from fit_rows documents and SYMBOLS ** 3 costs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Evidence(shared.value)
