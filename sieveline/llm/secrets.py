@@ -43,22 +43,50 @@ NO_WORDS = r"[0-9][/_=+-]*[A-Za-z]|[0-9]{5}|[0-9][/_=+-]+[0-9]|[A-Z][a-z][A-Z]"
 FILL = "="
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once: an expression that a lambda
+    refers to would be worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array of bigints, by doubling: n log n steps and no array that grows."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(numbers).cast("bigint"))))
+
+    def further(sums: Column, k: Column) -> Column:
+        step = F.pow(F.lit(2), k).cast("int")
+        return _bound(step, lambda d: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - d), F.lit(0).cast("bigint"))))
+
+    return F.aggregate(rounds, numbers, further)
+
+
+def _matches(text: Column, pattern: str, groups: bool = False) -> Column:
+    """(start, end, value) of ``pattern``'s matches in order; with ``groups`` the
+    pattern has two groups and ``value`` is the second."""
+    mark = f"{EDGE}$1{INNER}$2{EDGE}" if groups else f"{EDGE}$0{EDGE}"
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+
+    def found(parts: Column) -> Column:
+        # Every second part is a match; one marker inside it doesn't count.
+        sizes = F.transform(parts, lambda p, k: (F.length(p) - (F.pmod(k, F.lit(2)) if groups else F.lit(0))).cast("bigint"))
+
+        def spans(ends: Column) -> Column:
+            value = lambda p: F.substring_index(p, INNER, -1) if groups else p
+            rows = F.transform(parts, lambda p, k: F.struct(F.get(ends, k - 1).alias("start"), F.get(ends, k).alias("end"), F.when(F.pmod(k, F.lit(2)) == 1, value(p)).alias("value")))
+            return F.filter(rows, lambda r: r["value"].isNotNull())
+
+        return F.when(F.size(parts) > 1, _bound(_bound(sizes, _running), spans)).otherwise(empty)
+
+    return _bound(F.split(F.regexp_replace(text, pattern, mark), EDGE, -1), found)
+
+
 def _spans(text: Column, pattern: str, kind: int, least_inner: int | None = None) -> Column:
     """Spans of ``pattern``'s matches.  With ``least_inner`` the pattern has two
     groups and a match counts if the second has that many characters."""
-    mark = f"{EDGE}$1{INNER}$2{EDGE}" if least_inner else f"{EDGE}$0{EDGE}"
-    parts = F.split(F.regexp_replace(text, pattern, mark), EDGE, -1)
-    extra = 1 if least_inner else 0
-
-    def step(state: Column, part: Column) -> Column:
-        size = F.length(part) - F.when(state["odd"], extra).otherwise(0)
-        end = state["at"] + size
-        good = state["odd"] if not least_inner else state["odd"] & (F.length(F.substring_index(part, INNER, -1)) >= least_inner)
-        found = F.array(F.struct(state["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), F.when(good, F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+    found = _matches(text, pattern, bool(least_inner))
+    if least_inner:
+        found = F.filter(found, lambda m: F.length(m["value"]) >= least_inner)
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
 def entropy_windows(value: Column, window: int, least_bits: Column) -> Column:
@@ -67,47 +95,53 @@ def entropy_windows(value: Column, window: int, least_bits: Column) -> Column:
 
     A window's entropy is log2(w) - sum(c * log2 c) / w over its character
     counts.  The sum is kept while the window slides: the character that comes
-    in and the one that goes out each change one count.
+    in and the one that goes out each change one count.  The counts are a string
+    with a character for each count, so that a step costs the same wherever it is.
     """
-    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
-    codes = F.filter(codes, lambda c: c > 0)
+    return _bound(F.filter(codes, lambda c: c > 0), lambda c: _slide(c, window, least_bits))
+
+
+#: The character that stands for a count of 0; a count of c is the c-th after it.
+ZERO = 48
+
+
+def _slide(codes: Column, window: int, least_bits: Column) -> Column:
+    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def bump(s: Column, code: Column, by: int) -> Column:
+        """One character more or less in the window."""
 
-    # bound once, or each step would work them out again
-    return F.flatten(F.transform(F.array(codes), lambda c: _slide(c, window, least_bits, table)))
+        def changed(count: Column) -> Column:
+            total = s["total"] + F.element_at(table, count + 1 + by) - F.element_at(table, count + 1)
+            return _state(F.overlay(s["counts"], F.char(count + by + ZERO), code, F.lit(1)), total, s["open"], s["spans"])
 
+        return _bound(F.ascii(F.substring(s["counts"], code, F.lit(1))) - ZERO, changed)
 
-def _slide(codes: Column, window: int, least_bits: Column, table: Column) -> Column:
-    def bump(state: Column, code: Column, by: int) -> Column:
-        count = F.element_at(state["counts"], code)
-        total = state["total"] + F.element_at(table, count + 1 + by) - F.element_at(table, count + 1)
-        counts = F.transform(state["counts"], lambda c, k: F.when(k + 1 == code, c + by).otherwise(c))
-        return F.struct(counts.alias("counts"), total.alias("total"), state["spans"].alias("spans"))
+    def note(s: Column, i: Column) -> Column:
+        """A window that reaches its bits goes on with the open span or closes it."""
+        high = (i >= window) & (F.lit(math.log2(window)) - s["total"] / window >= least_bits)
+        start, end = (i - window).cast("bigint"), i.cast("bigint")
+        joins = s["open"]["end"] >= start
+        span = F.struct(F.when(joins, s["open"]["start"]).otherwise(start).alias("start"), end.alias("end"))
+        closed = F.when(joins | (s["open"]["end"] < 0), s["spans"]).otherwise(F.concat(s["spans"], F.array(s["open"])))
+        return F.when(high, _state(s["counts"], s["total"], span, closed)).otherwise(s)
 
     def step(state: Column, i: Column) -> Column:
-        # array-of-one transforms bind a sub-result once, so that it isn't worked out again at each use
-        came = F.transform(F.array(state), lambda s: bump(s, F.element_at(codes, i), 1))
-        both = F.transform(came, lambda s: F.when(i > window, bump(s, F.element_at(codes, F.greatest(i - window, F.lit(1))), -1)).otherwise(s))
-
-        def note(s: Column) -> Column:
-            high = (i >= window) & (F.lit(math.log2(window)) - s["total"] / window >= least_bits)
-            start, last = (i - window).cast("bigint"), F.get(s["spans"], F.size(s["spans"]) - 1)
-            join = F.size(s["spans"]).__gt__(0) & (last["end"] >= start)
-            before = F.when(join, F.slice(s["spans"], 1, F.greatest(F.size(s["spans"]) - 1, F.lit(0)))).otherwise(s["spans"])
-            new = F.struct(F.when(join, last["start"]).otherwise(start).alias("start"), i.cast("bigint").alias("end"))
-            spans = F.when(high, F.concat(before, F.array(new))).otherwise(s["spans"])
-            return F.struct(s["counts"].alias("counts"), s["total"].alias("total"), spans.alias("spans"))
-
-        return F.element_at(F.transform(both, note), 1)
-
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
-    )
-    return F.when(
-        F.size(codes) >= window, F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda s: s["spans"])
-    ).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+        came = bump(state, F.element_at(codes, i), 1)
+        gone = F.element_at(codes, F.greatest(i - window, F.lit(1)))
+        both = _bound(came, lambda s: F.when(i > window, bump(s, gone, -1)).otherwise(s))
+        return _bound(both, lambda s: note(s, i))
+
+    nothing = F.struct(F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
+    zero = _state(F.lit(chr(ZERO) * len(ALPHABET)), F.lit(0.0), nothing, none)
+    finish = lambda s: F.when(s["open"]["end"] < 0, none).otherwise(F.concat(s["spans"], F.array(s["open"])))
+    return F.when(F.size(codes) >= window, F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, finish)).otherwise(none)
+
+
+def _state(counts: Column, total: Column, open_: Column, spans: Column) -> Column:
+    return F.struct(counts.alias("counts"), total.alias("total"), open_.alias("open"), spans.alias("spans"))
 
 
 def _blanked(value: Column, allowed: Sequence[str]) -> Column:
@@ -121,11 +155,9 @@ def _blanked(value: Column, allowed: Sequence[str]) -> Column:
 
 
 def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
-    found = _spans(text, CANDIDATE % window, KINDS.index("entropy"))
-
-    def inside(span: Column) -> Column:
-        value = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+    kind = KINDS.index("entropy")
 
+    def inside(found: Column) -> Column:
         def scan(v: Column) -> Column:
             bits = (
                 F.when(v.rlike("^[0-9a-fA-F=]+$") & v.rlike("[0-9]"), HEX_BITS)
@@ -135,14 +167,13 @@ def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
                 .when(F.length(v) <= SHORT_MIXED, SHORT_MIXED_BITS)
                 .otherwise(MIXED_BITS)
             )
-            return F.transform(
-                F.flatten(F.transform(F.array(bits), lambda b: entropy_windows(v, window, b))),  # the class is found once
-                lambda s: F.struct((span["start"] + s["start"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (span["start"] + s["end"]).alias("end")),
-            )
+            high = _bound(bits, lambda b: entropy_windows(v, window, b))  # the class is found once
+            shifted = lambda s: F.struct((found["start"] + s["start"]).alias("start"), F.lit(kind).alias("kind"), (found["start"] + s["end"]).alias("end"))
+            return F.transform(high, shifted)
 
-        return F.element_at(F.transform(F.array(_blanked(value, allowed)), scan), 1)
+        return _bound(_blanked(found["value"], allowed), scan)
 
-    return F.flatten(F.transform(found, inside))
+    return F.flatten(F.transform(_matches(text, CANDIDATE % window), inside))
 
 
 def scan_secrets(
