@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a temporary one where none is set."""
+    """The shared folder for scratch tables; a temporary one where none is set
+    and everything runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sieveline"
@@ -59,7 +62,12 @@ def rekeyed(column: Column, kind: str = "long") -> Column:
 
 
 def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> DataFrame:
-    """Write ``df`` as a scratch table in hash buckets of ``keys``, each sorted.
+    """``bucketed_table`` as a DataFrame."""
+    return df.sparkSession.table(bucketed_table(df, label, keys, buckets))
+
+
+def bucketed_table(df: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> str:
+    """Write ``df`` as a scratch table in hash buckets of ``keys``, each sorted; its name.
 
     Tables with as many buckets are joined on the keys without an exchange.
     The number follows the session's shuffle partitions if none is given.
@@ -68,4 +76,12 @@ def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int | None = N
     name = f"scratch_{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return name
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Delete one table of ``bucketed_table`` with its files."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").collect()
+    spark.sql(f"DROP TABLE {name}")
+    for row in rows:
+        drop_path(spark, row["data_type"])
