@@ -14,11 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import ascii_lower, documents, drop_path, materialise, or_empty, scratch_path, with_columns
+from sieveline.llm.shared import ascii_lower, documents, materialise, or_empty, rekeyed, with_columns
+from sieveline.sources.scratch import bucketed_table, drop_table
 
 #: The characters stripped at both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
-RUN_SCHEMA = "h1 long, h2 long, owner {id}"
 
 
 def line_keys(text: str | Column) -> Column:
@@ -36,44 +36,67 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 class LineRuns:
     """The runs: which document was the first to hold a line.
 
-    ``levels[k]`` lists the paths of the sorted runs of level ``k``.  A run has
+    ``levels[k]`` lists the tables of the sorted runs of level ``k``.  A run has
     a row for each new hash with the smallest id of its batch that holds it.
+    All runs lie in the same number of hash buckets, each bucket sorted, so that
+    a batch is exchanged and sorted once and then merged with every run as it
+    lies; no run is exchanged or sorted again.
     """
 
     spark: SparkSession
-    id_type: str = "bigint"
     fanout: int = 3
+    buckets: int = 0
     levels: list[list[str]] = field(default_factory=list)
 
-    def read(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN_SCHEMA.format(id=self.id_type)).parquet(*paths) if paths else None
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # Else Spark sorts a bucket again although its one file is sorted.
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """(h1, h2, owner) of the hashes that no run holds."""
+        own = lines.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
+        for run in self.tables():
+            own = own.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return own.select("h1", "h2", "owner")
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (id, h1, h2) whose ids are greater than all before."""
-        own = lines.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-        runs = self.read()
-        if runs is not None:
-            own = own.join(runs.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._write(own, 0)
+        self._write(self.new_lines(lines), 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"line-run-{level}")
-        rows.select("h1", "h2", "owner").sortWithinPartitions("h1", "h2").write.parquet(path)
+        table = bucketed_table(rows, f"line-run-{level}", ["h1", "h2"], self.buckets)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(table)
 
     def _compact(self, level: int) -> None:
         old = self.levels[level]
-        merged = self.spark.read.schema(RUN_SCHEMA.format(id=self.id_type)).parquet(*old)
         self.levels[level] = []
-        self._write(merged.repartitionByRange("h1", "h2"), level + 1)
-        for path in old:
-            drop_path(self.spark, path)
+        # Runs share no hash, so that merging is putting their buckets together; one exchange makes a bucket one sorted file again.
+        merged = reduce(DataFrame.union, [self.spark.table(name) for name in old])
+        self._write(merged.repartition(self.buckets, "h1", "h2"), level + 1)
+        for name in old:
+            drop_table(self.spark, name)
+
+
+def batch_bounds(docs: DataFrame, id_col: str, batches: int, ranges: int = 64) -> list:
+    """The greatest ids of all but the last of ``batches`` consecutive batches of about as many rows."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL")
+    parts = ids.repartitionByRange(ranges, "id").groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    found = sorted(parts.collect(), key=lambda r: r["part"])  # a row for each range
+    total, upto, bounds = sum(r["n"] for r in found), 0, []
+    for r in found[:-1]:
+        upto += r["n"]
+        if upto * batches >= total * (len(bounds) + 1):
+            bounds.append(r["last"])
+    return bounds[: batches - 1]
 
 
 def line_dedup(
@@ -91,7 +114,8 @@ def line_dedup(
     A line whose key has ``min_chars`` code points or more and is found in two
     documents loses all its occurrences except those in the smallest id that
     holds it; the other lines stay, joined by line feeds.  Pass ``runs`` to go
-    on from an index of earlier documents, whose ids must be smaller.
+    on from an index of earlier documents, whose ids must be smaller.  Ids may be
+    of any type that is ordered.
 
     Only (id, position, hash) of lines is exchanged for the search; the texts
     are exchanged once, to meet the positions to drop.
@@ -102,25 +126,20 @@ def line_dedup(
     like a result are replaced.
     """
     spark = docs.sparkSession
-    ids = docs.schema[id_col].dataType
-    runs = runs or LineRuns(spark, ids.simpleString(), fanout)
-    lo, hi = docs.agg(F.min(F.col(f"`{id_col}`")), F.max(F.col(f"`{id_col}`"))).first()
-    low, width = (lo, (hi - lo) // batches + 1) if lo is not None else (0, 1)
-    lines = line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", F.expr(f"(id - {low}L) div {width}L").cast("int"))
+    runs = runs or LineRuns(spark, fanout)
+    bounds = batch_bounds(docs, id_col, batches)
+    batch: Column = F.lit(0)
+    for k, last in enumerate(bounds, 1):
+        batch = F.when(F.col("id") > F.lit(last), k).otherwise(batch)
+    lines = line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", batch)
     lines = materialise(lines, "lines", partition_by="batch")
-    for batch in range(batches if lo is not None else 0):
-        runs.add(lines.where(F.col("batch") == batch))
-
-    owners = runs.read()
-    if owners is None:
-        drops = spark.createDataFrame([], f"__id {ids.simpleString()}, __drop array<int>")
-    else:
-        drops = (
-            lines.join(owners, ["h1", "h2"])
-            .where(F.col("id") > F.col("owner"))
-            .groupBy(F.col("id").alias("__id"))
-            .agg(F.collect_set("pos").alias("__drop"))
-        )
+    for k in range(len(bounds) + 1):
+        runs.add(lines.where(F.col("batch") == k))
+
+    # The key of a run is handed over, so that both sides are exchanged and a line that is everywhere can be split.
+    owners = reduce(DataFrame.union, runs.tables()).select(rekeyed(F.col("h1")).alias("o1"), rekeyed(F.col("h2")).alias("o2"), "owner")
+    later = lines.join(owners, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & (F.col("id") > F.col("owner")))
+    drops = later.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
     joined = docs.join(drops, F.col(f"`{id_col}`") == F.col("__id"), "left")
     parts = joined.withColumn("__lines", F.split(or_empty(F.col(f"`{text_col}`")), "\n", -1))
     count = F.size("__lines")
