@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import WHITE_SPACE, documents, materialise, or_empty, rekeyed, with_columns
+from sieveline.llm.shared import MOST_BUCKETS, WHITE_SPACE, documents, materialise, or_empty, rekeyed, with_columns
 
 
 def normalised(text: str | Column) -> Column:
@@ -24,7 +24,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = 256,
-    buckets: int = 1 << 18,
+    most_buckets: int = MOST_BUCKETS,
 ) -> DataFrame:
     """All rows of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``full_hash``.
 
@@ -34,9 +34,11 @@ def exact_dedup(
       ended before the text had to be read in full.
 
     Level 1 and 2 run on a scratch table of (length, prefix hash) counts.  What
-    survives is handed to the second pass as hash buckets: at most ``buckets``
-    integers are broadcast, whatever the size of the data.  A bucket shared by
-    chance only costs a needless full hash.
+    survives is handed to the second pass as hash buckets, eight for each
+    surviving (length, prefix) group and ``most_buckets`` broadcast integers at
+    most.  A bucket shared by chance only costs a needless full hash.  Where
+    ``most_buckets`` wouldn't be enough, (length, prefix) of each row is joined
+    with the groups instead, with an exchange of the rows.
 
     Null texts count as empty ones.  A null id is never the smallest unless all
     ids of the group are null.  Rows that repeat an id and its text are members
@@ -52,12 +54,17 @@ def exact_dedup(
     )
     by_length = levels.groupBy("n").agg(F.sum("rows").alias("rows")).where("rows > 1")
     by_prefix = levels.where("rows > 1").join(by_length.select(F.col("n").alias("n1")), F.col("n") == F.col("n1"), "left_semi")
-    bucket = F.pmod(F.xxhash64("n", "p"), F.lit(buckets))
-    alive = materialise(by_prefix.select(bucket.cast("int").alias("__bucket")).distinct(), "exact-alive")
+    by_prefix = materialise(by_prefix.select("n", "p"), "exact-groups")
+    buckets = 1 << max(10, (8 * by_prefix.count()).bit_length())
+    exact = buckets > most_buckets
 
+    def place(n: Column, p: Column) -> Column:
+        return F.xxhash64(n, p) if exact else F.pmod(F.xxhash64(n, p), F.lit(buckets)).cast("int")
+
+    alive = materialise(by_prefix.select(place(F.col("n"), F.col("p")).alias("__bucket")).distinct(), "exact-alive")
     read = docs.withColumn("__t", normalised(F.col(f"`{text_col}`")))
-    here = F.pmod(F.xxhash64(F.length("__t"), F.xxhash64(F.substring("__t", 1, prefix_chars))), F.lit(buckets)).cast("int")
-    flagged = read.withColumn("__b", here).join(F.broadcast(alive), F.col("__b") == F.col("__bucket"), "left")
+    here = place(F.length("__t"), F.xxhash64(F.substring("__t", 1, prefix_chars)))
+    flagged = read.withColumn("__b", here).join(alive if exact else F.broadcast(alive), F.col("__b") == F.col("__bucket"), "left")
     flagged = flagged.withColumn("__full", F.when(F.col("__bucket").isNotNull(), F.sha2(F.col("__t").cast("binary"), 256)))
     flagged = flagged.drop("__t", "__b", "__bucket")
 
