@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.llm.shared import WORD, documents, or_empty, with_columns
-from sieveline.sources.scratch import materialise
+from sieveline.operators.graph import components
+from sieveline.sources.scratch import materialise, rekeyed
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -87,50 +87,98 @@ class Flow:
         return self.room[e ^ 1]
 
 
-@dataclass(frozen=True)
-class Plan:
-    """What the mix takes of a pattern: ``copies`` of each document and about
-    ``more`` tokens of documents that get another one."""
-
-    sources: tuple[str | None, ...]
-    docs: int
-    size: int
-    copies: int
-    more: int
-    source_size: int
-    target: float
-
-
-def plan_mix(patterns: Sequence[tuple[Sequence[str | None], int, int]], *, weights: Sequence[float], most: int) -> list[Plan]:
-    """Plans for (sources, documents, size) patterns; null sources come last.
-
-    The driver holds one row for each pattern, and a network of patterns times
-    ``most`` plus memberships: it grows with the number of source combinations,
-    not with documents.
-    """
-    names = sorted({s for p in patterns for s in p[0]}, key=lambda s: (s is None, (s or "").encode()))
-    size_of = {s: sum(p[2] for p in patterns if s in p[0]) for s in names}
-    weight = [weights[k % len(weights)] for k in range(len(names))]
-    quota = dict(zip(names, targets([size_of[s] for s in names], weight, sum(p[2] for p in patterns), most)))
+def route(patterns: Sequence[tuple[Sequence[str | None], int]], quota: dict[str | None, float], *, most: int) -> list[int]:
+    """Tokens that flow through each (sources, size) pattern at least cost; the
+    c-th copy of a pattern costs (c - 1) squared a token."""
+    names = sorted(quota, key=lambda s: (s is None, (s or "").encode()))
     node = {s: 1 + len(patterns) + k for k, s in enumerate(names)}
     sink = 1 + len(patterns) + len(names)
     net, supply = Flow(sink + 1), []
-    for k, (sources, _, size) in enumerate(patterns):
+    for k, (sources, size) in enumerate(patterns):
         supply.append([net.edge(0, 1 + k, size, copy * copy) for copy in range(most)])  # convex: 0, 1, 4, ...
         for s in sorted(set(sources), key=lambda s: node[s]):
             net.edge(1 + k, node[s], most * size, 0)
     for s in names:
         net.edge(node[s], sink, round(quota[s]), 0)
     net.run(0, sink)
-    plans = []
-    for k, (sources, docs, size) in enumerate(patterns):
-        flow = sum(net.flow(e) for e in supply[k])
-        copies, more = divmod(flow, size) if size else (0, 0)
-        plans.append(Plan(tuple(sources), docs, size, copies, more, sum(size_of[s] for s in set(sources)), float(sum(quota[s] for s in set(sources)))))
-    return plans
+    return [sum(net.flow(e) for e in edges) for edges in supply]
+
 
+def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, most: int) -> DataFrame:
+    """(source, source_size, target) of (source, source_size): ``targets`` as a query.
 
-PLAN = "__q string, __copies int, __more long, __buckets int, __ss long, __target double"
+    Sources are numbered in code point order, null last, by one sort: a row for
+    each partition reaches the driver.  The common level of targets to weights
+    rises until no further source is full; a round sums up two numbers.
+    """
+    spark = sizes.sparkSession
+    ordered = sizes.orderBy(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "mix-sources").withColumn("part", F.shiftright("at", 33))
+    parts = sorted(ordered.groupBy("part").count().collect())
+    begin, rows = 0, []
+    for part, n in parts:
+        rows.append((part, begin))
+        begin += n
+    begins = materialise(spark.createDataFrame(rows, "p long, begin long"), "mix-begins")
+    place = F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int"))
+    known = ordered.join(begins, F.col("part") == F.col("p")).select("source", "source_size", weight.alias("w"), (F.col("source_size") * most).cast("double").alias("cap"))
+    known = materialise(known, "mix-weights")
+    level, before = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("w") * F.lit(level)
+        n, filled, free = known.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if n == before or not free:
+            break
+        level, before = (total - (filled or 0.0)) / free, n
+    return known.select("source", "source_size", F.least("cap", F.col("w") * F.lit(level)).alias("target"))
+
+
+def pattern_plans(rows: DataFrame, *, weights: Sequence[float], most: int, most_memberships: int) -> DataFrame:
+    """What the mix takes of each pattern: ``copies`` of all its documents and
+    ``more`` tokens of documents that get another one.
+
+    A pattern whose one source no other pattern has is given that source's
+    target.  Patterns that share sources are routed by flow, each connected group
+    of them in a task of its own; a group of more than ``most_memberships``
+    (pattern, source) pairs raises an error.
+    """
+    patterns = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("docs"), F.sum("__size").alias("size"))
+    patterns = materialise(patterns, "mix-patterns")
+    members = patterns.select("__p", "size", F.explode(F.from_json("__p", "array<string>")).alias("source"))
+    sizes = materialise(members.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("patterns")), "mix-sizes")
+    total = float(patterns.agg(F.sum("size")).first()[0] or 0)
+    goal = source_targets(sizes.select("source", "source_size"), weights, total, most)
+    goal = goal.join(sizes.select(F.col("source").alias("s"), "patterns"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    told = members.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    told = materialise(told, "mix-members")
+    per = told.groupBy("__p", "size").agg(F.sum("source_size").alias("ss"), F.sum("target").alias("target"), F.count(F.lit(1)).alias("sources"), F.max("patterns").alias("shared"))
+    per = materialise(per, "mix-per-pattern")
+    alone = (F.col("sources") == 1) & (F.col("shared") == 1)
+    flows = per.where(alone).select("__p", F.least(F.round("target").cast("long"), F.col("size") * most).alias("flow"))
+    joint = per.where(~alone).select(F.col("__p").alias("__j"))
+    if not joint.isEmpty():
+        shared = told.join(joint, F.col("__p") == F.col("__j"), "left_semi")
+        ends = shared.select(F.xxhash64(F.lit(1), "__p").alias("a"), F.xxhash64(F.lit(2), "source").alias("b"), "__p", "source", "size", "target")
+        labels = components(ends.select("a", "b")).select("node", "root")
+        grouped = ends.join(labels, F.col("a") == F.col("node")).select("root", "__p", "source", "size", "target")
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            if len(frame) > most_memberships:
+                raise ValueError(f"{len(frame)} memberships of connected sources, more than most_memberships = {most_memberships}")
+            name = lambda s: None if pd.isna(s) else s
+            keys = sorted(frame["__p"].unique())
+            size = dict(zip(frame["__p"], frame["size"]))
+            quota = {name(s): t for s, t in zip(frame["source"], frame["target"])}
+            found = route([(json.loads(k), int(size[k])) for k in keys], quota, most=most)
+            return pd.DataFrame({"__p": keys, "flow": found})
+
+        flows = flows.unionByName(grouped.groupBy("root").applyInPandas(run, "`__p` string, flow long"))
+    joined = patterns.join(flows.withColumnRenamed("__p", "__f"), F.col("__p") == F.col("__f")).join(per.select(F.col("__p").alias("__t"), "ss", "target"), F.col("__p") == F.col("__t"))
+    some = F.col("size") > 0
+    copies = F.when(some, F.expr("flow div size")).otherwise(0).cast("int")
+    more = F.when(some, F.col("flow") % F.col("size")).otherwise(0)
+    return materialise(joined.select(rekeyed(F.col("__p"), "string").alias("__q"), copies.alias("__copies"), more.alias("__more"), "docs", F.col("ss").alias("__ss"), F.col("target").alias("__target")), "mix-plan")
 
 
 def mix_sources(
@@ -140,6 +188,7 @@ def mix_sources(
     most: int = 3,
     seed: int = 20_240_607,
     bucket_docs: int = 1000,
+    most_memberships: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -162,7 +211,6 @@ def mix_sources(
     so do rows with a null id.  An empty table gives an empty result; columns
     named like a result are replaced.
     """
-    spark = docs.sparkSession
     source, this = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
     null = F.array(F.lit(None).cast("string"))
     if isinstance(docs.schema[source_col].dataType, T.ArrayType):
@@ -178,15 +226,14 @@ def mix_sources(
     )
     rows = materialise(text.select(this.alias("__id"), "__h", "__size", "__p"), "mix-rows")
 
-    found = rows.groupBy("__p").agg(F.count(F.lit(1)), F.sum("__size")).collect()  # a row for each combination of sources
-    found = sorted(((r[0], tuple(json.loads(r[0])), r[1], r[2]) for r in found), key=lambda r: [(s is None, (s or "").encode()) for s in r[1]])
-    plans = plan_mix([r[1:] for r in found], weights=weights, most=most)
-    table = spark.createDataFrame([(r[0], p.copies, p.more, max(1, -(-p.docs // bucket_docs)), p.source_size, p.target) for r, p in zip(found, plans)], PLAN)
+    table = pattern_plans(rows, weights=weights, most=most, most_memberships=most_memberships)
+    table = table.withColumn("__buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_docs)).cast("int")).drop("docs")
+    pattern_key = rekeyed(F.col("__p"), "string")
 
     # Which hash buckets are taken whole, and how much of the next one.
     bucket = F.pmod("__h", "__buckets").cast("int")
     units = rows.groupBy("__p", "__id", "__h").agg(F.sum("__size").alias("__size"))
-    placed = units.join(table, F.col("__p") == F.col("__q")).where("__more > 0").withColumn("__bucket", bucket)
+    placed = units.join(table, pattern_key == F.col("__q")).where("__more > 0").withColumn("__bucket", bucket)
     sums = placed.groupBy("__p", "__more", "__bucket").agg(F.sum("__size").alias("size"))
     order = Window.partitionBy("__p").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("size").over(order)).where("upto > __more")
@@ -205,12 +252,12 @@ def mix_sources(
             taken[min(over)[1]] = True
         return frame.loc[taken, ["__id", "__h"]].assign(__extra=1)
 
-    edge = placed.join(cut, (F.col("__p") == F.col("__cut")) & (F.col("__bucket") == F.col("__at")))
+    edge = placed.join(cut, (pattern_key == rekeyed(F.col("__cut"), "string")) & (F.col("__bucket") == F.col("__at")))
     id_type = rows.schema["__id"].dataType.simpleString()
     picks = edge.select("__p", "__id", "__h", "__size", "__rest").groupBy("__p").applyInPandas(choose, f"__id {id_type}, __h long, __extra int")
     picks = materialise(picks, "mix-picks").withColumnsRenamed({"__id": "__pid", "__h": "__ph"})
 
-    out = text.join(table, F.col("__p") == F.col("__q")).join(cut, F.col("__p") == F.col("__cut"), "left")
+    out = text.join(table, pattern_key == F.col("__q")).join(cut, pattern_key == rekeyed(F.col("__cut"), "string"), "left")
     out = out.join(picks, (F.col("__h") == F.col("__ph")) & this.eqNullSafe(F.col("__pid")), "left")
     # A pattern without a cut takes all its buckets, or none where nothing more is asked for.
     extra = F.when(F.col("__more") == 0, 0).when(F.col("__at").isNull() | (bucket < F.col("__at")), 1).otherwise(F.coalesce("__extra", F.lit(0)))
