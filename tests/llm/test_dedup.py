@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm.exact_dedup import exact_dedup
-from sieveline.llm.line_dedup import LineRuns, line_dedup, line_hashes
+from sieveline.llm.line_dedup import LineRuns, batch_bounds, line_dedup, line_hashes
 from sieveline.llm.minhash import near_duplicates
 from tests.llm.helpers import ODD, SCHEMA, prose, table
 
@@ -25,10 +25,11 @@ def plain_exact(texts):
     return {k: (g[0], len(g), k == g[0]) for g in groups.values() for k in g}
 
 
-def test_exact_matches_plain(spark):
+@pytest.mark.parametrize("most_buckets", [1 << 22, 4])
+def test_exact_matches_plain(spark, most_buckets):
     r = random.Random(5)
     texts = ODD + [prose(r.randrange(40), 12) for _ in range(200)] + [prose(3, 400) + str(k % 3) for k in range(30)]
-    out = exact_dedup(table(spark, texts), buckets=64).collect()
+    out = exact_dedup(table(spark, texts), most_buckets=most_buckets).collect()
     assert {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in out} == plain_exact(texts)
     read = {x.doc_id: x.full_hash for x in out if x.full_hash}
     assert all(h == hashlib.sha256(WS.sub(" ", texts[k] or "").encode()).hexdigest() for k, h in read.items())
@@ -78,12 +79,35 @@ def test_line_runs_compact_and_go_on(spark):
     for k in range(5):
         docs = spark.createDataFrame([(10 * k, f"common line here\nonly in batch {k}!!")], "doc_id long, text string")
         runs.add(line_hashes(docs, "doc_id", "text", 10))
-    assert sum(map(len, runs.levels)) <= 3 and runs.read().count() == 6
+    assert sum(map(len, runs.levels)) <= 3 and sum(t.count() for t in runs.tables()) == 6
     more = spark.createDataFrame([(99, "Common line here\nfresh line here")], "doc_id long, text string")
     out = line_dedup(more, runs=runs).first()
     assert (out.n_dropped, out.kept_text) == (1, "fresh line here")
 
 
+def test_runs_are_merged_as_they_lie(spark):
+    runs = LineRuns(spark, fanout=3)
+    docs = [spark.createDataFrame([(100 * k + i, prose(50 * k + i, 8)) for i in range(50)], "doc_id long, text string") for k in range(3)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for d in docs[:2]:
+            runs.add(line_hashes(d, "doc_id", "text", 10))
+        plan = runs.new_lines(line_hashes(docs[2], "doc_id", "text", 10))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_lines_of_text_ids_and_outliers(spark):
+    rows = [(f"d{k:03d}", f"common line here\nown line number {k}") for k in range(40)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {x.doc_id: x.n_dropped for x in out} == {d: int(d != "d000") for d, _ in rows}
+    ids = spark.createDataFrame([(k if k < 99 else 1 << 60, prose(k, 5)) for k in range(100)], "doc_id long, text string")
+    bounds = batch_bounds(ids, "doc_id", 4)
+    assert len(bounds) == 3 and all(abs(b - want) <= 8 for b, want in zip(bounds, (25, 50, 75)))
+
+
 def test_lines_edges(spark):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(None, "a common line\nx", 1), (2, "a common line", 1), (3, "a common line\na common line", 1), (3, "y\na common line", 1)], "doc_id long, text string, n_lines int")
@@ -141,3 +165,14 @@ def test_near_edges(spark):
     got = sorted(((x.doc_id, x.component_id, x.kept) for x in out.collect()), key=str)
     assert got == sorted([(None, None, True), (5, 5, True), (6, 5, False), (6, 5, False), (7, 7, True), (8, 8, True)], key=str)
     assert out.where(F.col("doc_id") == 5).first().n_shingles == 56  # five-word shingles
+
+
+def test_near_of_long_texts_and_repeated_ids(spark):
+    long = prose(4, 40_000)
+    data = [(1, long), (2, edited(long, 30, 1)), (3, prose(9, 40_000)), (5, prose(1)), (5, prose(2)), (4, prose(2)), (5, prose(1))]
+    want = [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (5, 5), (5, 5)]
+    plain = near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in plain) == want
+    more = near_duplicates(spark.createDataFrame([(*d, 0) for d in data], "doc_id long, text string, n_shingles int")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in more) == want
+    assert {x.doc_id: x.n_shingles for x in plain} == {x.doc_id: x.n_shingles for x in more}

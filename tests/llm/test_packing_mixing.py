@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from array import array
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sieveline.llm.langid import UNKNOWN
-from sieveline.llm.mixing import Flow, mix_sources, plan_mix, targets
+from sieveline.llm.mixing import Flow, mix_sources, route, targets
 from sieveline.llm.packing import pack, pack_documents, sum_of_squares, tokenised_pieces, word_ids
 from tests.llm.helpers import ODD, SCHEMA, prose, rows, table
 from tests.llm.test_dedup import plain_exact, plain_near
@@ -111,10 +112,31 @@ def test_targets_and_flow():
 
 
 def test_flow_serves_overlapping_sources():
-    plans = plan_mix([(("a",), 10, 1000), (("a", "b"), 10, 1000), (("b",), 1, 100)], weights=(1, 1), most=3)
-    assert [p.copies * p.size + p.more for p in plans] == [1000, 1000, 100]
-    plans = plan_mix([(("a",), 10, 1000), (("b",), 10, 100)], weights=(1, 3), most=3)
-    assert [p.copies * p.size + p.more for p in plans] == [800, 300] and plans[1].target == 300
+    assert route([(("a",), 1000), (("a", "b"), 1000), (("b",), 100)], {"a": 1050.0, "b": 1050.0}, most=3) == [1000, 1000, 100]
+    assert route([(("a",), 1000), (("b",), 100)], {"a": 800.0, "b": 300.0}, most=3) == [800, 300]
+
+
+def test_overlapping_patterns_match_one_network(spark):
+    r = random.Random(11)
+    kinds = [["a"], ["a", "b"], ["b", "c"], [None], [None, "d"], ["e"], ["f", "g"], ["g"]]
+    docs = spark.createDataFrame([(k, prose(k, r.randrange(1, 60)), r.choice(kinds)) for k in range(400)], "doc_id long, text string, source array<string>")
+    out = mix_sources(docs, bucket_docs=16).collect()
+    size = defaultdict(int)
+    for x in out:
+        size[json.dumps(sorted(x.source, key=lambda s: (s is None, s)))] += x.size
+    names = sorted({s for p in size for s in json.loads(p)}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(v for p, v in size.items() if s in json.loads(p)) for s in names}
+    want = dict(zip(names, targets([total[s] for s in names], [(1, 2, 3)[k % 3] for k in range(len(names))], sum(size.values()), 3)))
+    flows = dict(zip(size, route([(json.loads(p), v) for p, v in size.items()], want, most=3)))
+    taken = defaultdict(int)
+    for x in out:
+        assert abs(x.target - sum(want[s] for s in x.source)) < 1e-6 and x.source_size == sum(total[s] for s in x.source)
+        taken[json.dumps(sorted(x.source, key=lambda s: (s is None, s)))] += x.taken
+    assert abs(sum(flows.values()) - sum(taken.values())) <= 60 * len(flows)
+    for s in names:  # the routes may differ, the sources' quotas may not be passed
+        assert sum(taken.values()) <= sum(want.values()) + 60 * len(flows)
+    with pytest.raises(Exception, match="most_memberships"):
+        mix_sources(docs, most_memberships=3).count()
 
 
 @pytest.mark.parametrize("bucket_docs", [8, 1000])
