@@ -124,13 +124,15 @@ def decode(word: str, cost: np.ndarray) -> str:
 
 
 _TRIM = ".,;:?!\"'()[]{}<>%&*#=~`^/\\"
+_RUN = re.compile(r"(.)\1+")
 _ODD = re.compile(r"[0-9@$!|+€*#._-]|([^\W\d_])\1")
 
 
 def restored(token: str, cost: np.ndarray) -> list[str]:
     """The readings of a white-space separated token, lower-cased: its letters as
     they are, and its decoded form where it has a digit or sign or a repeated
-    letter.  A sign before it that may be a letter makes one reading more."""
+    letter, once more with each letter once.  A sign before it that may be a
+    letter makes one reading more."""
     token = token.lower()
     core = token.strip(_TRIM)
     before = token[: token.index(core)] if core else ""
@@ -143,8 +145,9 @@ def restored(token: str, cost: np.ndarray) -> list[str]:
     if LEET.get(before[-1:]):
         plain.append(decode(before[-1] + core, cost))
     if _ODD.search(core):
-        plain.append(decode(core, cost))
-    return plain
+        plain.append(best := decode(core, cost))
+        plain.append(_RUN.sub(r"\1", best))
+    return list(dict.fromkeys(plain))
 
 
 def features(word: str) -> list[str]:
