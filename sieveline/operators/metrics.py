@@ -17,9 +17,12 @@ from sieveline.functions import guard
 EDGES = tuple(k * 0.1 for k in range(11))
 
 
-def score_table(df: DataFrame, score: Column, y: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, s, pos, neg): positives and negatives at each distinct score."""
-    return df.select(*by, score.alias("s"), y.alias("y")).where("s IS NOT NULL AND y IS NOT NULL").groupBy(*by, "s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+def score_table(df: DataFrame, score: Column, y: Column, by: Sequence[str] = (), times: Column | None = None) -> DataFrame:
+    """(by…, s, pos, neg): positives and negatives at each distinct score; a row counts ``times``."""
+    n = F.lit(1).cast("long") if times is None else times
+    rows = df.select(*by, score.alias("s"), y.alias("y"), n.alias("times")).where("s IS NOT NULL AND y IS NOT NULL")
+    of = lambda value: F.sum(F.when(F.col("y") == value, F.col("times")).otherwise(0))
+    return rows.groupBy(*by, "s").agg(of(1).alias("pos"), of(0).alias("neg"))
 
 
 def midranks(df: DataFrame, value: Column, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
@@ -31,9 +34,9 @@ def midranks(df: DataFrame, value: Column, by: Sequence[str] = (), descending: b
     return v.join(table.drop("__n"), [*by, "__v"]).drop("__v")
 
 
-def auc(df: DataFrame, score: Column, y: Column, by: Sequence[str] = ()) -> DataFrame:
+def auc(df: DataFrame, score: Column, y: Column, by: Sequence[str] = (), times: Column | None = None) -> DataFrame:
     """(by…, auc): probability that a positive outscores a negative, ties half; null for one class."""
-    table = score_table(df, score, y, by)
+    table = score_table(df, score, y, by, times)
     below = F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
     won = table.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     sums = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("m"), F.sum("neg").alias("n"))

@@ -163,7 +163,7 @@ def radar_normalised(spark, sf):
 
 def bootstrap_band(spark, sf):
     p = scored(spark, sf).select(F.round((F.col("s") + 1) / 2, 3).alias("s"), "y")
-    return S.bootstrap_band(p, F.col("s"), F.col("y"), replicates=400)
+    return S.bootstrap_band(p, F.col("s"), F.col("y"), replicates=Evaluation().bootstraps)
 
 
 def roc_interp(spark, sf):
@@ -276,7 +276,7 @@ def privacy_sweep(spark, sf):
     return M.auc(p, F.round(F.get("p", F.lit(0)) + F.get("p", F.lit(1)), 7), (F.col("y5") <= 1).cast("int"), ["epsilon"])
 
 
-def _windows(spark, sf, size=128):
+def _windows(spark, sf, size=Evaluation().drift_window):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     ref = R.window_sample(e.where("id % 2 = 0"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "embedding")
     cur = R.window_sample(e.where("id % 2 = 1"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "embedding")
@@ -300,7 +300,7 @@ def drift_inject(spark, sf):
 
 def drift_check(spark, sf):
     """Both monitors at five severities; rows only."""
-    ref, cur = _windows(spark, sf, Evaluation().drift_window)
+    ref, cur = _windows(spark, sf)
     rows = []
     for severity in Sweep().severities:
         moved = R.inject_drift(cur, "embedding", "id", D, severity, seed=3)
@@ -308,15 +308,25 @@ def drift_check(spark, sf):
     return spark.createDataFrame(rows, "severity double, drift boolean, mmd2 double, ks_fraction double")
 
 
-VARIANTS = [("full", True, True, True), ("w/o orchestration", False, True, True), ("w/o fusion", True, False, True), ("w/o gate", True, True, False)]
+#: Name, whether parts of the managed run are on, and its privacy budget: each knocked out, all, and none.
+VARIANTS = [
+    ("full", True, True, True, 4.0),
+    ("w/o orchestration", False, True, True, 4.0),
+    ("w/o fusion", True, False, True, 4.0),
+    ("w/o gate", True, True, False, 4.0),
+    ("w/o noise", True, True, True, float("inf")),
+    ("w/o orchestration, fusion", False, False, True, 4.0),
+    ("w/o fusion, gate", True, False, False, 4.0),
+    ("none", False, False, False, float("inf")),
+]
 
 
 def ablation_grid(spark, sf):
     """Accuracy, escalation and coverage of each variant of the managed run."""
     rows = _views(spark, sf).withColumn("g", softmax(F.get("views", F.lit(2))))
     out = None
-    for name, orchestrate, fuse, gate in VARIANTS:
-        m = R.manage(rows, cheap="cheap", views="views", global_p="g", id_col="vec_id", classes=5, abnormal=[0, 1], toggles=R.Toggles(orchestrate, fuse, gate=gate))
+    for name, orchestrate, fuse, gate, epsilon in VARIANTS:
+        m = R.manage(rows, cheap="cheap", views="views", global_p="g", id_col="vec_id", classes=5, abnormal=[0, 1], toggles=R.Toggles(orchestrate, fuse, epsilon, gate))
         one = m.agg(F.lit(name).alias("variant"), F.round(F.avg((F.col("pred") == F.col("label") % 5).cast("double")), 9).alias("accuracy"), F.round(F.avg(F.col("escalated").cast("double")), 9).alias("escalation_rate"), F.round(F.avg(F.col("accepted").cast("double")), 9).alias("coverage"))
         out = one if out is None else out.union(one)
     return out
@@ -390,7 +400,7 @@ nr AS (SELECT client, sqrt(sum(m * m)) + 1e-12 AS nm FROM mn GROUP BY client),
 cn AS (SELECT client, idx, m / nm AS v FROM mn JOIN nr USING (client))"""
 _CAM = "mm AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings), cam AS (SELECT vec_id, list_transform(a, lambda x: (x - list_min(a)) / (list_max(a) - list_min(a))) AS a, list_transform(b, lambda x: (x - list_min(b)) / (list_max(b) - list_min(b))) AS b FROM mm)"
 _HEADS = values([(c, [[float((c + k) % 3 - 1), float((2 * c + k) % 5 - 2)] for k in range(3)]) for c in range(3)], "client, w")
-_WIN = "ref AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0 ORDER BY md5('5:' || vec_id), vec_id LIMIT 128), cur AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1 ORDER BY md5('5:' || vec_id), vec_id LIMIT 128)"
+_WIN = "ref AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0 ORDER BY md5('5:' || vec_id), vec_id LIMIT 256), cur AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1 ORDER BY md5('5:' || vec_id), vec_id LIMIT 256)"
 _LEVELS = "(SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS coverage FROM (SELECT unnest(range(11)) AS k))"
 
 _T = values([(n, t_quantile(0.975, n - 1)) for n in range(2, 65)], "n, q")

@@ -14,7 +14,7 @@ from sieveline.operators import stats as S
 from sieveline.plans.tables import SCORED, scored, table, values
 
 CLIENTS, CLASSES, SEED = 5, 10, 7
-ALPHAS = (0.1, 0.5, 1.0, 10.0, float("inf"))
+ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 10.0, float("inf"))
 SWEEP_SEEDS = 20
 
 
@@ -56,13 +56,25 @@ def _grid() -> list[tuple]:
 
 
 def _sweep(spark, sf) -> DataFrame:
-    """(alpha, seed, auc_paired, auc_pooled, leak) of every cell of the sweep, in one plan."""
+    """(alpha, seed, auc_paired, auc_pooled, leak) of every cell of the sweep, in one plan.
+
+    A row's client depends on its place in its class alone, and the scores on
+    the counts of each client: class sizes are all that is read of the rows.
+    """
     grid = spark.createDataFrame(_grid(), "alpha double, seed int, k int, cuts array<double>")
-    rows = _split(spark, sf).join(F.broadcast(grid), F.col("label") == F.col("k"))  # a row for each cell of a constant grid
-    rows = rows.withColumn("client", F.size(F.filter("cuts", lambda c: F.floor(c * F.col("n")) <= F.col("r"))))
-    rows = leak_scores(rows, ["alpha", "seed"])
-    both = M.auc(rows, F.coalesce("paired", "pooled"), F.col("y"), ["alpha", "seed"]).withColumnRenamed("auc", "auc_paired")
-    both = both.join(M.auc(rows, F.col("pooled"), F.col("y"), ["alpha", "seed"]).withColumnRenamed("auc", "auc_pooled"), ["alpha", "seed"])
+    sizes = scored(spark, sf).groupBy("label", "y").agg(F.count(F.lit(1)).alias("n"))
+    test = F.floor(0.3 * F.col("n"))
+    sizes = sizes.select("label", "y", F.explode(F.array(F.struct(F.lit("test").alias("split"), test.alias("n")), F.struct(F.lit("train").alias("split"), (F.col("n") - test).alias("n")))).alias("part"))
+    cells = grid.join(sizes.select("label", "y", "part.*"), F.col("label") == F.col("k"))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda c: F.floor(c * F.col("n"))), F.array(F.col("n")))
+    cells = cells.withColumn("ends", ends).select("alpha", "seed", "split", "y", "ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 2)).alias("client"))
+    cells = cells.withColumn("times", F.get("ends", F.col("client") + 1) - F.get("ends", F.col("client"))).where("times > 0").drop("ends")
+    train, rate = cells.where("split = 'train'"), F.round(F.sum(F.col("y") * F.col("times")) / F.sum("times"), 12)
+    paired = train.groupBy("alpha", "seed", "client").agg(rate.alias("paired"))
+    pooled = train.groupBy("alpha", "seed").agg(rate.alias("pooled"))
+    rows = cells.where("split = 'test'").join(paired, ["alpha", "seed", "client"], "left").join(pooled, ["alpha", "seed"])
+    of = lambda score, name: M.auc(rows, score, F.col("y"), ["alpha", "seed"], F.col("times")).withColumnRenamed("auc", name)
+    both = of(F.coalesce("paired", "pooled"), "auc_paired").join(of(F.col("pooled"), "auc_pooled"), ["alpha", "seed"])
     return both.withColumn("leak", F.round(F.col("auc_paired") - F.col("auc_pooled"), 9))
 
 

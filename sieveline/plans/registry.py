@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import curation, evaluation, kernels, partitioning
+from sieveline.plans import curation, evaluation, kernels, partitioning, reports
 
-MODULES = (curation, partitioning, evaluation, kernels)
+MODULES = (curation, partitioning, evaluation, kernels, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
