@@ -98,6 +98,11 @@ def decode(word: str, cost: np.ndarray) -> str:
 
     for ch, group in groupby(word):
         run = sum(1 for _ in group)
+        if run == 1 and len(states) == 1 and ch.isalpha():  # nothing to choose
+            ((at, _),) = states.items()
+            settled.append(ch)
+            states = {(at[1], symbol(ch)): (0.0, None)}
+            continue
         if ch.isalpha():
             dropped = ONE_OF_TWO if run == 2 else ONE_OF_MORE
             steps = [[(ch * n, (run - n) * dropped) for n in (1, 2) if n <= run]]
@@ -135,6 +140,11 @@ def restored(token: str, cost: np.ndarray) -> list[str]:
     letter makes one reading more."""
     token = token.lower()
     core = token.strip(_TRIM)
+    if core.isalpha() and core[0] == token[0]:  # most tokens
+        if not _RUN.search(core):
+            return [core]
+        best = decode(core, cost)
+        return list(dict.fromkeys((core, best, _RUN.sub(r"\1", best))))
     before = token[: token.index(core)] if core else ""
     tail = len(core) - len(core.rstrip("$@+|"))
     if tail > 2:  # a row of signs is decoration
@@ -178,7 +188,7 @@ class ToxicityModel:
 class _Evidence(dict):
     """Token -> evidence; starts anew when it holds ``limit`` tokens."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 200_000):
+    def __init__(self, model: ToxicityModel, limit: int = 300_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.words = {f[1:] for f in model.weight if f[0] == "=" and len(f) > TWO_PIECES}
