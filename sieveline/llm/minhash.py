@@ -263,8 +263,11 @@ def candidate_edges(reps: DataFrame, *, least: int, leaf: int, branches: int, de
         child = open_.where(~ends).select("node", "rep", "sig", F.explode(F.sequence(F.lit(1), F.lit(branches))).alias("branch"))
         child = child.select(F.xxhash64("node", "branch", F.substring(F.col("sig"), at + 1, 1)).alias("node"), "rep", "sig")
         rows = _counted(child)
-    for part in small:
-        edges.append(_by_group(part, ["node"], _alike(least), EDGES, ["a", "b"]))
+    # Nodes of all levels are compared in one go: their hashes differ.
+    every = small[0]
+    for part in small[1:]:
+        every = every.unionByName(part)
+    edges.append(_by_group(every, ["node"], _alike(least), EDGES, ["a", "b"]))
     return edges
 
 
@@ -319,6 +322,24 @@ def _confirmed(docs: DataFrame, parts: DataFrame, words: int, percent: int) -> D
     return _by_group(rows, ["comp", "part"], _linked(words, percent), EDGES, ["a", "b"])
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after further links; only links between different roots are followed."""
+
+    def rooted(rows: DataFrame, end: str) -> DataFrame:
+        known = labels.select(rekeyed(F.col("node")).alias("of"), F.col("root").alias("r"))
+        joined = rows.join(known, F.col(end) == F.col("of"), "left")
+        return joined.withColumn(end, F.coalesce("r", end)).drop("of", "r")
+
+    across = materialise(rooted(rooted(links.select("a", "b"), "a"), "b").where("a <> b").distinct(), "across")
+    if across.isEmpty():
+        return labels
+    joined = materialise(components(across), "merged").select(rekeyed(F.col("node")).alias("of"), F.col("root").alias("to"))
+    old = labels.join(joined, labels.root == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    known = labels.select(rekeyed(F.col("node")).alias("node"))
+    new = joined.join(known, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("to").alias("root"))
+    return materialise(old.unionByName(new), "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -396,8 +417,7 @@ def near_duplicates(
             rows = at.join(n, at.comp == n.of).select("rep", "comp", F.col("part").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
             alone = rest.join(n, rest.comp == n.of).select("rep", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int").alias("y"))
             again = rows.unionByName(alone).select("rep", "comp", code.alias("part")).distinct()
-            links = links.union(materialise(_confirmed(own, again, words, percent), "links"))
-            labels = materialise(components(links), "labels")
+            labels = _merged(labels, materialise(_confirmed(own, again, words, percent), "links"))
 
     named = reps.select("d1", "d2", "rep").join(labels.select(F.col("node").alias("of"), "root"), F.col("rep") == F.col("of"), "left")
     named = named.select(rekeyed(F.col("d1")).alias("c1"), rekeyed(F.col("d2")).alias("c2"), F.coalesce("root", "rep").alias("component"))
