@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.line_dedup import LineRuns, batch_bounds, line_dedup, line_hashes
-from sieveline.llm.minhash import near_duplicates
+from sieveline.llm.minhash import _merged, near_duplicates
+from sieveline.operators.graph import components
 from tests.llm.helpers import ODD, SCHEMA, prose, table
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -176,3 +177,11 @@ def test_near_of_long_texts_and_repeated_ids(spark):
     more = near_duplicates(spark.createDataFrame([(*d, 0) for d in data], "doc_id long, text string, n_shingles int")).collect()
     assert sorted((x.doc_id, x.component_id) for x in more) == want
     assert {x.doc_id: x.n_shingles for x in plain} == {x.doc_id: x.n_shingles for x in more}
+
+
+def test_later_links_join_classes(spark):
+    first, later = [(2, 1), (3, 2), (6, 5), (9, 8)], [(3, 6), (9, 20), (31, 30), (1, 3), (31, 20)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {r.node: r.root for r in _merged(components(frame(first)), frame(later)).collect()}
+    assert got == {r.node: r.root for r in components(frame(first + later)).collect()}
+    assert {r.node: r.root for r in _merged(components(frame(first)), frame([(3, 1)])).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 8: 8, 9: 8}
