@@ -58,10 +58,10 @@ def perceptual_code(gray: np.ndarray, size: int = 8, factor: int = 4) -> int:
 
 
 def crop_border(image: np.ndarray, threshold: int = 12) -> np.ndarray:
-    """The bounding box of pixels brighter than the threshold; unchanged if it is under 8 rows or columns."""
+    """The bounding box of pixels brighter than the threshold; unchanged if under 8 rows or columns have one."""
     bright = image.max(axis=2) > threshold if image.ndim == 3 else image > threshold
     rows, cols = np.flatnonzero(bright.any(axis=1)), np.flatnonzero(bright.any(axis=0))
-    if len(rows) == 0 or rows[-1] - rows[0] + 1 < 8 or cols[-1] - cols[0] + 1 < 8:
+    if min(len(rows), len(cols)) < 8:
         return image
     return image[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
 

@@ -40,6 +40,47 @@ def image_inventory(spark: SparkSession, root: str, classes: Sequence[str], abno
     )
 
 
+def read_pictures(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
+    """(path, width, height, channels, data, decodable) for each file below ``root/<class>``.
+
+    ``data`` are rows of bytes in BGR order.  A file that can't be decoded stays,
+    with sizes of -1 and without data.
+    """
+    rows = spark.read.format("image").option("dropInvalid", "false").load([f"{root}/{c}" for c in classes])
+    valid = F.col("image.nChannels") > 0
+    sizes = [F.col(f"image.{c}").alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"))]
+    return rows.select(F.col("image.origin").alias("path"), *sizes, F.when(valid, F.col("image.data")).alias("data"), valid.alias("decodable"))
+
+
+def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, name, row_id, value array<double>) of ``.npz`` files: a row for each first-axis entry of each array."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    for name in arrays.files:
+                        a = np.atleast_1d(arrays[name])
+                        flat = a.reshape(len(a), -1).astype(np.float64)
+                        yield pd.DataFrame({"path": path, "name": name, "row_id": np.arange(len(a)), "value": list(flat)})
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return files.mapInPandas(rows, "path string, name string, row_id long, value array<double>")
+
+
+def read_states(spark: SparkSession, path: str, **run: object) -> DataFrame | None:
+    """The states that ``write_states`` left, of one run if its keys are given; None where there are none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    states = spark.read.parquet(path)
+    for key, value in run.items():
+        states = states.where(F.col(key) == F.lit(value))
+    return states
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
