@@ -12,6 +12,7 @@ from sieveline.llm.langid import op1_language_id
 from sieveline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from sieveline.llm.minhash import OP6_SQL, op6_minhash_near_dedup
 from sieveline.llm.mixing import op9_mixing
+from sieveline.llm.negatives import OP11_SQL, op11_hard_negatives
 from sieveline.llm.packing import op3_packing
 from sieveline.llm.quality import op4_quality
 from sieveline.llm.secrets import op10_secrets
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL}

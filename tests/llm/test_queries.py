@@ -24,6 +24,10 @@ CONTRACT = {
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
+#: Those that don't return a row for each document.
+OTHERS = {
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+}
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +39,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows(texts, langs), SCHEMA).write.parquet(f"{at}/documents.parquet")
     labels = [(k, k % 3 and 1, int(k % 4 == 1)) for k in range(len(texts)) if k % 5]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    vectors = [(k, [r.gauss(0, 1) for _ in range(4)], k % 3) for k in range(150)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at, texts
 
 
@@ -55,8 +61,15 @@ def test_query(spark, folder, name):
         assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % n == k) and 0 <= x.score <= 1 for x in found)
 
 
+@pytest.mark.parametrize("name", list(OTHERS))
+def test_other_query(spark, folder, name):
+    out = registry.queries()[name](spark, folder[0])
+    assert ", ".join(f"{c} {kind}" for c, kind in out.dtypes) == OTHERS[name]
+    assert out.count() > 0
+
+
 def test_queries_are_all_here():
-    assert list(registry.queries()) == list(CONTRACT)
+    assert list(registry.queries()) == [*CONTRACT, *OTHERS]
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
