@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveline.llm.collocations import OP12_SQL, op12_collocations
 from sieveline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from sieveline.llm.fingerprint import op7_fingerprint
 from sieveline.llm.langid import op1_language_id
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL}

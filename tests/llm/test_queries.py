@@ -27,6 +27,7 @@ CONTRACT = {
 #: Those that don't return a row for each document.
 OTHERS = {
     "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
 
 
