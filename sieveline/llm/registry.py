@@ -11,6 +11,7 @@ from sieveline.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from sieveline.llm.fingerprint import op7_fingerprint
 from sieveline.llm.langid import op1_language_id
 from sieveline.llm.line_dedup import OP2_SQL, op2_line_dedup
+from sieveline.llm.lm_scoring import op13_lm_scoring
 from sieveline.llm.minhash import OP6_SQL, op6_minhash_near_dedup
 from sieveline.llm.mixing import op9_mixing
 from sieveline.llm.negatives import OP11_SQL, op11_hard_negatives
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": op10_secrets,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_collocations": op12_collocations,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
