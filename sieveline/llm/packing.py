@@ -78,6 +78,21 @@ class WordIds(dict):
         self[chunk] = out
         return out
 
+    def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end and how many each has; for chunks that don't repeat, so plain words aren't kept."""
+        out, sizes, merge = array("I"), array("i"), self.merge
+        for chunk in chunks:
+            before = len(out)
+            if chunk.isalpha() and chunk.isascii() and chunk.islower():
+                out.extend(merge(chunk.encode() + b" "))
+            elif chunk[-1] in ",." and chunk[:-1].isalpha() and chunk.isascii() and chunk.islower():
+                out.extend(merge(chunk[:-1].encode() + b" "))
+                out.frombytes(self.part(chunk[-1]))
+            else:
+                out.frombytes(self[chunk])
+            sizes.append(len(out) - before)
+        return np.frombuffer(out, np.uint32), np.frombuffer(sizes, np.int32)
+
     def of(self, text: str) -> bytes:
         if "<|" in text:  # special tokens in a text are found before anything else
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
