@@ -113,46 +113,160 @@ def dimmed_outside(image: np.ndarray, box: tuple[int, int, int, int], factor: fl
     return out
 
 
-def _spread(mask: np.ndarray, r: int, grow: bool) -> np.ndarray:
-    """Dilate or erode by a disc of radius r."""
-    p = np.pad(mask, r, constant_values=not grow)
-    out = np.full(mask.shape, not grow)
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            if dy * dy + dx * dx <= r * r:
-                part = p[r + dy : r + dy + mask.shape[0], r + dx : r + dx + mask.shape[1]]
-                out = out | part if grow else out & part
-    return out
+def ellipse_runs(size: int) -> list[int]:
+    """Half-width of each row of an elliptical element of odd ``size``."""
+    r = size // 2
+    return [round(r * math.sqrt(r * r - dy * dy) / r) if r else 0 for dy in range(-r, r + 1)]
+
+
+def _spread(mask: np.ndarray, size: int, grow: bool) -> np.ndarray:
+    """Dilate or erode by an ellipse, row run by row run; what lies outside of the mask has no say.
+
+    A run's any (or all) over each place comes from running counts of the row.
+    """
+    r, (height, width) = size // 2, mask.shape
+    counts = np.pad(np.cumsum(mask == grow, axis=1), ((0, 0), (1, 0)))
+    out = np.zeros(mask.shape, bool)
+    for dy, half in zip(range(-r, r + 1), ellipse_runs(size)):
+        right = np.minimum(np.arange(width) + half + 1, width)
+        left = np.maximum(np.arange(width) - half, 0)
+        hit = counts[:, right] > counts[:, left]
+        to, of = slice(max(0, -dy), height - max(0, dy)), slice(max(0, dy), height - max(0, -dy))
+        if to.start < to.stop:
+            out[to] |= hit[of]
+    return out if grow else ~out
 
 
 def largest_component(mask: np.ndarray) -> np.ndarray:
-    """The largest 8-connected component, by min-label propagation."""
-    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), -1)
-    big = mask.size
-    while True:
-        p = np.pad(np.where(mask, label, big), 1, constant_values=big)
-        low = np.min([p[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(mask, low, -1)
-        if (new == label).all():
-            break
-        label = new
-    names, counts = np.unique(label[label >= 0], return_counts=True)
-    return label == names[counts.argmax()] if len(names) else mask
-
-
-def varying_mask(stack: np.ndarray, least_sd: float = 9.0) -> np.ndarray:
-    """Where a stack of gray frames varies: closed, opened, and the largest part of it."""
-    mask = stack.std(axis=0) > least_sd
-    mask = _spread(_spread(mask, 5, True), 5, False)
-    return largest_component(_spread(_spread(mask, 4, False), 4, True))
-
-
-def overlay_free_box(frames: list[np.ndarray], *, pad: int = 4, least: int = 30) -> tuple[str, tuple[int, int, int, int] | None]:
-    """(reason, box): the largest rectangle in the varying part, inset by ``pad``."""
-    if len(frames) < least:
-        return "too_few_frames", None
-    x, y, w, h = inscribed_rectangle(varying_mask(np.stack(frames)))
-    return ("ok", (x + pad, y + pad, max(1, w - 2 * pad), max(1, h - 2 * pad))) if w and h else ("no_content", None)
+    """The largest 8-connected component, the first met row by row if equal.
+
+    Runs of a row are joined with the runs that they touch in the row above.
+    """
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (rows, first), last = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    root = list(range(len(rows)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    begin = np.searchsorted(rows, np.arange(mask.shape[0] + 1)).tolist()
+    first, last = first.tolist(), last.tolist()
+    for y in range(1, mask.shape[0]):
+        a, b = begin[y - 1], begin[y]
+        while a < begin[y] and b < begin[y + 1]:
+            if first[b] <= last[a] and first[a] <= last[b]:  # touching at a corner counts
+                x, z = sorted((top(a), top(b)))
+                root[z] = x
+            if last[a] < last[b]:
+                a += 1
+            else:
+                b += 1
+    if not root:
+        return mask.astype(bool)
+    names = np.array([top(k) for k in range(len(root))])
+    size = np.bincount(names, np.array(last) - np.array(first))
+    out = np.zeros(mask.shape, bool)
+    for k in np.flatnonzero(names == size.argmax()):
+        out[rows[k], first[k] : last[k]] = True
+    return out
+
+
+def content_mask(varies: np.ndarray) -> np.ndarray:
+    """Where frames vary, closed by an ellipse of 11, opened by one of 9: the largest part of it."""
+    mask = _spread(_spread(varies.astype(bool), 11, True), 11, False)
+    return largest_component(_spread(_spread(mask, 9, False), 9, True))
+
+
+def varies(n: int, total: np.ndarray, squares: np.ndarray, least_sd: float) -> np.ndarray:
+    """Whether the standard deviation of n whole numbers passes ``least_sd``, from their sums and sums of squares."""
+    return n * squares - total * total > (least_sd * n) ** 2
+
+
+def content_box(mask: np.ndarray, pad: int = 4) -> tuple[int, int, int, int] | None:
+    """The largest rectangle in a mask, inset by ``pad``; None in an empty mask."""
+    x, y, w, h = inscribed_rectangle(mask)
+    return (x + pad, y + pad, max(1, w - 2 * pad), max(1, h - 2 * pad)) if w and h else None
+
+
+def luminance(bgr: np.ndarray) -> np.ndarray:
+    """Whole-number gray levels: weights of 1868, 9617 and 4899 (fixed values) of 2^14."""
+    return ((bgr.astype(np.int32) @ np.array([1868, 9617, 4899], np.int32) + (1 << 13)) >> 14).astype(np.uint8)
+
+
+#: Linear sRGB to XYZ, each row scaled by the white point (D65).
+XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+WHITE = XYZ.sum(axis=1)
+
+
+def to_lab(bgr: np.ndarray) -> np.ndarray:
+    """CIE L*, a*, b* of bytes in BGR order."""
+    c = bgr[..., ::-1] / 255.0
+    linear = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    t = linear @ XYZ.T / WHITE
+    f = np.where(t > (6 / 29) ** 3, np.cbrt(t), t / (3 * (6 / 29) ** 2) + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    t = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29))
+    linear = np.clip((t * WHITE) @ np.linalg.inv(XYZ).T, 0, 1)
+    c = np.where(linear > 0.0031308, 1.055 * linear ** (1 / 2.4) - 0.055, 12.92 * linear)
+    return np.clip(np.round(c[..., ::-1] * 255), 0, 255).astype(np.uint8)
+
+
+def tile_tables(plane: np.ndarray, clip: float, grid: tuple[int, int]) -> tuple[np.ndarray, int, int]:
+    """A look-up table for each tile of a plane of bytes, and a tile's height and width.
+
+    The plane is mirrored up to whole tiles.  A tile's histogram is cut at
+    ``clip`` times its mean, what is cut off goes in equal parts to all levels,
+    the remainder to evenly spaced ones, and its running sum is the table.
+    """
+    down, across = grid
+    height, width = -(-plane.shape[0] // down), -(-plane.shape[1] // across)
+    extra = (down * height - plane.shape[0], across * width - plane.shape[1])
+    mode = "reflect" if min(plane.shape) > max(extra) else "symmetric"
+    padded = np.pad(plane, ((0, extra[0]), (0, extra[1])), mode=mode)
+    tiles = padded.reshape(down, height, across, width).swapaxes(1, 2).reshape(down * across, height * width)
+    number = np.arange(len(tiles))[:, None] * 256
+    hist = np.bincount((tiles + number).reshape(-1), minlength=256 * len(tiles)).reshape(-1, 256)
+    limit = max(1, int(clip * height * width / 256)) if clip > 0 else height * width
+    cut = np.maximum(hist - limit, 0).sum(axis=1)
+    hist = np.minimum(hist, limit) + (cut // 256)[:, None]
+    rest = cut % 256
+    step = 256 // np.maximum(rest, 1)
+    level = np.arange(256)
+    hist += (level % step[:, None] == 0) & (level // step[:, None] < rest[:, None])
+    table = np.round(np.cumsum(hist, axis=1) * np.float32(255 / (height * width)))
+    return np.clip(table, 0, 255).reshape(down, across, 256), height, width
+
+
+def equalised(plane: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> np.ndarray:
+    """Contrast-limited adaptive equalisation of a plane of bytes: each pixel's
+    level in the tables of the four nearest tiles, mixed by distance."""
+    tables, height, width = tile_tables(plane, clip, grid)
+
+    def near(n: int, size: int, tiles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(n) / size) - 0.5
+        low = np.floor(at).astype(int)
+        return np.maximum(low, 0), np.minimum(low + 1, tiles - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = near(plane.shape[0], height, grid[0]), near(plane.shape[1], width, grid[1])
+    of = lambda y, x: tables[y[:, None], x[None], plane]
+    top = of(y0, x0) * (1 - fx) + of(y0, x1) * fx
+    low = of(y1, x0) * (1 - fx) + of(y1, x1) * fx
+    return np.clip(np.round(top * (1 - fy)[:, None] + low * fy[:, None]), 0, 255).astype(np.uint8)
+
+
+def equalised_lightness(bgr: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> np.ndarray:
+    """A picture with its lightness equalised and its two colour planes as they are."""
+    lab = to_lab(bgr)
+    lab[..., 0] = equalised(np.round(lab[..., 0] * 2.55).astype(np.uint8), clip, grid) / 2.55
+    return from_lab(lab)
 
 
 def view(image: np.ndarray, index: int, number: int, *, train: bool, seed: int) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import images as I
 from sieveline.operators import federated as FED
-from sieveline.operators.partition import sample_per_group
+from sieveline.operators.pictures import overlay_free_boxes
 from sieveline.plans.tables import table
 from sieveline.streaming.drift import window_moments
 
@@ -44,15 +44,19 @@ def residual_score(spark, sf):
 
 
 def redaction_boxes(spark, sf):
-    """The largest part of each label's pictures that varies."""
-
-    def box(frame: pd.DataFrame) -> pd.DataFrame:
-        reason, found = I.overlay_free_box([np.kron(_square(v), np.ones((4, 4))) for v in frame["embedding"]])
-        x, y, w, h = found or (None,) * 4
-        return pd.DataFrame({"label": [frame["label"].iloc[0]], "n_sampled": [len(frame)], "reason": [reason], "box_x": [x], "box_y": [y], "box_w": [w], "box_h": [h]}).astype({c: "Int32" for c in ("box_x", "box_y", "box_w", "box_h")})
-
-    rows = sample_per_group(table(spark, sf, "embeddings"), "label", 300, id_col="vec_id", seed=0)
-    return rows.groupBy("label").applyInPandas(box, "label int, n_sampled long, reason string, box_x int, box_y int, box_w int, box_h int")
+    """The largest part of each label's pictures that varies, from merged sums of their pixels."""
+
+    def drawn(frames):
+        for frame in frames:
+            for vec_id, v, label in frame.itertuples(index=False):
+                # A label's pictures are those of one size: the label sets how much the width is enlarged.
+                gray = np.kron(_square(v), np.ones((4, 4 + label))).astype(np.uint8)
+                yield pd.DataFrame({"path": [str(vec_id)], "width": [gray.shape[1]], "height": [32], "channels": [1], "data": [gray.tobytes()], "decodable": [True]})
+
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    found = overlay_free_boxes(rows.mapInPandas(drawn, "path string, width int, height int, channels int, data binary, decodable boolean"))
+    label = (F.col("width") / 8 - 4).cast("int")
+    return found.select(label.alias("label"), F.col("n").alias("n_sampled"), "reason", *[F.col(c).alias(f"box_{c}") for c in "xywh"])
 
 
 def federated_fit(spark, sf):

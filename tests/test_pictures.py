@@ -60,7 +60,7 @@ def test_codes_of_what_is_not_decoded_are_zero(found):
 
 def test_processed_takes_the_box_or_the_border(spark, found):
     boxes = spark.createDataFrame([(80, 60, 30, 10, 40, 40), (90, 60, 500, 500, 5, 5)], "width int, height int, x int, y int, w int, h int")
-    got = by_name(P.processed(found, boxes, size=16))
+    got = by_name(P.processed(found, boxes, size=16, contrast=None))
     one, two, bad = got["one.png"], got["two.png"], got["bad.png"]
     assert (one.boxed, one.cropped_w, one.cropped_h, one.residual_after, one.flagged) == (True, 40, 40, 0.0, False)
     assert one.residual_before == images.overlay_residual(scene(80)) > 0
