@@ -12,9 +12,23 @@ from sieveline.functions.rng import hash_key, uniform
 
 
 def rank_in(df: DataFrame, by: Sequence[str], seed: int | str, id_col: str) -> DataFrame:
-    """``r``, the zero-based place of a row in its class in seeded order, and the class size ``n``."""
-    order = Window.partitionBy(*by).orderBy(hash_key(seed, F.col(id_col)), id_col)
-    return df.withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """``r``, the zero-based place of a row in its class in seeded order, and the class size ``n``.
+
+    The order is a hash, so a place is the number of rows of the class in the
+    hash ranges before (at most 4096 counts a class) and the place in its range:
+    no task orders a class.  A null class is a class.
+    """
+    rows = df.withColumn("__k", hash_key(seed, F.col(id_col))).withColumn("__b", F.substring("__k", 1, 3))
+    sizes = rows.groupBy(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__b").alias("__range")).agg(F.count(F.lit(1)).alias("__c"))
+    own = [f"__by{k}" for k in range(len(by))]
+    upto = F.sum("__c").over(Window.partitionBy(*own).orderBy("__range"))
+    sizes = sizes.select(*own, "__range", (upto - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy(*own)).alias("n"))
+    same = F.col("__b").eqNullSafe(F.col("__range"))
+    for mine, c in zip(own, by):
+        same &= F.col(c).eqNullSafe(F.col(mine))
+    within = Window.partitionBy(*by, "__b").orderBy("__k", id_col)
+    placed = rows.join(sizes, same).withColumn("r", (F.row_number().over(within) - 1 + F.col("__before")).cast("long"))
+    return placed.select(*df.columns, "r", "n")
 
 
 def stratified_split(df: DataFrame, label: str, *, id_col: str, seed: int = 42, test: float = 0.2, val: float = 0.1) -> DataFrame:
@@ -89,7 +103,8 @@ def tiling_faults(assigned: DataFrame, rows: DataFrame, id_col: str) -> DataFram
 
 def sample_per_group(df: DataFrame, group: str, most: int, *, id_col: str, seed: int) -> DataFrame:
     """At most ``most`` rows of each group, without replacement, in seeded order."""
-    return rank_in(df, [group], seed, id_col).where(F.col("r") < most).drop("r", "n")
+    order = Window.partitionBy(group).orderBy(hash_key(seed, F.col(id_col)), id_col)  # tasks keep the first of a group before any exchange
+    return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
 
 
 def class_balanced_weights(df: DataFrame, label: str, beta: float = 0.999) -> DataFrame:
@@ -100,58 +115,75 @@ def class_balanced_weights(df: DataFrame, label: str, beta: float = 0.999) -> Da
     return raw.select(label, "n", F.round(F.col("raw") * F.count(F.lit(1)).over(every) / F.sum("raw").over(every), 9).alias("weight"))
 
 
-def repair_moves(counts: dict[int, dict[int, int]], classes: int, least: int) -> list[tuple[int, int, int, int]]:
-    """Moves (donor, receiver, class, rows) that give every client ``least`` rows
-    and two classes where a donor can.
+Interval = tuple[int, int, int]
+
+
+def shard_intervals(sizes: Sequence[int], cuts: Sequence[Sequence[float]]) -> list[list[Interval]]:
+    """Each client's rows as intervals (class, first place, end) of the classes'
+    seeded orders, class by class; ``sizes`` and ``cuts`` go by class."""
+    ends = [[0, *(int(np.floor(c * n)) for c in row), n] for n, row in zip(sizes, cuts)]
+    return [[(k, row[c], row[c + 1]) for k, row in enumerate(ends) if row[c] < row[c + 1]] for c in range(len(ends[0]) - 1 if ends else 0)]
+
+
+def _take(shard: list[Interval], rows: int, only: int | None = None) -> tuple[list[Interval], list[Interval]]:
+    """The first ``rows`` rows of a shard, or of one class in it, and what stays, in order."""
+    taken, left = [], []
+    for k, a, b in shard:
+        n = min(rows, b - a) if only in (None, k) else 0
+        rows -= n
+        if n:
+            taken.append((k, a, a + n))
+        if a + n < b:
+            left.append((k, a + n, b))
+    return taken, left
+
+
+def repaired_intervals(shards: list[list[Interval]], classes: int, least: int) -> list[list[Interval]]:
+    """Shards in which every client has ``least`` rows and two classes, where a donor can give them.
 
-    The largest client gives, the first if equal; it must have twice ``least``.
-    A missing class comes first, as many rows as an eighth of the receiver's
-    size or 4; without one that the donor has, its first ``least`` rows go,
-    counted here in class order.  ``counts`` is a small table on the driver.
+    Client by client, at most ``classes`` times: the largest shard gives, the
+    first if equal, if it is another one and has twice ``least`` rows.  Rows of
+    the first class that the receiver lacks go, or if it lacks none those of the
+    class of the donor's first row: an eighth of the donor's rows of it, 4 at
+    least, in the donor's order; its first ``least`` rows of any class if it has
+    none.  Rows that arrive stand last in the receiver's order.
     """
-    state = {c: dict(v) for c, v in counts.items()}
-    size = lambda c: sum(state[c].values())
-    moves = []
-    for client in sorted(state):
+    shards = [list(s) for s in shards]
+    size = lambda s: sum(b - a for _, a, b in s)
+    for client in range(len(shards)):
         for _ in range(classes):
-            held = [k for k, n in state[client].items() if n]
-            if size(client) >= least and len(held) >= 2:
+            held = {k for k, _, _ in shards[client]}
+            if size(shards[client]) >= least and len(held) >= 2:
                 break
-            donor = max(sorted(state), key=lambda c: (size(c), -c))
-            if donor == client or size(donor) < 2 * least:
+            donor = max(range(len(shards)), key=lambda c: (size(shards[c]), -c))
+            if donor == client or size(shards[donor]) < 2 * least:
                 break
-            missing = [k for k in range(classes) if not state[client].get(k) and state[donor].get(k)]
-            wanted = [(missing[0], min(max(4, size(client) // 8), state[donor][missing[0]]))] if missing else []
-            if not wanted:
-                left = least
-                for k in sorted(state[donor]):
-                    take = min(left, state[donor][k])
-                    if take:
-                        wanted.append((k, take))
-                        left -= take
-            for k, take in wanted:
-                state[donor][k] -= take
-                state[client][k] = state[client].get(k, 0) + take
-                moves.append((donor, client, k, take))
-    return moves
-
-
-def repair(assigned: DataFrame, label: str, *, clients: int, classes: int, least: int, id_col: str, seed: int = 0) -> DataFrame:
-    """Apply ``repair_moves``; rows move in seeded order within (donor, class)."""
-    found = assigned.groupBy("client", label).count().collect()  # clients x classes
-    counts: dict[int, dict[int, int]] = {c: {} for c in range(clients)}
-    for r in found:
-        counts[r[0]][r[1]] = r[2]
-    given: dict[tuple[int, int], int] = {}
-    out = assigned
-    ranked = rank_in(out, ["client", label], seed, id_col)
-    target = F.col("client")
-    for donor, client, k, rows in repair_moves(counts, classes, least):
-        at = given.get((donor, k), 0)
-        here = (F.col("client") == donor) & (F.col(label) == k) & (F.col("r") >= at) & (F.col("r") < at + rows)
-        target = F.when(here, client).otherwise(target)
-        given[donor, k] = at + rows
-    return ranked.withColumn("__to", target).drop("client", "r", "n").withColumnRenamed("__to", "client")
+            wanted = next((k for k in range(classes) if k not in held), shards[donor][0][0])
+            pool = size([x for x in shards[donor] if x[0] == wanted])
+            taken, left = _take(shards[donor], max(4, pool // 8), wanted) if pool else _take(shards[donor], least)
+            shards[donor] = left
+            shards[client] = shards[client] + taken
+    return shards
+
+
+def repair(ranked: DataFrame, label: str, cuts: Sequence[Sequence[float]], *, least: int) -> DataFrame:
+    """``client`` of rows with places ``r`` in their classes (``rank_in``): cut by
+    ``cuts`` and repaired.  The driver sees class sizes and intervals; rows are
+    told by their place alone.  Labels number the classes; rows of other labels
+    have no client."""
+    counts = {r[0]: r[1] for r in ranked.where(F.col(label).between(0, len(cuts) - 1)).groupBy(label).count().collect()}
+    classes = max(counts, default=-1) + 1
+    shards = repaired_intervals(shard_intervals([counts.get(k, 0) for k in range(classes)], cuts[:classes]), classes, least)
+    own: list[list[tuple[int, int]]] = [[] for _ in range(classes)]
+    for client, shard in enumerate(shards):
+        for k, _, end in shard:
+            own[k].append((end, client))
+    # An interval's end names it: a place belongs to the first end beyond it.
+    ends = F.array(*[F.array(*[F.struct(F.lit(e).cast("long").alias("e"), F.lit(c).alias("c")) for e, c in sorted(x)]).cast("array<struct<e:bigint,c:int>>") for x in own]) if own else None
+    if ends is None:
+        return ranked.withColumn("client", F.lit(None).cast("int"))
+    mine = F.get(ends, F.when(F.col(label) >= 0, F.col(label)))
+    return ranked.withColumn("client", F.get(F.filter(mine, lambda x: x["e"] > F.col("r")), F.lit(0))["c"].cast("int"))
 
 
 def same_shards(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("vec_id", "client")) -> DataFrame:

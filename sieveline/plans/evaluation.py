@@ -278,8 +278,8 @@ def privacy_sweep(spark, sf):
 
 def _windows(spark, sf, size=Evaluation().drift_window):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ref = R.window_sample(e.where("id % 2 = 0"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "embedding")
-    cur = R.window_sample(e.where("id % 2 = 1"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "embedding")
+    ref = R.window_sample(e.where("id % 2 = 0"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "place", "embedding")
+    cur = R.window_sample(e.where("id % 2 = 1"), "id", size, 5).select(F.col("id").cast("string").alias("id"), "place", "embedding")
     return ref, cur
 
 
@@ -400,7 +400,8 @@ nr AS (SELECT client, sqrt(sum(m * m)) + 1e-12 AS nm FROM mn GROUP BY client),
 cn AS (SELECT client, idx, m / nm AS v FROM mn JOIN nr USING (client))"""
 _CAM = "mm AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings), cam AS (SELECT vec_id, list_transform(a, lambda x: (x - list_min(a)) / (list_max(a) - list_min(a))) AS a, list_transform(b, lambda x: (x - list_min(b)) / (list_max(b) - list_min(b))) AS b FROM mm)"
 _HEADS = values([(c, [[float((c + k) % 3 - 1), float((2 * c + k) % 5 - 2)] for k in range(3)]) for c in range(3)], "client, w")
-_WIN = "ref AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0 ORDER BY md5('5:' || vec_id), vec_id LIMIT 256), cur AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1 ORDER BY md5('5:' || vec_id), vec_id LIMIT 256)"
+_WIN = """place AS (SELECT vec_id AS id, embedding AS e, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY md5('5:' || vec_id), vec_id) AS place FROM embeddings),
+ref AS (SELECT * FROM place WHERE id % 2 = 0 AND place <= 256), cur AS (SELECT * FROM place WHERE id % 2 = 1 AND place <= 256)"""
 _LEVELS = "(SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS coverage FROM (SELECT unnest(range(11)) AS k))"
 
 _T = values([(n, t_quantile(0.975, n - 1)) for n in range(2, 65)], "n, q")
@@ -471,9 +472,9 @@ SELECT vec_id, round(max(p[1]) FILTER (client = label % 3), 7) AS routed, round(
     "dp_sigma": f"SELECT epsilon, round(CASE WHEN isinf(epsilon) THEN 0 ELSE sqrt(2 * ln(1.25 / 1e-5)) / epsilon END, 9) AS sigma FROM {_SIGMA}",
     "dp_noise": f"WITH {POSTERIORS}, {_NOISED} SELECT vec_id, round(noisy[1], 6) AS l0, round(noisy[5], 6) AS l4 FROM nz WHERE epsilon = 4",
     "privacy_sweep": f"""WITH {POSTERIORS}, {_NOISED}, {sql_softmax('nz', 'noisy', 'p', 'z', 'vec_id, epsilon, y5')}, q AS (SELECT epsilon, round(p[1] + p[2], 7) AS s, (y5 <= 1)::INT AS y FROM z), {auc_sql('q', 's', 'y', 'a', 'epsilon')} SELECT epsilon, auc FROM a""",
-    "mmd2": f"""WITH {_WIN}, al AS (SELECT 'r' AS w, id, e FROM ref UNION ALL SELECT 'c', id, e FROM cur),
-d AS (SELECT a.w AS wa, b.w AS wb, a.id AS i, b.id AS j, list_sum([pow(a.e[k]::DOUBLE - b.e[k]::DOUBLE, 2) FOR k IN range(1, {D + 1})]) AS d2 FROM al a, al b),
-gm AS (SELECT 1 / greatest(quantile_cont(d2, 0.5), 1e-8) AS g FROM d WHERE d2 > 1e-12 AND wa || i < wb || j),
+    "mmd2": f"""WITH {_WIN}, al AS (SELECT 'r' AS w, id, e, place FROM ref UNION ALL SELECT 'c', id, e, place FROM cur),
+d AS (SELECT a.w AS wa, b.w AS wb, a.id AS i, b.id AS j, greatest(a.place, b.place) AS place, list_sum([pow(a.e[k]::DOUBLE - b.e[k]::DOUBLE, 2) FOR k IN range(1, {D + 1})]) AS d2 FROM al a, al b),
+gm AS (SELECT 1 / greatest(quantile_cont(d2, 0.5), 1e-8) AS g FROM d WHERE d2 > 0 AND wa || i < wb || j AND place <= 128),
 k AS (SELECT wa || wb AS w, exp(-g * d2) AS k FROM d, gm WHERE wa || i <> wb || j)
 SELECT round(avg(k) FILTER (w = 'rr') + avg(k) FILTER (w = 'cc') - avg(k) FILTER (w = 'rc') - avg(k) FILTER (w = 'cr'), 6) AS mmd2, round((SELECT g FROM gm), 6) AS gamma FROM k""",
     "ks_stat": f"""WITH x AS (SELECT i AS dim, embedding[i + 1]::DOUBLE AS v, vec_id % 2 AS g FROM embeddings, (SELECT unnest(range({D})) AS i)), t AS (SELECT dim, v, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM x GROUP BY dim, v),

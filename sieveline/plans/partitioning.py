@@ -112,8 +112,9 @@ def class_balanced_weights(spark, sf):
 
 
 def client_repair(spark, sf):
-    a = P.assign_clients(P.rank_in(scored(spark, sf), ["label"], SEED, "vec_id"), F.col("label"), cuts(0.1)).drop("r", "n")
-    return P.repair(a, "label", clients=CLIENTS, classes=CLASSES, least=12, id_col="vec_id").groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes"))
+    """Shards cut by a small alpha and repaired: size, classes and sum of ids of each client."""
+    a = P.repair(P.rank_in(scored(spark, sf), ["label"], SEED, "vec_id"), "label", cuts(0.1), least=12)
+    return a.groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes"), F.sum("vec_id").alias("id_sum"))
 
 
 def prior_only_auc_paired(spark, sf):

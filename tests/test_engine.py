@@ -139,7 +139,7 @@ def test_shards_tile_and_repair(spark):
     cuts = partition.cut_points(partition.dirichlet_proportions(3, 4, 0.1, 1))
     a = partition.assign_clients(partition.rank_in(df, ["label"], 1, "id"), F.col("label"), cuts).drop("r", "n")
     assert partition.tiling_faults(a, df, "id").count() == 0 and partition.tiling_faults(a.where("id <> 5"), df, "id").count() == 1
-    fixed = partition.repair(a, "label", clients=4, classes=3, least=12, id_col="id")
+    fixed = partition.repair(partition.rank_in(df, ["label"], 1, "id"), "label", cuts, least=12).drop("r", "n")
     assert fixed.count() == 200 and partition.tiling_faults(fixed, df, "id").count() == 0
     assert [r["n"] for r in fixed.groupBy("client").agg(F.count("*").alias("n")).collect() if r["n"] < 12] == []
 
