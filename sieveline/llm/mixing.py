@@ -10,8 +10,7 @@ one more copy of a seeded selection.
 from __future__ import annotations
 
 import json
-from collections import deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,68 +39,122 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
     return [float(t) for t in out]
 
 
-class Flow:
-    """Min-cost maximum flow by successive shortest paths (queue-based Bellman-Ford)."""
-
-    def __init__(self, nodes: int):
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def edge(self, a: int, b: int, room: int, cost: int) -> int:
-        self.out[a].append(len(self.to))
-        self.out[b].append(len(self.to) + 1)
-        self.to += [b, a]
-        self.room += [room, 0]
-        self.cost += [cost, -cost]
-        return len(self.to) - 2
-
-    def run(self, source: int, sink: int) -> None:
-        while True:
-            far: list[float] = [float("inf")] * len(self.out)
-            by = [-1] * len(self.out)
-            far[source], queue, queued = 0, deque([source]), {source}
-            while queue:
-                a = queue.popleft()
-                queued.discard(a)
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] > 0 and far[a] + self.cost[e] < far[b]:
-                        far[b], by[b] = far[a] + self.cost[e], e
-                        if b not in queued:
-                            queue.append(b)
-                            queued.add(b)
-            if by[sink] < 0:
-                return
-            path, b = [], sink
-            while b != source:
-                path.append(by[b])
-                b = self.to[by[b] ^ 1]
-            moved = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= moved
-                self.room[e ^ 1] += moved
-
-    def flow(self, e: int) -> int:
-        return self.room[e ^ 1]
+class Routing:
+    """Flow of tokens from patterns to sources, by blocking flows.
+
+    ``left[p]`` is what pattern p can still send, ``need[s]`` what source s still
+    takes; member m carries ``flow[m]`` of at most ``room[m]`` from ``of[m]`` to
+    ``to[m]``.  A round labels patterns and sources by their distance from what
+    can still send, then sends along rising labels until nothing gets through;
+    each member is looked at once a round, but for the steps of paths found.
+    """
+
+    def __init__(self, of: Sequence[int], to: Sequence[int], room: Sequence[int], patterns: int, need: Sequence[int]):
+        self.of, self.to, self.room, self.need = list(of), list(to), list(room), list(need)
+        self.flow = [0] * len(self.of)
+        self.left = [0] * patterns
+        self.out: list[list[int]] = [[] for _ in range(patterns)]
+        self.back: list[list[int]] = [[] for _ in self.need]
+        for m, (p, s) in enumerate(zip(self.of, self.to)):
+            self.out[p].append(m)
+            self.back[s].append(m)
+
+    def label(self) -> bool:
+        """Distances; whether a source that takes more is within reach."""
+        self.near, self.far = [-1] * len(self.left), [-1] * len(self.need)  # of patterns, of sources
+        here = [p for p, x in enumerate(self.left) if x > 0]
+        for p in here:
+            self.near[p] = 0
+        step = 0
+        while here:
+            reached = []
+            for p in here:
+                for m in self.out[p]:
+                    s = self.to[m]
+                    if self.far[s] < 0 and self.flow[m] < self.room[m]:
+                        self.far[s] = step + 1
+                        reached.append(s)
+            if any(self.need[s] > 0 for s in reached):
+                return True
+            here, step = [], step + 2
+            for s in reached:
+                for m in self.back[s]:
+                    p = self.of[m]
+                    if self.near[p] < 0 and self.flow[m] > 0:
+                        self.near[p] = step
+                        here.append(p)
+        return False
+
+    def block(self) -> None:
+        """Send along rising labels until every path is blocked."""
+        next_out, next_back = [0] * len(self.left), [0] * len(self.need)
+        for start in [p for p, x in enumerate(self.left) if x > 0]:
+            at, there, back = [start], [], []  # patterns of a path, members to sources and from them
+            while self.left[start] > 0:
+                p = at[-1]
+                found = self._first(self.out[p], next_out, p, lambda m: self.flow[m] < self.room[m] and self.far[self.to[m]] == self.near[p] + 1)
+                if found is None:  # a dead end: back to the source before, and on from there
+                    if not there:
+                        break
+                    at.pop()
+                    back.pop()
+                    next_back[self.to[there.pop()]] += 1
+                    continue
+                s = self.to[found]
+                if self.need[s] > 0:
+                    there.append(found)
+                    moved = min(self.left[start], self.need[s], *(self.room[m] - self.flow[m] for m in there), *(self.flow[m] for m in back))
+                    for m in there:
+                        self.flow[m] += moved
+                    for m in back:
+                        self.flow[m] -= moved
+                    self.left[start] -= moved
+                    self.need[s] -= moved
+                    at, there, back = [start], [], []
+                    continue
+                returned = self._first(self.back[s], next_back, s, lambda m: self.flow[m] > 0 and self.near[self.of[m]] == self.far[s] + 1)
+                if returned is None:
+                    next_out[p] += 1
+                    continue
+                there.append(found)
+                back.append(returned)
+                at.append(self.of[returned])
+
+    @staticmethod
+    def _first(members: list[int], marks: list[int], node: int, passes: Callable[[int], bool]) -> int | None:
+        """The first member from the node's mark on that passes; the mark moves on to it."""
+        while marks[node] < len(members):
+            if passes(members[marks[node]]):
+                return members[marks[node]]
+            marks[node] += 1
+        return None
+
+    def add(self, supply: Sequence[int]) -> None:
+        """Send as much of what was left and of a new supply of each pattern as gets through."""
+        self.left = [x + y for x, y in zip(self.left, supply)]
+        while self.label():
+            self.block()
 
 
 def route(patterns: Sequence[tuple[Sequence[str | None], int]], quota: dict[str | None, float], *, most: int) -> list[int]:
     """Tokens that flow through each (sources, size) pattern at least cost; the
-    c-th copy of a pattern costs (c - 1) squared a token."""
+    c-th copy of a pattern costs (c - 1) squared a token.
+
+    Costs stand on the patterns' supplies alone, so the cheapest greatest flow
+    sends all first copies that get through, then the second ones, and so on: a
+    later copy never takes back what a pattern has sent.
+    """
     names = sorted(quota, key=lambda s: (s is None, (s or "").encode()))
-    node = {s: 1 + len(patterns) + k for k, s in enumerate(names)}
-    sink = 1 + len(patterns) + len(names)
-    net, supply = Flow(sink + 1), []
-    for k, (sources, size) in enumerate(patterns):
-        supply.append([net.edge(0, 1 + k, size, copy * copy) for copy in range(most)])  # convex: 0, 1, 4, ...
-        for s in sorted(set(sources), key=lambda s: node[s]):
-            net.edge(1 + k, node[s], most * size, 0)
-    for s in names:
-        net.edge(node[s], sink, round(quota[s]), 0)
-    net.run(0, sink)
-    return [sum(net.flow(e) for e in edges) for edges in supply]
+    number = {s: k for k, s in enumerate(names)}
+    members = [(p, number[s]) for p, (sources, _) in enumerate(patterns) for s in sorted(set(sources), key=number.__getitem__)]
+    size = [n for _, n in patterns]
+    net = Routing([p for p, _ in members], [s for _, s in members], [most * size[p] for p, _ in members], len(size), [round(quota[s]) for s in names])
+    for _ in range(most):
+        net.add(size)
+    sent = [0] * len(size)
+    for (p, _), x in zip(members, net.flow):
+        sent[p] += x
+    return sent
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, most: int) -> DataFrame:
@@ -138,10 +191,10 @@ def pattern_plans(rows: DataFrame, *, weights: Sequence[float], most: int, most_
     """What the mix takes of each pattern: ``copies`` of all its documents and
     ``more`` tokens of documents that get another one.
 
-    A pattern whose one source no other pattern has is given that source's
-    target.  Patterns that share sources are routed by flow, each connected group
-    of them in a task of its own; a group of more than ``most_memberships``
-    (pattern, source) pairs raises an error.
+    Every pattern is routed by flow.  Patterns that share sources, directly or by
+    way of others, are a group, and tasks route a group each; one whose pattern
+    shares its source with no other is a group of its own.  A group of more than
+    ``most_memberships`` (pattern, source) pairs raises an error.
     """
     patterns = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("docs"), F.sum("__size").alias("size"))
     patterns = materialise(patterns, "mix-patterns")
@@ -154,26 +207,25 @@ def pattern_plans(rows: DataFrame, *, weights: Sequence[float], most: int, most_
     told = materialise(told, "mix-members")
     per = told.groupBy("__p", "size").agg(F.sum("source_size").alias("ss"), F.sum("target").alias("target"), F.count(F.lit(1)).alias("sources"), F.max("patterns").alias("shared"))
     per = materialise(per, "mix-per-pattern")
-    alone = (F.col("sources") == 1) & (F.col("shared") == 1)
-    flows = per.where(alone).select("__p", F.least(F.round("target").cast("long"), F.col("size") * most).alias("flow"))
-    joint = per.where(~alone).select(F.col("__p").alias("__j"))
-    if not joint.isEmpty():
-        shared = told.join(joint, F.col("__p") == F.col("__j"), "left_semi")
-        ends = shared.select(F.xxhash64(F.lit(1), "__p").alias("a"), F.xxhash64(F.lit(2), "source").alias("b"), "__p", "source", "size", "target")
-        labels = components(ends.select("a", "b")).select("node", "root")
-        grouped = ends.join(labels, F.col("a") == F.col("node")).select("root", "__p", "source", "size", "target")
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            if len(frame) > most_memberships:
-                raise ValueError(f"{len(frame)} memberships of connected sources, more than most_memberships = {most_memberships}")
-            name = lambda s: None if pd.isna(s) else s
-            keys = sorted(frame["__p"].unique())
-            size = dict(zip(frame["__p"], frame["size"]))
-            quota = {name(s): t for s, t in zip(frame["source"], frame["target"])}
-            found = route([(json.loads(k), int(size[k])) for k in keys], quota, most=most)
-            return pd.DataFrame({"__p": keys, "flow": found})
-
-        flows = flows.unionByName(grouped.groupBy("root").applyInPandas(run, "`__p` string, flow long"))
+
+    ends = told.select(F.xxhash64(F.lit(1), "__p").alias("a"), F.xxhash64(F.lit(2), "source").alias("b"), "__p", "source", "size", "target")
+    joint = per.where("sources > 1 OR shared > 1").select(F.col("__p").alias("__j"))
+    # The groups' names: only patterns that share sources have to be followed from one to the next.
+    linked = ends.join(joint, F.col("__p") == F.col("__j"), "left_semi")
+    names = ends.select("a", F.col("a").alias("root")).limit(0) if joint.isEmpty() else components(linked.select("a", "b")).select(F.col("node").alias("a"), "root")
+    grouped = ends.join(names.withColumnRenamed("a", "__node"), F.col("a") == F.col("__node"), "left").select(F.coalesce("root", "a").alias("root"), "__p", "source", "size", "target")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > most_memberships:
+            raise ValueError(f"{len(frame)} memberships of connected sources, more than most_memberships = {most_memberships}")
+        name = lambda s: None if pd.isna(s) else s
+        keys = sorted(frame["__p"].unique())
+        size = dict(zip(frame["__p"], frame["size"]))
+        quota = {name(s): t for s, t in zip(frame["source"], frame["target"])}
+        found = route([(json.loads(k), int(size[k])) for k in keys], quota, most=most)
+        return pd.DataFrame({"__p": keys, "flow": found})
+
+    flows = grouped.groupBy("root").applyInPandas(run, "`__p` string, flow long")
     joined = patterns.join(flows.withColumnRenamed("__p", "__f"), F.col("__p") == F.col("__f")).join(per.select(F.col("__p").alias("__t"), "ss", "target"), F.col("__p") == F.col("__t"))
     some = F.col("size") > 0
     copies = F.when(some, F.expr("flow div size")).otherwise(0).cast("int")
@@ -188,7 +240,7 @@ def mix_sources(
     most: int = 3,
     seed: int = 20_240_607,
     bucket_docs: int = 1000,
-    most_memberships: int = 100_000,
+    most_memberships: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",

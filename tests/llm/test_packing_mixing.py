@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sieveline.llm.langid import UNKNOWN
-from sieveline.llm.mixing import Flow, mix_sources, route, targets
+from sieveline.llm.mixing import mix_sources, route, targets
 from sieveline.llm.packing import pack, pack_documents, sum_of_squares, tokenised_pieces, word_ids
 from tests.llm.helpers import ODD, SCHEMA, prose, rows, table
 from tests.llm.test_dedup import plain_exact, plain_near
@@ -103,12 +103,81 @@ def test_sum_of_squares_follows_the_rule():
 def test_targets_and_flow():
     assert targets([10, 100, 100], [5, 1, 1], 210, 3) == [30.0, 90.0, 90.0]
     assert targets([0, 50], [1, 1], 50, 3) == [0.0, 50.0]
-    net = Flow(4)
-    cheap, dear = net.edge(0, 1, 5, 1), net.edge(0, 2, 5, 4)
-    net.edge(1, 3, 3, 0)
-    net.edge(2, 3, 9, 0)
-    net.run(0, 3)
-    assert (net.flow(cheap), net.flow(dear)) == (3, 5)
+
+
+def cheapest(patterns, quota, most):
+    """Plain: shortest paths one by one over a network with a node for each pattern and source; (flow, cost)."""
+    names = list(quota)
+    sink = 1 + len(patterns) + len(names)
+    edges = []  # [from, to, room, cost]; the next one is its reverse
+
+    def edge(a, b, room, cost):
+        edges.extend([[a, b, room, cost], [b, a, 0, -cost]])
+
+    for k, (sources, size) in enumerate(patterns):
+        for copy in range(most):
+            edge(0, 1 + k, size, copy * copy)
+        for s in set(sources):
+            edge(1 + k, 1 + len(patterns) + names.index(s), most * size, 0)
+    for k, s in enumerate(names):
+        edge(1 + len(patterns) + k, sink, round(quota[s]), 0)
+    flow = cost = 0
+    while True:
+        far, by = [0] + [float("inf")] * sink, {}
+        for _ in range(sink + 1):
+            for n, (a, b, room, c) in enumerate(edges):
+                if room and far[a] + c < far[b]:
+                    far[b], by[b] = far[a] + c, n
+        if sink not in by:
+            return flow, cost
+        path, at = [], sink
+        while at:
+            path.append(by[at])
+            at = edges[by[at]][0]
+        moved = min(edges[n][2] for n in path)
+        for n in path:
+            edges[n][2] -= moved
+            edges[n ^ 1][2] += moved
+        flow, cost = flow + moved, cost + moved * far[sink]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_routes_cost_as_little_as_by_shortest_paths(seed):
+    r = random.Random(seed)
+    names = ["a", "b", "c", None, "d"][: r.randrange(1, 6)]
+    patterns = [(r.sample(names, r.randrange(1, len(names) + 1)), r.randrange(0, 30)) for _ in range(r.randrange(1, 9))]
+    quota = {s: r.uniform(0, 80) for s in names}
+    sent = route(patterns, quota, most=3)
+    cost = lambda x, n: sum(c * c * min(max(x - c * n, 0), n) for c in range(3)) if n else 0
+    assert all(0 <= x <= 3 * n for x, (_, n) in zip(sent, patterns))
+    assert (sum(sent), sum(cost(x, n) for x, (_, n) in zip(sent, patterns))) == cheapest(patterns, quota, 3)
+
+
+@pytest.mark.parametrize("kind", ["any", "chain"])
+def test_routes_of_many_memberships(kind):
+    """100,000 memberships of one group within a minute."""
+    import time
+
+    r = random.Random(8)
+    n = 33_334 if kind == "any" else 50_000
+    sources = [f"s{k:05d}" for k in range(2000 if kind == "any" else n + 1)]
+    patterns = [(r.sample(sources, 3) if kind == "any" else sources[k : k + 2], r.randrange(1, 10_000)) for k in range(n)]
+    total = sum(x for _, x in patterns)
+    quota = {s: (1, 2, 3)[k % 3] * total / (2 * len(sources)) for k, s in enumerate(sources)}
+    began = time.time()
+    sent = route(patterns, quota, most=3)
+    assert time.time() - began < 60
+    assert all(0 <= x <= 3 * m for x, (_, m) in zip(sent, patterns)) and sum(sent) <= sum(round(q) for q in quota.values())
+    assert sum(sent) > 0.9 * total
+
+
+def test_every_pattern_is_routed(spark, monkeypatch):
+    """A document table with one source a row enters the flow as well."""
+    from sieveline.llm import mixing
+
+    docs = table(spark, [prose(k, 10) for k in range(30)])
+    monkeypatch.setattr(mixing, "route", lambda patterns, quota, most: [most * n for _, n in patterns])
+    assert {x.copies for x in mix_sources(docs).collect()} == {3}
 
 
 def test_flow_serves_overlapping_sources():
