@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import dist, images
-from sieveline.operators import curate, federated, metrics, partition, stats
+from sieveline.operators import curate, metrics, partition, stats
 from sieveline.operators.graph import components
 from sieveline.plans import registry
 from sieveline.sources import readers
@@ -183,28 +183,6 @@ def test_files_round_trip(tmp_path, spark):
     assert [list(r.value) for r in readers.read_arrays(spark, str(tmp_path / "f.npy")).orderBy("row_id").collect()] == [[0, 1, 2], [3, 4, 5]]
 
 
-def test_head_gradient_by_differences():
-    cfg = federated.FitConfig(hidden=4, classes=3)
-    r = np.random.default_rng(1)
-    x, y, w = r.normal(size=(9, 5)), r.integers(0, 3, 9), np.array([1.0, 2.0, 0.5])
-    s = federated.initial_state(5, cfg)
-    _, g = federated.loss_and_gradient(s, x, y, w)
-    for k, a in s.items():
-        at = tuple(r.integers(0, n) for n in a.shape)
-        up, down = ({**s, k: a + e * np.equal(np.arange(a.size).reshape(a.shape), np.ravel_multi_index(at, a.shape))} for e in (1e-6, -1e-6))
-        diff = (federated.loss_and_gradient(up, x, y, w)[0] - federated.loss_and_gradient(down, x, y, w)[0]) / 2e-6
-        assert abs(diff - g[k][at]) < 1e-5
-
-
-def test_federated_methods_learn(spark):
-    r = np.random.default_rng(0)
-    rows = [(k % 3, [float(v) for v in r.normal(size=4) + 3 * np.eye(4)[k % 2]], k % 2) for k in range(120)]
-    df = spark.createDataFrame(rows, "c int, v array<double>, y int")
-    for method in ("fedavg", "fedper", "pfedme"):
-        _, history = federated.train(df, client="c", vector="v", label="y", method=method, cfg=federated.FitConfig(classes=2, hidden=8, rounds=2, epochs=3, batch=16))
-        assert history["train_loss"].iloc[-1] < history["train_loss"].iloc[0]
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
