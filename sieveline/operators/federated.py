@@ -54,7 +54,7 @@ class FitConfig:
     private: str = "fc2"
     seed: int = 42
     #: Mini-batches an epoch; a client's rows are dealt to them by a seeded hash.
-    batches: int = 2
+    batches: int = 1
 
 
 def initial_state(dim: int, cfg: FitConfig) -> State:
