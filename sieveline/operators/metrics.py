@@ -1,7 +1,7 @@
 """Evaluation metrics as window and aggregate plans.
 
-Ranks and curves start from one row for each distinct score, so that a running
-sum goes over distinct scores only, partitioned by the run it belongs to.
+Ranks and curves start from one row for each distinct score; running sums over
+them go by ranges of scores (``operators.order``), so no task holds them all.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import guard
+from sieveline.operators.order import placed, running
 
 #: Bin edges as k * (1 / 10), the floats an evenly spaced grid has; never conf * 10.
 EDGES = tuple(k * 0.1 for k in range(11))
@@ -29,15 +30,15 @@ def midranks(df: DataFrame, value: Column, by: Sequence[str] = (), descending: b
     """All rows with ``midrank``: the mean of the 1-based places of equal values."""
     v = df.withColumn("__v", value)
     table = v.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.partitionBy(*by).orderBy(F.desc("__v") if descending else F.asc("__v"))
-    table = table.withColumn("midrank", F.sum("__n").over(order) - (F.col("__n") - 1) / 2)
-    return v.join(table.drop("__n"), [*by, "__v"]).drop("__v")
+    table = running(table, by, "__v", ["__n"], descending=descending)
+    table = table.select(*by, "__v", (F.col("upto___n") - (F.col("__n") - 1) / 2).alias("midrank"))
+    return v.join(table, [*by, "__v"]).drop("__v")
 
 
 def auc(df: DataFrame, score: Column, y: Column, by: Sequence[str] = (), times: Column | None = None) -> DataFrame:
     """(by…, auc): probability that a positive outscores a negative, ties half; null for one class."""
-    table = score_table(df, score, y, by, times)
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
+    table = running(score_table(df, score, y, by, times), by, "s", ["neg"])
+    below = F.col("upto_neg") - F.col("neg")
     won = table.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     sums = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("m"), F.sum("neg").alias("n"))
     return sums.select(*by, F.round(F.when((F.col("m") > 0) & (F.col("n") > 0), F.col("won") / (F.col("m") * F.col("n"))), 9).alias("auc"))
@@ -47,12 +48,10 @@ def roc_points(df: DataFrame, score: Column, y: Column, by: Sequence[str] = ())
     """(by…, thr, tp, fp, tpr, fpr): thresholds from high to low, the first infinite;
     interior points of straight stretches are left out."""
     table = score_table(df, score, y, by)
-    desc = Window.partitionBy(*by).orderBy(F.desc("s"))
-    run = desc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = table.withColumn("tp", F.sum("pos").over(run)).withColumn("fp", F.sum("neg").over(run))
-    near = lambda c, k: (F.lag(c, k, 0) if k > 0 else F.lead(c, -k)).over(desc)
-    bend = (near("tp", -1) - 2 * F.col("tp") + near("tp", 1) != 0) | (near("fp", -1) - 2 * F.col("fp") + near("fp", 1) != 0)
-    kept = table.withColumn("keep", F.coalesce(bend, F.lit(True))).where("keep").select(*by, F.col("s").alias("thr"), "tp", "fp")
+    run = running(table, by, "s", ["pos", "neg"], descending=True, following=True)
+    # A point stays where the steps before and behind it differ, and at the end.
+    bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    kept = run.where(F.coalesce(bend, F.lit(True))).select(*by, F.col("s").alias("thr"), F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"))
     start = table.groupBy(*by).agg(F.lit(float("inf")).alias("thr"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     totals = table.groupBy(*by).agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
     points = kept.unionByName(start)
@@ -162,9 +161,8 @@ def coverage_risk(df: DataFrame, uncertainty: Column, wrong: Column, missed: Col
     coverages they miss and summed from there, so nothing is copied 11 times.
     """
     levels = [0.5 + 0.05 * k for k in range(11)]
-    order = Window.orderBy("u", "id")
     rows = df.select(F.col(id_col).alias("id"), uncertainty.alias("u"), wrong.cast("int").alias("wrong"), missed.cast("int").alias("missed"), F.lit(1).alias("one"))
-    ranked = rows.withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
+    ranked = placed(rows, "u", "id", "r").withColumnRenamed("all", "n")
     takes = F.array(*[F.greatest(F.lit(least), F.floor(F.lit(round(c, 2)) * F.col("n"))) for c in levels])
     first = ranked.withColumn("level", F.size(F.filter(takes, lambda k: k < F.col("r"))))
     sums = first.groupBy("level").agg(F.sum("one").alias("k"), F.sum("wrong").alias("wrong"), F.sum(F.when(F.col("missed") == 1, 1).otherwise(0)).alias("fn"), F.count_if(F.col("missed").isNotNull()).alias("pos"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.dist import incomplete_beta, kolmogorov_two_sided, normal_quantile, normal_two_sided, t_quantile, t_upper_tail, wilcoxon_exact
 from sieveline.operators.metrics import midranks
+from sieveline.operators.order import running
 
 
 def placements(df: DataFrame, score: Column, y: Column, id_col: str) -> DataFrame:
@@ -21,9 +22,8 @@ def placements(df: DataFrame, score: Column, y: Column, id_col: str) -> DataFram
     """
     rows = df.select(F.col(id_col).alias("id"), y.alias("y"), score.alias("s"))
     table = rows.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    run = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    table = table.select("s", "pos", "neg", F.sum("pos").over(run).alias("cp"), F.sum("neg").over(run).alias("cn"), F.sum("pos").over(every).alias("m"), F.sum("neg").over(every).alias("n"))
+    names = {"upto_pos": "cp", "upto_neg": "cn", "all_pos": "m", "all_neg": "n"}
+    table = running(table, [], "s", ["pos", "neg"]).withColumnsRenamed(names)
     up = (F.col("cn") - F.col("neg") / 2) / F.col("n")
     down = (F.col("m") - F.col("cp") + F.col("pos") / 2) / F.col("m")
     return rows.join(table, "s").select("id", "y", F.when(F.col("y") == 1, up).otherwise(down).alias("v"))
@@ -180,9 +180,7 @@ def rank_shift(df: DataFrame, name: str, before: str, after: str) -> DataFrame:
 def ks_statistic(df: DataFrame, value: Column, sample: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by…, d, n, m): greatest gap between the empirical distributions of sample 1 and 0."""
     rows = df.select(*by, value.alias("v"), sample.alias("g")).groupBy(*by, "v").agg(F.count_if(F.col("g") == 1).alias("a"), F.count_if(F.col("g") == 0).alias("b"))
-    run = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = Window.partitionBy(*by)
-    rows = rows.select(*by, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(part).alias("n"), F.sum("b").over(part).alias("m"))
+    rows = running(rows, by, "v", ["a", "b"]).withColumnsRenamed({"upto_a": "ca", "upto_b": "cb", "all_a": "n", "all_b": "m"})
     return rows.groupBy(*by).agg(F.round(F.max(F.abs(F.try_divide("ca", "n") - F.try_divide("cb", "m"))), 9).alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
 
 

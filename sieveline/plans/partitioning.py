@@ -12,6 +12,7 @@ from sieveline.operators import metrics as M
 from sieveline.operators import partition as P
 from sieveline.operators import stats as S
 from sieveline.plans.tables import SCORED, scored, table, values
+from sieveline.sources.scratch import materialise
 
 CLIENTS, CLASSES, SEED = 5, 10, 7
 ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 10.0, float("inf"))
@@ -27,11 +28,11 @@ def _split(spark, sf) -> DataFrame:
     """Train and test rows: of each class the first 30 per cent in seeded order are test."""
     ranked = P.rank_in(scored(spark, sf), ["label"], SEED, "vec_id")
     rows = ranked.withColumn("split", F.when(F.col("r") < F.floor(0.3 * F.col("n")), "test").otherwise("train")).drop("r", "n")
-    return P.rank_in(rows, ["split", "label"], SEED, "vec_id")
+    return P.rank_in(materialise(rows, "split"), ["split", "label"], SEED, "vec_id")
 
 
 def _assigned(spark, sf, alpha: float = 0.5) -> DataFrame:
-    return P.assign_clients(_split(spark, sf), F.col("label"), cuts(alpha)).drop("r", "n")
+    return materialise(P.assign_clients(_split(spark, sf), F.col("label"), cuts(alpha)).drop("r", "n"), "assigned")
 
 
 def leak_scores(assigned: DataFrame, by: list[str]) -> DataFrame:
@@ -45,7 +46,7 @@ def leak_scores(assigned: DataFrame, by: list[str]) -> DataFrame:
 
 def leak_audit(spark, sf) -> DataFrame:
     """AUC of a predictor that only knows a client's label prior, under both protocols."""
-    rows = leak_scores(_assigned(spark, sf), [])
+    rows = materialise(leak_scores(_assigned(spark, sf), []), "leak-scores")
     paired = M.auc(rows, F.coalesce("paired", "pooled"), F.col("y")).withColumnRenamed("auc", "auc_paired")
     pooled = M.auc(rows, F.col("pooled"), F.col("y")).withColumnRenamed("auc", "auc_pooled")
     return paired.crossJoin(pooled)
@@ -74,6 +75,7 @@ def _sweep(spark, sf) -> DataFrame:
     pooled = train.groupBy("alpha", "seed").agg(rate.alias("pooled"))
     rows = cells.where("split = 'test'").join(paired, ["alpha", "seed", "client"], "left").join(pooled, ["alpha", "seed"])
     of = lambda score, name: M.auc(rows, score, F.col("y"), ["alpha", "seed"], F.col("times")).withColumnRenamed("auc", name)
+    rows = materialise(rows, "sweep")
     both = of(F.coalesce("paired", "pooled"), "auc_paired").join(of(F.col("pooled"), "auc_pooled"), ["alpha", "seed"])
     return both.withColumn("leak", F.round(F.col("auc_paired") - F.col("auc_pooled"), 9))
 
