@@ -14,7 +14,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -48,7 +47,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.empty(0, U64)
+    """Hashes of strings: their bytes times powers of an odd number, summed and mixed with the length."""
+    joined = pa.concat_arrays([words])  # starts at its buffers' beginning
+    offsets = np.frombuffer(joined.buffers()[1], np.int32, len(words) + 1) if len(words) else np.zeros(1, np.int32)
+    size = np.diff(offsets)
+    data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    power = np.cumprod(np.full(int(size.max(initial=0)), 0x9E3779B97F4A7C15, U64))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], size)
+    upto = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * power[place], dtype=U64)])
+    at = offsets - offsets[0]
+    return mixed(upto[at[1:]] - upto[at[:-1]] + size.astype(U64))
 
 
 def longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -156,6 +164,11 @@ class Tally:
             yield pa.RecordBatch.from_arrays([*empty, pa.array(which.astype(np.int32)), pa.array(np.full(len(which), salt, np.int32)), packed], names=["lang", "phrase", "c", "segment", "salt", "counts"])
 
 
+def has(bits: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether the bit of a bucket is set."""
+    return (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0
+
+
 def squeezed(counts: np.ndarray) -> bytes:
     return pa.compress(counts.tobytes(), codec="lz4_raw", asbytes=True)
 
@@ -164,7 +177,7 @@ def expanded(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=1 << SEGMENT, codec="lz4_raw", asbytes=True), np.uint8)
 
 
-def parts_of(text: str, most: int = BATCH_BYTES // 4) -> Iterator[str]:
+def parts_of(text: str, most: int = BATCH_BYTES // 8) -> Iterator[str]:
     """A text, cut between pieces where it is long."""
     at = 0
     while len(text) - at > most and (cut := END_OF_PIECE.search(text, at + most)):
@@ -174,7 +187,7 @@ def parts_of(text: str, most: int = BATCH_BYTES // 4) -> Iterator[str]:
 
 
 def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """The words of (text, lang) rows, about a million characters at a time."""
+    """The words of (text, lang) rows, half a million characters at a time."""
     for batch in batches:
         parts: list[tuple[int, str]] = []
         numbers: dict[str, int] = {}
@@ -183,7 +196,7 @@ def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             for part in parts_of(text.as_py()):
                 parts.append((numbers.setdefault(lang, len(numbers)), part))
                 size += len(part)
-                if size > BATCH_BYTES // 4:
+                if size > BATCH_BYTES // 8:
                     yield Words(parts, list(numbers))
                     parts, size = [], 0
         if parts:
@@ -197,7 +210,7 @@ def one_pass(k: int, last: bool, least: int, known: Callable[[], tuple[np.ndarra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shorter, frequent = (np.unpackbits(x).view(bool) for x in known()) if k > 1 else (None, None)
+        shorter, frequent = known() if k > 1 else (None, None)
         tally = Tally(least)
         for words in word_lists(batches):
             candidate = words.whole(k)
@@ -205,16 +218,17 @@ def one_pass(k: int, last: bool, least: int, known: Callable[[], tuple[np.ndarra
                 continue
             gram = words.grams(k - 1) if k > 1 else words.word
             if k > 1:
-                part = shorter[words.buckets(gram)]
+                part = has(shorter, words.buckets(gram))
                 candidate &= part[: len(candidate)] & part[1 : len(candidate) + 1]
                 gram = longer(gram[: len(candidate)], words.word[k - 1 :])
-                candidate &= frequent[words.buckets(gram)]
+                candidate &= has(frequent, words.buckets(gram))
             yield from tally.add(words.counted(np.flatnonzero(candidate), k))
             if not last and len(candidate) > 1:
                 wider = words.whole(k + 1) & candidate[:-1] & candidate[1:]
                 at = np.flatnonzero(wider)
                 tally.count_buckets(bucket_of(longer(gram[at], words.word[at + k]), words.salt[at]))
         yield from tally.rest()
+        pa.default_memory_pool().release_unused()
 
     return run
 

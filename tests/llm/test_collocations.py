@@ -70,6 +70,16 @@ def test_long_texts_are_cut_between_pieces():
     assert list(parts_of("a b " * 100, 40)) == ["a b " * 100]
 
 
+def test_hashes_depend_on_the_word_alone():
+    import pyarrow as pa
+
+    words = ["a", "", "ab", "ba", "aa", "漢字", "b", "a" * 300, "\x00", "\x00\x00"]
+    whole = C.word_hashes(pa.array(words))
+    assert len(set(whole.tolist())) == len(words)
+    assert C.word_hashes(pa.array(["x", *words, "y"]).slice(1, len(words))).tolist() == whole.tolist()
+    assert C.word_hashes(pa.array([], pa.string())).tolist() == []
+
+
 def test_counts_are_handed_out_when_they_are_many(monkeypatch):
     import pyarrow as pa
 
