@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import curation, evaluation, kernels, partitioning, picturing, reports
+from sieveline.plans import curation, evaluation, kernels, partitioning, picturing, reports, stored
 
-MODULES = (curation, partitioning, evaluation, kernels, picturing, reports)
+MODULES = (curation, partitioning, evaluation, kernels, picturing, reports, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

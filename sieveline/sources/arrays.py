@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -11,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from sieveline.sources.files import located
+from sieveline.sources.files import deleted, located, save
 from sieveline.sources.scratch import materialise
 
 SCHEMA = "path string, name string, row_id long, value array<{}>"
@@ -148,11 +150,49 @@ class ArrayReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([text(part.path), text(part.name), pa.array(np.arange(first, first + n)), lists], ["path", "name", "row_id", "value"])
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    attempt: str
+
+
+class ArrayWriter(DataSourceArrowWriter):
+    """A ``.npy`` for each batch, below a staging folder; files of attempts that didn't count go at the end."""
+
+    def __init__(self, options: dict) -> None:
+        self.target, self.staging = options["path"], options["staging"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+        files, root = located(self.staging)
+        part = Part(uuid.uuid4().hex)
+        for k, batch in enumerate(iterator):
+            values = batch.column(0)
+            if not len(values):
+                continue
+            rows = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+            with files.open_output_stream(f"{root}/{part.attempt}-{k}.npy") as out:
+                np.lib.format.write_array(out, np.ascontiguousarray(rows), allow_pickle=False)
+        return part
+
+    def commit(self, messages: list) -> None:
+        files, root = located(self.staging)
+        good = {m.attempt for m in messages if m}
+        for info in files.get_file_info(fs.FileSelector(root)):
+            if info.base_name.rsplit("-", 1)[0] not in good:
+                files.delete_file(info.path)
+        files.move(root, located(self.target)[1])
+
+    def abort(self, messages: list) -> None:
+        deleted(self.staging)
+
+
 class ArraySource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "sieveline_arrays"
 
+    def writer(self, schema: StructType, overwrite: bool) -> ArrayWriter:
+        return ArrayWriter(dict(self.options))
+
     def schema(self) -> str:
         return SCHEMA.format(self.options["element"])
 
@@ -175,6 +215,22 @@ def read_rows(spark: SparkSession, pattern: str, *, element: str = "double", tas
     return spark.read.format("sieveline_arrays").options(**options).load()
 
 
+def write_rows(rows: DataFrame, path: str, column: str) -> None:
+    """Write the vectors in ``column`` as ``.npy`` files of some thousand rows below ``path``.
+
+    All vectors must have one length, and none may be null or hold a null: that
+    is an error before anything is written, as is a ``path`` that exists.  Rows
+    have no order.
+    """
+    value = F.col(column)
+    odd = F.coalesce(F.exists(value, lambda x: x.isNull()), F.lit(True))
+    told = rows.agg(F.count_if(odd).alias("odd"), F.min(F.size(value)).alias("least"), F.max(F.size(value)).alias("most")).head()
+    if told["odd"] or told["least"] != told["most"] or told["least"] == 0:
+        raise ValueError(f"{column} has nulls or vectors of different lengths")
+    rows.sparkSession.dataSource.register(ArraySource)
+    save(rows.select(column), "sieveline_arrays", path)
+
+
 def numbered_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of one file of lines with ``row_id``, their place in it from 0.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from sieveline.functions.jpeg import encode
-from sieveline.sources.files import located
+from sieveline.sources.files import absent, deleted, located, save
 
 
 def _encoded(row: dict, quality: int) -> bytes | None:
@@ -26,20 +25,6 @@ def _encoded(row: dict, quality: int) -> bytes | None:
     return encode(np.frombuffer(row["data"], np.uint8).reshape(shape), quality)
 
 
-def _deleted(folder: str, tries: int = 5) -> None:
-    """Delete a folder that late tasks may still write to."""
-    files, root = located(folder)
-    for left in reversed(range(tries)):
-        if files.get_file_info(root).type.name == "NotFound":
-            return
-        try:
-            files.delete_dir(root)
-        except OSError:
-            if not left:
-                raise
-            time.sleep(0.5)
-
-
 class PictureWriter(DataSourceArrowWriter):
     """Writes below a staging folder; the end of the job names it as asked, or deletes it.
 
@@ -82,7 +67,7 @@ class PictureWriter(DataSourceArrowWriter):
         files.move(root, located(self.target)[1])
 
     def abort(self, messages: list) -> None:
-        _deleted(self.staging)
+        deleted(self.staging)
 
 
 class PictureSink(DataSource):
@@ -106,23 +91,14 @@ def write_pictures(rows: DataFrame, path: str, *, folder: Column, name: Column,
     trace; a report that an earlier attempt left is counted once.
     """
     spark = rows.sparkSession
-    target, where = located(path.rstrip("/"))
-    if target.get_file_info(where).type.name != "NotFound":
-        raise FileExistsError(path)
+    target, where = absent(path)
     rows = rows.select(folder.alias("folder"), name.alias("name"), "width", "height", "channels", "data")
     odd = lambda c: F.coalesce(F.col(c).rlike(r"^[._]|/|^$"), F.lit(True))
     faults = rows.groupBy("folder", "name").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | odd("folder") | odd("name"))
     if first := faults.head(1):
         raise ValueError(f"repeated or unfit name: {first[0]['folder']}/{first[0]['name']}")
     spark.dataSource.register(PictureSink)
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    target.create_dir(located(staging)[1], recursive=True)
-    options = {"path": path, "staging": staging, "quality": str(quality)}
-    try:
-        rows.write.format("sieveline_pictures").options(**options).mode("append").save()
-    except Exception:
-        _deleted(staging)
-        raise
+    save(rows, "sieveline_pictures", path, quality=str(quality))
     schema = "folder string, name string, written boolean, bytes long"
     if target.get_file_info(f"{where}/_written").type.name == "NotFound":
         return spark.createDataFrame([], schema)

@@ -137,3 +137,16 @@ def test_sink_leaves_all_or_nothing(spark, tmp_path):
     assert put([], "empty").count() == 0 and (tmp_path / "empty").is_dir()
     with pytest.raises(FileExistsError):
         put([], "empty")
+
+
+def test_vectors_written_and_read_back(spark, tmp_path):
+    rows = [(k, [float(k), k / 3, -k * 2.5]) for k in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, v array<double>").repartition(3)
+    arrays.write_rows(df, str(tmp_path / "out"), "v")
+    got = sorted(list(r["value"]) for r in arrays.read_rows(spark, f"{tmp_path}/out/*.npy", task_bytes=512).collect())
+    assert got == [v for _, v in rows]
+    for bad in ([(1, None)], [(1, [1.0, None])], [(1, [1.0]), (2, [1.0, 2.0])]):
+        with pytest.raises(ValueError, match="nulls or vectors"):
+            arrays.write_rows(spark.createDataFrame(bad, df.schema), str(tmp_path / "bad"), "v")
+    arrays.write_rows(df.limit(0), str(tmp_path / "empty"), "v")
+    assert [p.name for p in tmp_path.iterdir() if p.name != "out"] == ["empty"]
