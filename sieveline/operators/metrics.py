@@ -44,10 +44,10 @@ def auc(df: DataFrame, score: Column, y: Column, by: Sequence[str] = (), times:
     return sums.select(*by, F.round(F.when((F.col("m") > 0) & (F.col("n") > 0), F.col("won") / (F.col("m") * F.col("n"))), 9).alias("auc"))
 
 
-def roc_points(df: DataFrame, score: Column, y: Column, by: Sequence[str] = ()) -> DataFrame:
+def roc_points(df: DataFrame, score: Column, y: Column, by: Sequence[str] = (), times: Column | None = None) -> DataFrame:
     """(by…, thr, tp, fp, tpr, fpr): thresholds from high to low, the first infinite;
     interior points of straight stretches are left out."""
-    table = score_table(df, score, y, by)
+    table = score_table(df, score, y, by, times)
     run = running(table, by, "s", ["pos", "neg"], descending=True, following=True)
     # A point stays where the steps before and behind it differ, and at the end.
     bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -185,3 +185,31 @@ def waterfall(counts: DataFrame, step: str, order: str, n: str) -> DataFrame:
     """Running totals of removals: start and end of each step's bar; a row for each step."""
     run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.select(step, order, n, (F.sum(n).over(run) - F.col(n)).alias("start"), F.sum(n).over(run).alias("end"))
+
+
+def subgroups(df: DataFrame, score: Column, y: Column, stratum: Column, threshold: float, normal: str = "Normal") -> DataFrame:
+    """(stratum, total_samples, false_negatives, false_positives, auc, sensitivity, specificity).
+
+    Positives (``y`` 1) are told by ``stratum``, each stratum against all
+    negatives together, which have the row ``normal``; it has a specificity and
+    no sensitivity or AUC, and is there even without a negative.  Negatives are
+    counted once, whatever the number of strata.  Rows without a score or of
+    another class are left out; a null stratum is one.
+    """
+    rows = df.select(score.cast("double").alias("s"), y.alias("y"), stratum.cast("string").alias("stratum")).where("s IS NOT NULL AND y IN (0, 1)")
+    table = running(score_table(rows, F.col("s"), F.col("y")), [], "s", ["neg"])
+    below = table.select(F.col("s").alias("__s"), (F.col("upto_neg") - F.col("neg") / 2).alias("won"), F.col("all_neg").alias("normals"))
+    own = rows.where("y = 1").groupBy("stratum", "s").agg(F.count(F.lit(1)).alias("n"))  # by score: a stratum may be most rows
+    own = own.join(below, own.s == below["__s"])
+    missed, n = F.when(F.col("s") < threshold, F.col("n")).otherwise(0), F.sum("n")
+    lesions = own.groupBy("stratum").agg(
+        n.alias("total_samples"), F.sum(missed).alias("false_negatives"), F.lit(0).cast("long").alias("false_positives"),
+        F.round(F.try_divide(F.sum(F.col("n") * F.col("won")), n * F.max("normals")), 9).alias("auc"),
+        F.round(1 - F.sum(missed) / n, 9).alias("sensitivity"), F.lit(None).cast("double").alias("specificity"),
+    )
+    none, wrong = F.lit(None).cast("double"), F.count_if(F.col("s") >= threshold)
+    normals = rows.where("y = 0").agg(
+        F.lit(normal).alias("stratum"), F.count(F.lit(1)).alias("total_samples"), F.lit(0).cast("long").alias("false_negatives"), wrong.alias("false_positives"),
+        none.alias("auc"), none.alias("sensitivity"), F.round(1 - F.try_divide(wrong, F.count(F.lit(1))), 9).alias("specificity"),
+    )
+    return lesions.unionByName(normals)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions.rng import hash_key, uniform
+from sieveline.operators.order import ranged
+from sieveline.sources.scratch import materialise
 
 
 def rank_in(df: DataFrame, by: Sequence[str], seed: int | str, id_col: str) -> DataFrame:
@@ -68,6 +72,13 @@ def assign_clients(ranked: DataFrame, label: Column, cuts: Sequence[Sequence[flo
     return ranked.withColumn(name, F.size(below).cast("int"))
 
 
+def even_shard(place: Column, n: Column, clients: int) -> Column:
+    """The shard of a place from 0 among ``n``: near-equal sizes, the first n mod clients are one larger."""
+    q, m = F.floor(n / clients), n % clients
+    big = m * (q + 1)
+    return F.when(place < big, F.floor(place / (q + 1))).otherwise(m + F.floor((place - big) / F.greatest(q, F.lit(1)))).cast("int")
+
+
 def even_shards(df: DataFrame, clients: int, *, id_col: str, seed: int) -> DataFrame:
     """IID shards of near-equal size: the first n mod clients shards get one more row.
 
@@ -79,10 +90,7 @@ def even_shards(df: DataFrame, clients: int, *, id_col: str, seed: int) -> DataF
     sizes = rows.groupBy("__b").count()  # 4096 at most
     before = sizes.select("__b", (F.sum("count").over(Window.orderBy("__b")) - F.col("count")).alias("__before"), F.sum("count").over(Window.partitionBy()).alias("__n"))
     placed = rows.join(F.broadcast(before), "__b").withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__k", id_col)) - 1 + F.col("__before"))
-    q, m = F.floor(F.col("__n") / clients), F.col("__n") % clients
-    big = m * (q + 1)
-    shard = F.when(F.col("__r") < big, F.floor(F.col("__r") / (q + 1))).otherwise(m + F.floor((F.col("__r") - big) / F.greatest(q, F.lit(1))))
-    return placed.withColumn("client", shard.cast("int")).drop("__k", "__b", "__before", "__n", "__r")
+    return placed.withColumn("client", even_shard(F.col("__r"), F.col("__n"), clients)).drop("__k", "__b", "__before", "__n", "__r")
 
 
 def client_profile(df: DataFrame, label: str, classes: Sequence[int], abnormal: Column) -> DataFrame:
@@ -186,6 +194,130 @@ def repair(ranked: DataFrame, label: str, cuts: Sequence[Sequence[float]], *, le
     return ranked.withColumn("client", F.get(F.filter(mine, lambda x: x["e"] > F.col("r")), F.lit(0))["c"].cast("int"))
 
 
+def place_in(df: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
+    """``r``, the zero-based place of a row in its class in the order of ``id_col``, and the class size ``n``.
+
+    As ``rank_in``, but by ranges of ids at approximate quantiles.  Rows of one id
+    stand together, in any order; a null id comes first, a null class is a class.
+    """
+    rows = ranged(materialise(df, "placed"), id_col)
+    own = [f"__by{k}" for k in range(len(by))]
+    sizes = rows.groupBy(*[F.col(c).alias(o) for c, o in zip(by, own)], F.col("__range").alias("__part")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*own).orderBy("__part"))  # RANGES + 1 rows a class
+    sizes = sizes.select(*own, "__part", (upto - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy(*own)).alias("n"))
+    same = F.col("__range").eqNullSafe(F.col("__part"))
+    for mine, c in zip(own, by):
+        same &= F.col(c).eqNullSafe(F.col(mine))
+    within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(F.asc_nulls_first(id_col))) - 1
+    return rows.join(sizes, same).withColumn("r", (within + F.col("__before")).cast("long")).select(*df.columns, "r", "n")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (shifts and odd factors), element by element."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shuffled_places(place: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Where the permutation of 0 to n - 1 that ``key`` names takes each place.
+
+    A Feistel network permutes the least even number of bits that hold n places,
+    and is applied again until the result is below n.
+    """
+    n, key = np.asarray(n, np.uint64), np.asarray(key, np.uint64)
+    bits = np.ceil(np.log2(np.maximum(n, np.uint64(2)).astype(np.float64))).astype(np.uint64)
+    bits += (np.uint64(1) << bits) < n  # where the logarithm of a large n was rounded down
+    half = (bits + np.uint64(1)) // np.uint64(2)
+    low = (np.uint64(1) << half) - np.uint64(1)
+    out, going = np.array(place, np.uint64), np.arange(len(n))
+    while len(going):
+        h, m, k, x = half[going], low[going], key[going], out[going]
+        left, right = x >> h, x & m
+        for r in range(1, rounds + 1):
+            left, right = right, left ^ (_mixed(right + k + np.uint64(r * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & m)
+        out[going] = (left << h) | right
+        going = going[out[going] >= n[going]]
+    return out.astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def _shuffled(place: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(shuffled_places(place.to_numpy(), n.to_numpy(), key.to_numpy()))
+
+
+class Stream:
+    """One seeded stream of draws.  A shuffle takes a key from it and moves it on by
+    the number of rows, so later draws depend on the sizes of the classes before."""
+
+    def __init__(self, seed: int) -> None:
+        self.draws = np.random.Generator(np.random.Philox(seed))
+
+    def shuffle(self, rows: int) -> int:
+        key = int(self.draws.integers(1 << 63))
+        self.draws.bit_generator.advance(rows)
+        return key
+
+    def shares(self, clients: int, alpha: float) -> np.ndarray:
+        return np.full(clients, 1 / clients) if np.isinf(alpha) else self.draws.dirichlet([alpha] * clients)
+
+
+def _class_sizes(placed: DataFrame, label: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in placed.where(F.col(label) >= 0).groupBy(label).count().collect()}  # a row for each class
+
+
+def _dealt(placed: DataFrame, label: str, keys: Sequence[int], shares: Sequence[np.ndarray]) -> DataFrame:
+    """``client`` of placed rows: shuffled by their class's key, cut by its shares."""
+    if not keys:
+        return placed.withColumn("client", F.lit(None).cast("int")).drop("r", "n")
+    known = F.when(F.col(label).between(0, len(keys) - 1), F.col(label).cast("int"))
+    key = F.coalesce(F.get(F.array(*map(F.lit, keys)), known), F.lit(0)).cast("long")
+    moved = placed.withColumn("r", _shuffled("r", "n", key))
+    out = assign_clients(moved, known, cut_points(np.stack(shares)))
+    return out.withColumn("client", F.when(known.isNotNull(), F.col("client"))).drop("r", "n")
+
+
+def interleaved_partition(df: DataFrame, label: str, clients: int, alpha: float, *, id_col: str, seed: int) -> DataFrame:
+    """``client`` by draws that alternate: class by class a shuffle, then the class's shares.
+
+    An infinite ``alpha`` shuffles all rows at once and cuts them evenly.  Nothing
+    is repaired.  ``label`` numbers the classes from 0; other labels, null among
+    them, have no client unless ``alpha`` is infinite.  The driver sees class
+    sizes; a row works out its own place in the shuffle.
+    """
+    stream = Stream(seed)
+    if np.isinf(alpha):
+        placed = materialise(place_in(df, [], id_col), "placed")
+        key = stream.shuffle(placed.count())
+        place = _shuffled("r", "n", F.lit(key).cast("long"))
+        return placed.withColumn("r", place).withColumn("client", even_shard(F.col("r"), F.col("n"), clients)).drop("r", "n")
+    placed = materialise(place_in(df, [label], id_col), "placed")
+    sizes = _class_sizes(placed, label)
+    keys, shares = [], []
+    for k in range(max(sizes, default=-1) + 1):
+        keys.append(stream.shuffle(sizes.get(k, 0)))
+        shares.append(stream.shares(clients, alpha))
+    return _dealt(placed, label, keys, shares)
+
+
+def interleaved_pair(train: DataFrame, test: DataFrame, label: str, clients: int, alpha: float, *, id_col: str, seed: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Both tables with ``client`` by the same shares, and the shares (classes x clients).
+
+    Class by class: shares, a shuffle of the train rows, a shuffle of the test
+    rows, from one stream.  Labels as in ``interleaved_partition``.
+    """
+    stream = Stream(seed)
+    parts = [materialise(place_in(df, [label], id_col), "placed") for df in (train, test)]
+    sizes = [_class_sizes(p, label) for p in parts]
+    keys, shares = ([], []), []
+    for k in range(max((c for s in sizes for c in s), default=-1) + 1):
+        shares.append(stream.shares(clients, alpha))
+        for own, size in zip(keys, sizes):
+            own.append(stream.shuffle(size.get(k, 0)))
+    a, b = (_dealt(p, label, own, shares) for p, own in zip(parts, keys))
+    return a, b, np.array(shares).reshape(-1, clients)
+
+
 def same_shards(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("vec_id", "client")) -> DataFrame:
     """Rows in which two assignments differ; empty if they are equal."""
     x, y = a.select(*columns), b.select(*columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.dist import incomplete_beta, kolmogorov_two_sided, normal_quantile, normal_two_sided, t_quantile, t_upper_tail, wilcoxon_exact
 from sieveline.operators.metrics import midranks
 from sieveline.operators.order import running
+from sieveline.sources.scratch import materialise
 
 
 def placements(df: DataFrame, score: Column, y: Column, id_col: str) -> DataFrame:
@@ -97,6 +98,29 @@ def wilcoxon(df: DataFrame, *, unit: str, arm: str, value: str, reference: str,
     return holm(table, "p_raw", alpha=alpha, tie=arm)
 
 
+def significance(df: DataFrame, *, unit: str, arm: str, metrics: dict[str, bool], reference: str, alpha: float = 0.05) -> DataFrame:
+    """(metric, arm, n, statistic, p_raw, p_holm, significant, mean_delta, cohens_dz, is_strongest):
+    the reference against every other arm, for each of ``metrics`` (True: less is better).
+
+    Holm adjusts within a metric.  ``is_strongest`` marks the arm with the best
+    mean of the metric among the others, the first by name if equal.  A metric
+    that ``df`` lacks, or that no pair has, gives no row.
+    """
+    metrics = {m: low for m, low in metrics.items() if m in df.columns}
+    means = [F.avg(F.when(~F.isnan(F.col(m).cast("double")), F.col(m))).alias(m) for m in metrics]
+    runs = materialise(df.groupBy(arm, unit).agg(F.count(F.lit(1)).alias("__n"), *means), "runs")
+    out = None
+    for m, low in metrics.items():
+        tested = wilcoxon(runs, unit=unit, arm=arm, value=m, reference=reference, alpha=alpha)
+        best = (F.min if low else F.max)("__mean")
+        others = runs.where(F.col(arm) != reference).groupBy(F.col(arm).alias("__arm")).agg(F.avg(m).alias("__mean")).where("__mean IS NOT NULL")
+        top = others.agg(best.alias("__best"))
+        strongest = others.join(F.broadcast(top), F.col("__mean") == F.col("__best")).agg(F.min("__arm").alias("__strongest"))  # one row
+        one = tested.crossJoin(F.broadcast(strongest)).select(F.lit(m).alias("metric"), *tested.columns, F.coalesce(F.col(arm) == F.col("__strongest"), F.lit(False)).alias("is_strongest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def finite(c: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
@@ -204,31 +228,89 @@ def interpolate(points: DataFrame, *, grid: int = 101) -> DataFrame:
     return joined.select(F.round("g", 9).alias("x"), F.round(y, 9).alias("y"))
 
 
-def bootstrap_band(df: DataFrame, score: Column, y: Column, *, replicates: int = 2000, grid: int = 101, digits: int = 3, seed: int = 0) -> DataFrame:
-    """(x, lo, mid, hi): 2.5, 50 and 97.5 per cent of the resampled ROC curves.
+class _Tree:
+    """Counts of positives and negatives in a binary tree over ranges of scores, drawn anew for all replicates.
+
+    A node's rows are dealt to its halves binomially, seeded by the node, so
+    every task that passes a node draws the same; together that is a multinomial
+    draw over the ranges.
+    """
 
-    Rows are first counted by score, rounded to ``digits``; a replicate redraws
-    the counts of each class, multinomially, so its cost doesn't grow with the
-    rows.  Replicates are dealt to tasks; each is seeded by its number.
+    def __init__(self, totals: np.ndarray, replicates: int, seed: int) -> None:
+        levels = [totals]
+        while len(levels[0]) > 1:
+            levels.insert(0, levels[0][::2] + levels[0][1::2])
+        self.levels, self.replicates, self.seed = levels, replicates, seed
+
+    def drawn(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows in ranges before, rows in the range), each (replicates, 2)."""
+        here = np.tile(self.levels[0][0], (self.replicates, 1))
+        before = np.zeros_like(here)
+        for depth in range(1, len(self.levels)):
+            node = leaf >> (len(self.levels) - 1 - depth)
+            left, both = self.levels[depth][node & ~1], self.levels[depth - 1][node >> 1]
+            r = np.random.default_rng([self.seed, depth, node >> 1])
+            gone = r.binomial(here, np.divide(left, both, out=np.zeros(2), where=both > 0))
+            if node & 1:
+                before, here = before + gone, here - gone
+            else:
+                here = gone
+        return before, here
+
+
+def bootstrap_band(df: DataFrame, score: Column, y: Column, *, replicates: int = 2000, grid: int = 101, leaf: int = 4096, seed: int = 0) -> DataFrame:
+    """(x, tpr, lo, mid, hi): the ROC curve and 2.5, 50 and 97.5 per cent of curves of
+    rows redrawn within each class.
+
+    Scores are taken as they are.  They are dealt to ranges of about ``leaf``
+    different ones (2^14 ranges at most), and only the ranges' totals reach the
+    driver.  A replicate's counts are split down a tree of ranges; a task draws
+    the scores of its range only for replicates in which one of the ``grid``
+    places falls into it.  Rows without a score or of another class than 0 and 1
+    are left out; without rows of both classes there is no curve.
     """
-    table = df.select(F.round(score, digits).alias("s"), y.alias("y")).groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).orderBy(F.desc("s"))
-    counts = table.toPandas()  # 10 ** digits scores at most for scores in [0, 1]
-    pos, neg = counts["pos"].to_numpy(), counts["neg"].to_numpy()
-    m, n = int(pos.sum()), int(neg.sum())
-    x = np.linspace(0, 1, grid)
-
-    def draw(frames):
-        for frame in frames:
-            out = []
-            for b in frame["id"]:
-                r = np.random.default_rng([seed, int(b)])
-                tp = np.r_[0, np.cumsum(r.multinomial(m, pos / m))] / m
-                fp = np.r_[0, np.cumsum(r.multinomial(n, neg / n))] / n
-                out.append(pd.DataFrame({"x": x, "tpr": np.interp(x, fp, tp)}))
-            yield pd.concat(out)
-
-    if not m or not n:
-        return df.sparkSession.createDataFrame([], "x double, lo double, mid double, hi double")
-    curves = df.sparkSession.range(replicates).repartition(8).mapInPandas(draw, "x double, tpr double")
-    q = lambda p: F.round(F.percentile("tpr", p), 9)
-    return curves.groupBy(F.round("x", 9).alias("x")).agg(q(0.025).alias("lo"), q(0.5).alias("mid"), q(0.975).alias("hi"))
+    rows = df.select(score.cast("double").alias("s"), y.alias("y")).where("s IS NOT NULL AND y IN (0, 1)")
+    table = materialise(rows.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")), "scores")
+    ranges = 1 << min(14, max(0, int(np.ceil(np.log2(max(1, table.count()) / leaf)))))
+    table = materialise(table.repartitionByRange(ranges, F.desc("s")).withColumn("leaf", F.spark_partition_id()), "scores")
+    totals = np.zeros((ranges, 2), np.int64)
+    for part in table.groupBy("leaf").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect():  # a row for each range
+        totals[part["leaf"]] = part["pos"], part["neg"]
+    whole = totals.sum(axis=0)
+    schema = "b int, x int, tpr double"
+    if not whole.all():
+        return df.sparkSession.createDataFrame([], "x double, tpr double, lo double, mid double, hi double")
+    shared = df.sparkSession.sparkContext.broadcast(totals)  # 16 bytes a range, 2^14 ranges at most
+    places = np.linspace(0, 1, grid)
+
+    def curves(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("s", ascending=False)
+        own, number = frame[["pos", "neg"]].to_numpy(np.int64), int(frame["leaf"].iloc[0])
+        before, here = _Tree(shared.value, replicates, seed).drawn(number)
+        # The last row stands for the rows as they are.
+        before = np.vstack([before, shared.value[:number].sum(axis=0)])
+        here = np.vstack([here, own.sum(axis=0)])
+        first = np.searchsorted(places, before[:, 1] / whole[1], "left")
+        end = (before + here)[:, 1] / whole[1]
+        last = np.where(end < 1, np.searchsorted(places, end, "left"), grid)
+        last = np.where(here[:, 1] > 0, last, first)
+        share = own / np.maximum(own.sum(axis=0), 1)
+        out = {"b": [], "x": [], "tpr": []}
+        for b in np.flatnonzero(first < last):
+            drawn = own
+            if b < replicates:
+                r = np.random.default_rng([seed, 64, number, b])
+                drawn = np.stack([r.multinomial(here[b, c], share[:, c]) if here[b, c] else np.zeros(len(own), np.int64) for c in (0, 1)], axis=1)
+            rates = (before[b] + np.vstack([np.zeros((1, 2), np.int64), np.cumsum(drawn, axis=0)])) / whole
+            k = np.arange(first[b], last[b])
+            out["b"].append(np.full(len(k), b))
+            out["x"].append(k)
+            out["tpr"].append(np.interp(places[k], rates[:, 1], rates[:, 0]))
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}).astype({"b": "int32", "x": "int32"})
+
+    points = table.groupBy("leaf").applyInPandas(curves, schema)
+    redrawn = F.when(F.col("b") < replicates, F.col("tpr"))
+    q = lambda p: F.round(F.percentile(redrawn, p), 9)
+    real = F.round(F.max(F.when(F.col("b") == replicates, F.col("tpr"))), 9)
+    out = points.groupBy("x").agg(real.alias("tpr"), q(0.025).alias("lo"), q(0.5).alias("mid"), q(0.975).alias("hi"))
+    return out.withColumn("x", F.round(F.col("x") / (grid - 1), 9))

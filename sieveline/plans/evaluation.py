@@ -15,6 +15,7 @@ from sieveline.operators import stats as S
 from sieveline.operators import vectors as V
 from sieveline.plans.partitioning import auc_sql
 from sieveline.plans.tables import CLASSES, ENTROPY, MARGIN, POSTERIORS, SCORED, posteriors, scored, sql_softmax, table, values
+from sieveline.sources.scratch import materialise
 
 D = 64
 
@@ -84,6 +85,13 @@ def subgroup_table(spark, sf):
     return c.join(M.auc(strata, F.col("s"), F.col("y"), ["stratum"]), "stratum")
 
 
+def subgroup_rows(spark, sf):
+    """Each abnormal stratum and the normals, at the threshold of 90 % specificity's sensitivity."""
+    rows = materialise(scored(spark, sf), "scored")
+    threshold = M.sensitivity_at(M.roc_points(rows, F.col("s"), F.col("y"))).head()["thr"]
+    return M.subgroups(rows, F.col("s"), F.col("y"), F.col("label"), threshold)
+
+
 def coverage_risk(spark, sf):
     p = posteriors(spark, sf)
     wrong = F.col("pred") != F.col("y5")
@@ -132,6 +140,16 @@ def wilcoxon_test(spark, sf):
     return S.wilcoxon(_runs(spark, sf), unit="seed", arm="method", value="auc", reference="NO")
 
 
+def significance(spark, sf):
+    """Five facts of each run, the method NO against the others."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    runs = table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("method"), F.col("l_linenumber").cast("int").alias("seed")).agg(
+        mean("l_discount").alias("auc"), F.stddev_pop("l_discount").alias("sensitivity"), mean("l_quantity").alias("f1"), mean("l_tax").alias("ece"), mean("l_extendedprice").alias("latency")
+    )
+    out = S.significance(runs, unit="seed", arm="method", metrics={"auc": False, "sensitivity": False, "f1": False, "ece": True, "latency": True}, reference="NO")
+    return out.select("metric", "method", "n", "statistic", *[F.round(c, 7).alias(c) for c in ("p_raw", "p_holm", "mean_delta", "cohens_dz")], "significant", "is_strongest")
+
+
 def mean_std_ci(spark, sf):
     out = S.mean_std_ci(_runs(spark, sf), ["method"], ["auc"])
     return _rounded(out, "auc_mean", "auc_std", "auc_ci_lo", "auc_ci_hi", digits=7).drop("auc_str")
@@ -162,8 +180,7 @@ def radar_normalised(spark, sf):
 
 
 def bootstrap_band(spark, sf):
-    p = scored(spark, sf).select(F.round((F.col("s") + 1) / 2, 3).alias("s"), "y")
-    return S.bootstrap_band(p, F.col("s"), F.col("y"), replicates=Evaluation().bootstraps)
+    return S.bootstrap_band(scored(spark, sf), F.col("s"), F.col("y"), replicates=Evaluation().bootstraps)
 
 
 def roc_interp(spark, sf):
@@ -355,7 +372,7 @@ cam_border = _cam(lambda: X.border_mass(F.col("a"), 4, 8))
 QUERIES = {
     name: globals()[name]
     for name in """auc_midrank roc_points sens_at_spec screening_metrics macro_f1 ovr_auc ece reliability_bins merged_bins brier subgroup_table coverage_risk
-    midranks delong_cov delong_test holm wilcoxon_stat wilcoxon_test mean_std_ci aggregate_mean_std strongest_baseline seed_method_pivot radar_normalised bootstrap_band roc_interp
+    midranks delong_cov delong_test holm wilcoxon_stat wilcoxon_test mean_std_ci aggregate_mean_std strongest_baseline subgroup_rows significance seed_method_pivot radar_normalised bootstrap_band roc_interp
     client_centroids nearest_centroid route_vs_ensemble fedavg_weighted_mean payload_bytes traffic overlay_private
     softmax_entropy_margin hitl_gate escalation fusion dp_sigma dp_noise privacy_sweep mmd2 ks_stat drift_inject drift_check ablation_grid
     cam_energy cam_entropy cam_iou cam_border""".split()
@@ -426,6 +443,25 @@ SELECT e.bin::INT AS bin, round(lo, 9) AS bin_lo, round(hi, 9) AS bin_hi, coales
     "subgroup_table": f"""WITH {SCORED}, st AS (SELECT k AS stratum, s, y FROM scored, (SELECT unnest([5, 6, 7]) AS k) WHERE y = 0 OR label = k), {auc_sql('st', 's', 'y', 'a', 'stratum')},
 c AS (SELECT stratum, count(*) FILTER (y = 1 AND s < 0) AS fn, count(*) FILTER (y = 0 AND s >= 0) AS fp, round(avg((s >= 0)::INT) FILTER (y = 1), 9) AS sensitivity, round(avg((s < 0)::INT) FILTER (y = 0), 9) AS specificity FROM st GROUP BY stratum)
 SELECT c.*, a.auc FROM c JOIN a USING (stratum)""",
+    "subgroup_rows": f"""WITH {SCORED}, {_SENS},
+a AS (SELECT p.label::VARCHAR AS stratum, p.s, count(*) FILTER (n.s < p.s) + count(*) FILTER (n.s = p.s) / 2 AS won, count(*) AS normals FROM scored p, scored n WHERE p.y = 1 AND n.y = 0 GROUP BY p.vec_id, p.label, p.s)
+SELECT stratum, count(*) AS total_samples, count(*) FILTER (s < thr) AS false_negatives, 0::BIGINT AS false_positives, round(sum(won) / sum(normals), 9) AS auc, round(avg((s >= thr)::INT), 9) AS sensitivity, NULL::DOUBLE AS specificity FROM a, good GROUP BY stratum
+UNION ALL SELECT 'Normal', count(*), 0, count(*) FILTER (s >= thr), NULL, NULL, round(avg((s < thr)::INT), 9) FROM scored, good WHERE y = 0""",
+    "significance": """WITH runs AS (SELECT l_returnflag || l_linestatus AS method, l_linenumber::INT AS seed, avg(l_discount::DOUBLE) AS auc, stddev_pop(l_discount) AS sensitivity, avg(l_quantity::DOUBLE) AS f1, avg(l_tax::DOUBLE) AS ece, avg(l_extendedprice::DOUBLE) AS latency FROM lineitem GROUP BY ALL),
+u AS (UNPIVOT runs ON auc, sensitivity, f1, ece, latency INTO NAME metric VALUE v),
+d AS (SELECT a.metric, a.method, a.seed, b.v - a.v AS d FROM u a JOIN u b ON a.metric = b.metric AND a.seed = b.seed AND b.method = 'NO' WHERE a.method <> 'NO'),
+k AS (SELECT metric, method, d, rank() OVER w + (count(*) OVER (PARTITION BY metric, method, round(abs(d), 9)) - 1) / 2 AS r FROM d WHERE abs(d) > 1e-12 WINDOW w AS (PARTITION BY metric, method ORDER BY round(abs(d), 9))),
+w AS (SELECT metric, method, list(r) AS ranks, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS statistic FROM k GROUP BY ALL),
+x AS (SELECT metric, method, statistic, ranks, unnest(range((1 << len(ranks))::BIGINT)) AS m FROM w),
+s AS (SELECT metric, method, statistic, list_sum([CASE WHEN (m >> i) & 1 = 1 THEN ranks[i + 1] ELSE 0 END FOR i IN range(len(ranks))]) AS v FROM x),
+p AS (SELECT metric, method, statistic, least(1, 2 * count(*) FILTER (v <= statistic) / count(*)) AS p_exact FROM s GROUP BY metric, method, statistic),
+f AS (SELECT metric, method, count(*) AS n, avg(d) AS mean_delta, avg(d) / (coalesce(stddev_samp(d), 0) + 1e-12) AS dz FROM d GROUP BY ALL),
+j AS (SELECT f.*, coalesce(statistic, 0) AS statistic, CASE WHEN n < 3 OR statistic IS NULL THEN 1.0 ELSE p_exact END::DOUBLE AS p_raw FROM f LEFT JOIN p USING (metric, method)),
+h AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p_raw, method) - 1 AS i, count(*) OVER (PARTITION BY metric) AS c FROM j),
+hh AS (SELECT *, least(1.0, max((c - i) * p_raw) OVER (PARTITION BY metric ORDER BY p_raw, method ROWS UNBOUNDED PRECEDING)) AS p_holm FROM h),
+m AS (SELECT metric, method, avg(CASE WHEN metric IN ('ece', 'latency') THEN -v ELSE v END) AS v FROM u WHERE method <> 'NO' GROUP BY metric, method),
+b AS (SELECT metric, first(method ORDER BY v DESC, method) AS best FROM m GROUP BY metric)
+SELECT hh.metric, method, n, statistic, round(p_raw, 7) AS p_raw, round(p_holm, 7) AS p_holm, round(mean_delta, 7) AS mean_delta, round(dz, 7) AS cohens_dz, p_holm < 0.05 AS significant, method = best AS is_strongest FROM hh JOIN b USING (metric)""",
     "coverage_risk": f"""WITH {POSTERIORS}, r AS (SELECT row_number() OVER (ORDER BY round({_ENT} / ln(5) + 1 - ({_MAR}), 9), vec_id) AS r, count(*) OVER () AS n, (pred <> y5)::INT AS wrong, CASE WHEN y5 <= 1 THEN (pred > 1)::INT END AS missed FROM post)
 SELECT coverage, count(*) AS k, round(avg(wrong), 9) AS selective_error, round(coalesce(sum(missed), 0) / greatest(count(missed), 1), 9) AS selective_fn_rate FROM r, {_LEVELS} WHERE r <= greatest(10, floor(coverage * n)) GROUP BY coverage""",
     "midranks": f"WITH {SCORED}, q AS (SELECT vec_id, round(s, 2) AS v FROM scored) SELECT vec_id, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS midrank FROM q",

@@ -56,8 +56,8 @@ def _grid() -> list[tuple]:
     return [(a, s, k, row) for a in ALPHAS for s in range(SWEEP_SEEDS) for k, row in enumerate(cuts(a, s))]
 
 
-def _sweep(spark, sf) -> DataFrame:
-    """(alpha, seed, auc_paired, auc_pooled, leak) of every cell of the sweep, in one plan.
+def _cells(spark, sf) -> DataFrame:
+    """(alpha, seed, y, times, paired, pooled): test rows of every cell of the sweep by their clients, in one plan.
 
     A row's client depends on its place in its class alone, and the scores on
     the counts of each client: class sizes are all that is read of the rows.
@@ -74,8 +74,13 @@ def _sweep(spark, sf) -> DataFrame:
     paired = train.groupBy("alpha", "seed", "client").agg(rate.alias("paired"))
     pooled = train.groupBy("alpha", "seed").agg(rate.alias("pooled"))
     rows = cells.where("split = 'test'").join(paired, ["alpha", "seed", "client"], "left").join(pooled, ["alpha", "seed"])
+    return materialise(rows, "sweep")
+
+
+def _sweep(spark, sf) -> DataFrame:
+    """(alpha, seed, auc_paired, auc_pooled, leak) of every cell of the sweep."""
+    rows = _cells(spark, sf)
     of = lambda score, name: M.auc(rows, score, F.col("y"), ["alpha", "seed"], F.col("times")).withColumnRenamed("auc", name)
-    rows = materialise(rows, "sweep")
     both = of(F.coalesce("paired", "pooled"), "auc_paired").join(of(F.col("pooled"), "auc_pooled"), ["alpha", "seed"])
     return both.withColumn("leak", F.round(F.col("auc_paired") - F.col("auc_pooled"), 9))
 
@@ -201,7 +206,49 @@ test AS (SELECT a.alpha, a.seed, a.y, coalesce(paired, pooled) AS paired, pooled
 sweep AS (SELECT alpha, seed, ap.auc AS auc_paired, ao.auc AS auc_pooled, round(ap.auc - ao.auc, 9) AS leak FROM ap JOIN ao USING (alpha, seed))"""
 _RUNS = "runs AS (SELECT l_returnflag || l_linestatus AS method, l_linenumber AS seed, avg(l_discount) AS paired, avg(l_tax) AS pooled FROM lineitem GROUP BY ALL)"
 _RANK = "rank() OVER (ORDER BY {c}{d}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
-QUERIES = {f.__name__: f for f in (leak_audit, stratified_split, dirichlet_assign, paired_partition, iid_even_split, client_profile, shard_tiling_check, stratified_sample, class_balanced_weights, client_repair, prior_only_auc_paired, prior_only_auc_pooled, alpha_sweep, leak_ttest, leak_ttest_p, leak_log_fit, protocol_rank_shift, spearman)}
+
+
+def interleaved_shards(spark, sf) -> DataFrame:
+    """Shards by draws that alternate with shuffles, of labels and evenly."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label")
+    by_label = P.interleaved_partition(rows, "label", 5, 0.5, id_col="vec_id", seed=SEED)
+    even = P.interleaved_partition(rows, "label", 5, float("inf"), id_col="vec_id", seed=SEED)
+    return by_label.join(even.select("vec_id", F.col("client").alias("even_client")), "vec_id")
+
+
+def interleaved_pairs(spark, sf) -> DataFrame:
+    """Train and test shards by the same shares, drawn in one stream, with the share of each row's class and client."""
+    rows = _split(spark, sf).select("vec_id", "label", "split")
+    train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
+    a, b, p = P.interleaved_pair(train, test, "label", 5, 0.5, id_col="vec_id", seed=SEED)
+    shares = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in p])
+    own = F.get(F.get(shares, F.when(F.col("label") >= 0, F.col("label").cast("int"))), F.col("client"))
+    return a.unionByName(b).withColumn("share", F.round(own, 9))
+
+
+def protocol_comparison(spark, sf) -> DataFrame:
+    """AUC and sensitivity at 90 % specificity of each cell of the sweep under both protocols, and the inflation of the AUC."""
+    keys = ["alpha", "seed"]
+    rows = _cells(spark, sf)
+    out = None
+    for protocol in ("paired", "pooled"):
+        score = F.coalesce(protocol, "pooled")
+        one = M.auc(rows, score, F.col("y"), keys, F.col("times")).withColumnRenamed("auc", f"auc_{protocol}")
+        sens = M.sensitivity_at(M.roc_points(rows, score, F.col("y"), keys, F.col("times")), 0.9, keys)
+        one = one.join(sens.select(*keys, F.round("sensitivity", 9).alias(f"sens_{protocol}")), keys)
+        out = one if out is None else out.join(one, keys)
+    return out.withColumn("inflation", F.round(F.col("auc_paired") - F.col("auc_pooled"), 9))
+
+
+def _sens_sql(score: str, name: str) -> str:
+    k = "alpha, seed"
+    return f"""{name}_t AS (SELECT {k}, {score} AS sc, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM test GROUP BY ALL),
+{name}_r AS (SELECT {k}, sum(pos) OVER (PARTITION BY {k} ORDER BY sc DESC) AS tp, sum(neg) OVER (PARTITION BY {k} ORDER BY sc DESC) AS fp, sum(pos) OVER (PARTITION BY {k}) AS m, sum(neg) OVER (PARTITION BY {k}) AS n,
+  pos, neg, lead(pos) OVER (PARTITION BY {k} ORDER BY sc DESC) AS pos1, lead(neg) OVER (PARTITION BY {k} ORDER BY sc DESC) AS neg1 FROM {name}_t),
+{name} AS (SELECT {k}, round(coalesce(max(tp / m) FILTER (1 - fp / n >= 0.9 AND (pos1 IS NULL OR pos1 <> pos OR neg1 <> neg)), 0), 9) AS sens FROM {name}_r WHERE m > 0 AND n > 0 GROUP BY ALL)"""
+
+
+QUERIES = {f.__name__: f for f in (leak_audit, stratified_split, dirichlet_assign, paired_partition, iid_even_split, client_profile, shard_tiling_check, stratified_sample, class_balanced_weights, client_repair, prior_only_auc_paired, prior_only_auc_pooled, alpha_sweep, leak_ttest, leak_ttest_p, leak_log_fit, protocol_rank_shift, spearman, interleaved_shards, interleaved_pairs, protocol_comparison)}
 ORACLES = {
     "leak_audit": f"WITH {_leak_sql()} SELECT ap.auc AS auc_paired, ao.auc AS auc_pooled FROM ap, ao",
     "stratified_split": f"""WITH {SCORED}, r AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM scored),
@@ -222,6 +269,8 @@ SELECT (CASE WHEN r < m * (q + 1) THEN r // (q + 1) ELSE m + (r - m * (q + 1)) /
     "leak_ttest": f"WITH {SWEEP}, g AS (SELECT alpha, count(leak) AS n, avg(leak) AS mean, stddev_samp(leak) AS sd FROM sweep GROUP BY alpha) SELECT alpha, n, round(mean, 7) AS mean, round(sd, 7) AS sd, round(CASE WHEN n > 2 AND sd > 0 THEN mean / (sd / sqrt(n)) END, 7) AS t FROM g",
     "leak_log_fit": f"""WITH {SWEEP}, f AS (SELECT ln(alpha) AS x, leak AS y FROM sweep WHERE alpha < 'inf'::DOUBLE), g AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(y, x) AS r, count(*) AS n FROM f)
 SELECT n, round(slope, 7) AS slope, round(intercept, 7) AS intercept, round(r, 7) AS r, round(abs(slope) * sqrt((1 / (r * r) - 1) / (n - 2)), 7) AS stderr FROM g""",
+    "protocol_comparison": f"""WITH {SWEEP}, {_sens_sql('paired', 'at_paired')}, {_sens_sql('pooled', 'at_pooled')}
+SELECT sweep.alpha, sweep.seed, auc_paired, auc_pooled, leak AS inflation, at_paired.sens AS sens_paired, at_pooled.sens AS sens_pooled FROM sweep JOIN at_paired USING (alpha, seed) JOIN at_pooled USING (alpha, seed)""",
     "protocol_rank_shift": f"""WITH {_RUNS}, m AS (SELECT method, round(avg(paired), 9) AS paired, round(avg(pooled), 9) AS pooled FROM runs GROUP BY method),
 k AS (SELECT method, {_RANK.format(c='paired', d=' DESC')} AS rank_before, {_RANK.format(c='pooled', d=' DESC')} AS rank_after FROM m) SELECT *, rank_before - rank_after AS shift FROM k""",
     "spearman": f"WITH {SCORED}, k AS (SELECT {_RANK.format(c='s', d='')} AS a, {_RANK.format(c='s2', d='')} AS b FROM scored) SELECT round(corr(a, b), 9) AS rho, count(*) AS n FROM k",
