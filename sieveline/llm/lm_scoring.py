@@ -4,8 +4,8 @@ The network tells the group of the next id and its slot in the group from the
 ids before it; ids that share a slot are told by their counts in the training
 texts.  Groups hold ids with like neighbours.  Groups, slots and what usually
 follows an id or a group, which the network starts from, come from counts over
-all training texts.  Tasks fit the network on their own share
-of windows; their parameters are averaged between rounds.  Texts are scored in overlapping windows, each id once, with
+all training texts.  Tasks fit the network on all windows of their blocks, a part
+at a time; their parameters are averaged between parts.  Texts are scored in overlapping windows, each id once, with
 a third of a window or more before it.
 
 Documents stay in blocks that hold their words as codes: a block asks for the
@@ -156,6 +156,7 @@ def windows(ids: np.ndarray, sizes: np.ndarray, begin: int, pad: int, end: int)
 
 DISTANCE = BEFORE + np.arange(TOLD)[:, None] - np.arange(SPAN)
 CAUSAL = np.where(DISTANCE < 0, F32(-1e4), F32(0))
+ONE_OF = np.eye(CLASSES + 2, dtype=F32)
 SHAPES = {
     "emb": (CLASSES + 2, WIDTH), "near": (2 * SKETCH, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH),
     "far": (SPAN,), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "w3": (GROUPS, HIDDEN, SLOTS),
@@ -236,15 +237,13 @@ class Vocabulary:
             told = np.log(slots / np.maximum(slots.sum(2, keepdims=True), 1e-9))
             self.next_slot = np.ascontiguousarray(np.maximum(told, -1e4).transpose(1, 0, 2)).astype(F32)  # by group, then by the group before
 
-    def slotted(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each group among the targets: its number, the places of its targets and their slots."""
+    def slotted(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the targets that have a slot, group by group, where each group begins among them, and their slots."""
         goal = np.where(target >= 0, self.goal[target], np.int16(GROUPS))
         order = np.argsort(goal, kind="stable")
         ends = np.searchsorted(goal[order], np.arange(GROUPS + 1))
-        for one in range(GROUPS):
-            if ends[one] < ends[one + 1]:
-                some = order[ends[one] : ends[one + 1]]
-                yield one, some, self.slot[target[some]]
+        order = order[: ends[-1]]
+        return order, ends, self.slot[target[order]]
 
 
 def groups(x: np.ndarray, weight: np.ndarray, rounds: int = 20) -> np.ndarray:
@@ -272,7 +271,7 @@ class Network:
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Summed loss over the targets, and the gradient of its mean."""
-        p, cls, near = self.p, self.of.cls[inputs], self.of.near[inputs]
+        p, cls, near = self.p, self.of.cls.take(inputs), self.of.near.take(inputs, 0)
         scale = F32(WIDTH**-0.5)
         x = p["emb"][cls] + near @ p["near"]
         x2 = x[:, BEFORE:]
@@ -282,31 +281,34 @@ class Network:
         h = x2 @ p["r"] + o
         z = h @ p["w1"] + p["b1"]
         g = np.maximum(z, 0)
-        y = g @ p["w2"] + self.of.next_group[inputs[:, BEFORE:]]
-        y = np.exp(y - y.max(-1, keepdims=True))
-        y /= y.sum(-1, keepdims=True)
+        two = lambda m: m.reshape(-1, m.shape[-1])
+        flat_g, target, last = two(g), target.reshape(-1), inputs[:, BEFORE:].reshape(-1)
+        row = np.arange(len(target))
+        dy = shares(flat_g @ p["w2"] + self.of.next_group.take(last, 0))
         live = target >= 0
         goal = self.of.goal[target]
         n = max(int(live.sum()), 1)
-        told = np.take_along_axis(y, goal[..., None].astype(np.int64), -1)[..., 0]
-        loss = -np.log(np.maximum(told[live], 1e-30)).sum(dtype=float)
-        np.put_along_axis(y, goal[..., None].astype(np.int64), told[..., None] - 1, -1)
-        dy = y * (live / F32(n))[..., None].astype(F32)
-        two = lambda m: m.reshape(-1, m.shape[-1])
-        d = {"w2": two(g).T @ two(dy), "w3": np.zeros_like(p["w3"])}
-        last = cls[:, BEFORE:].reshape(-1)
-        dg = dy @ p["w2"].T
-        flat_g, flat_dg = two(g), two(dg)
-        for one, some, slot in self.of.slotted(target.reshape(-1)):
-            y = flat_g[some] @ p["w3"][one] + self.of.next_slot[one][last[some]]
-            y = np.exp(y - y.max(-1, keepdims=True))
-            y /= y.sum(-1, keepdims=True)
-            row = np.arange(len(some))
-            loss -= np.log(np.maximum(y[row, slot], 1e-30)).sum(dtype=float)
-            y[row, slot] -= 1
-            y *= F32(1 / n)
-            d["w3"][one] = flat_g[some].T @ y
-            flat_dg[some] += y @ p["w3"][one].T
+        loss = -np.log(np.maximum(dy[row, goal][live], 1e-30)).sum(dtype=float)
+        dy[row, goal] -= 1
+        dy *= (live / F32(n))[:, None].astype(F32)
+        d = {"w2": flat_g.T @ dy, "w3": np.zeros_like(p["w3"])}
+        flat_dg = dy @ p["w2"].T
+        order, ends, slot = self.of.slotted(target)
+        sorted_g, bias = flat_g.take(order, 0), self.of.next_slot.reshape(-1, SLOTS)
+        y = bias.take(goal[order] * np.int64(CLASSES + 2) + self.of.cls[last[order]], 0)
+        parts = [(one, slice(*ends[one : one + 2])) for one in np.flatnonzero(np.diff(ends))]
+        for one, some in parts:
+            y[some] += sorted_g[some] @ p["w3"][one]
+        y, row = shares(y), row[: len(order)]
+        loss -= np.log(np.maximum(y[row, slot], 1e-30)).sum(dtype=float)
+        y[row, slot] -= 1
+        y *= F32(1 / n)
+        sorted_dg = np.empty_like(sorted_g)
+        for one, some in parts:
+            d["w3"][one] = sorted_g[some].T @ y[some]
+            sorted_dg[some] = y[some] @ p["w3"][one].T
+        flat_dg[order] += sorted_dg
+        dg = flat_dg.reshape(g.shape)
         dz = dg * (z > 0)
         d |= {"w1": two(h).T @ two(dz), "b1": two(dz).sum(0)}
         dh = dz @ p["w1"].T
@@ -320,8 +322,7 @@ class Network:
         dx = dk @ p["k"].T + dv @ p["v"].T
         dx[:, BEFORE:] += dq @ p["q"].T + dh @ p["r"].T
         d["near"] = two(near).T @ two(dx)
-        which = (cls.reshape(-1)[:, None] == np.arange(CLASSES + 2)).astype(F32)
-        d["emb"] = which.T @ two(dx)
+        d["emb"] = ONE_OF.take(cls.reshape(-1), 0).T @ two(dx)
         return loss, d
 
     def attend(self, q: np.ndarray, k: np.ndarray, inputs: np.ndarray) -> np.ndarray:
@@ -333,14 +334,14 @@ class Network:
         s /= s.sum(-1, keepdims=True)
         return s
 
-    def fit(self, inputs: np.ndarray, target: np.ndarray, *, batch: int, rate: float) -> None:
-        """A pass of Adam over the windows; the rate falls to a tenth."""
+    def fit(self, seq: np.ndarray, goal: np.ndarray, start: np.ndarray, *, batch: int, rate: float) -> None:
+        """A pass of Adam over the windows that begin at ``start``; the rate falls to a tenth."""
         first = {k: np.zeros_like(x) for k, x in self.p.items()}
         second = {k: np.zeros_like(x) for k, x in self.p.items()}
-        steps = -(-len(inputs) // batch)
+        steps = -(-len(start) // batch)
         for t in range(steps):
-            some = slice(t * batch, (t + 1) * batch)
-            _, d = self.gradient(inputs[some], target[some])
+            where = start[t * batch : (t + 1) * batch, None] + np.arange(SPAN)
+            _, d = self.gradient(seq.take(where), goal.take(where[:, BEFORE:]))
             step = rate * (1 - 0.9 * t / steps)
             for k, g in d.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -391,7 +392,10 @@ class Network:
             hidden.append(g)
         live, g = targets >= 0, np.concatenate(hidden)
         total = np.where(live, np.concatenate(log) + self.of.within[targets], 0.0)
-        for one, some, slot in self.of.slotted(targets):
+        order, ends, slots = self.of.slotted(targets)
+        for one in np.flatnonzero(np.diff(ends)):
+            part = slice(*ends[one : one + 2])
+            some, slot = order[part], slots[part]
             y = g[some] @ p["w3"][one]
             y += self.of.next_slot[one].take(before[some], 0)
             total[some] += log_share(y, slot)
@@ -410,6 +414,17 @@ def log_share(y: np.ndarray, which: np.ndarray) -> np.ndarray:
     return told - np.log(y @ np.ones(y.shape[1], F32))
 
 
+def shares(y: np.ndarray) -> np.ndarray:
+    """The softmax of the rows of ``y``."""
+    e = np.exp(y)
+    total = e @ np.ones(y.shape[1], F32)
+    if len(y) and not 1e-30 < total.min() <= total.max() < 1e30:  # beyond what sums of exponentials hold
+        e = np.exp(y - y.max(-1, keepdims=True))
+        total = e.sum(-1)
+    e /= total[:, None]
+    return e
+
+
 def directions(n: int, seed: int = 7) -> np.ndarray:
     """A random direction for each id, begin and end, as a neighbour before and as one behind."""
     return np.random.default_rng(seed).normal(0, 1, (n + 1, 2 * SKETCH)).astype(F32)
@@ -468,12 +483,13 @@ def vocabulary(blocks: DataFrame, size: int, texts: int) -> Vocabulary:
     return words
 
 
-def fitted(blocks: DataFrame, words: Vocabulary, *, rounds: int, share: int, batch: int, rate: float) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` rounds, each on one in ``share`` of all training windows, averaged by their number."""
+def fitted(blocks: DataFrame, words: Vocabulary, *, rounds: int, share: int, batch: int, rate: float) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters, and the number of windows learned from, after ``rounds`` passes over all training windows.  A pass deals them
+    to ``share`` parts; after each part the tasks' parameters are averaged by their windows' number."""
     spark = blocks.sparkSession
     known = spark.sparkContext.broadcast(words)
-    p = first_parameters()
-    for n in range(rounds):
+    p, learned = first_parameters(), 0
+    for n in range(rounds * share):
         start = flat(p)
 
         def run(batches: Iterator[pa.RecordBatch], n: int = n, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
@@ -486,10 +502,9 @@ def fitted(blocks: DataFrame, words: Vocabulary, *, rounds: int, share: int, bat
                         continue
                     seq, at, goal, _ = windows(block.ids, block.sizes, of.begin, of.pad, of.end)
                     pick = np.random.default_rng([row["block"], 5]).permutation(len(at))
-                    pick = pick[n * len(at) // share : (n + 1) * len(at) // share]
-                    where = at[pick, None] + np.arange(SPAN)
+                    pick = pick[n % share * len(at) // share : (n % share + 1) * len(at) // share]
                     if len(pick):
-                        network.fit(seq[where], goal[where[:, BEFORE:]], batch=batch, rate=rate / (n + 1))
+                        network.fit(seq, goal, at[pick], batch=batch, rate=rate / (n + 1))
                         weight += len(pick)
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([(weight * flat(network.p).astype(float)).tobytes()], pa.binary())], names=["weight", "p"])
@@ -497,8 +512,9 @@ def fitted(blocks: DataFrame, words: Vocabulary, *, rounds: int, share: int, bat
         made = blocks.select("block", "train", "sizes", "codes", "lengths", "pieces").mapInArrow(run, "weight double, p binary")
         found = made.repartition(WAYS).mapInArrow(summed, "weight double, p binary").collect()  # a row for each way at most
         if found:
-            p = shaped(sum(np.frombuffer(r["p"]) for r in found) / sum(r["weight"] for r in found))
-    return p
+            weight = sum(r["weight"] for r in found)
+            p, learned = shaped(sum(np.frombuffer(r["p"]) for r in found) / weight), learned + int(weight)
+    return p, learned
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,9 +531,9 @@ def lm_scores(
     is_training: Column,
     *,
     tokenizer: str = "word_bpe_49k.json",
-    rounds: int = 2,
-    share: int = 64,
-    batch: int = 128,
+    rounds: int = 1,
+    share: int = 2,
+    batch: int = 256,
     rate: float = 0.03,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -531,8 +547,7 @@ def lm_scores(
     the words, in order, and the end.
 
     Rows where ``is_training`` is true train the model; counts and classes cover
-    all of them, the network's fit ``rounds`` times one in ``share`` of all
-    windows.  Null texts count as empty, of which the end is told.  Rows that
+    all of them, the network's fit every window ``rounds`` times.  Null texts count as empty, of which the end is told.  Rows that
     repeat an id are scored each; null ids are returned as they are.  Without
     training rows all counts are 0 and the network is as it begins.  Other
     columns are ignored; an empty table gives an empty result.
@@ -547,7 +562,7 @@ def lm_scores(
     total, distinct = (total or 0) + texts, distinct + (texts > 0)
 
     words = vocabulary(blocks, word_ids(tokenizer).tokenizer.get_vocab_size(), texts)
-    shared = spark.sparkContext.broadcast((words, fitted(blocks, words, rounds=rounds, share=share, batch=batch, rate=rate)))
+    shared = spark.sparkContext.broadcast((words, fitted(blocks, words, rounds=rounds, share=share, batch=batch, rate=rate)[0]))
 
     asked = blocks.select("block", F.posexplode("words").alias("place", "asked"))
     told = asked.join(counts, F.col("asked") == F.col("word")).groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("c").alias("found"))

@@ -114,6 +114,18 @@ def test_gradient_equals_differences():
         assert (up - down) / (2 * step * n) == pytest.approx(along @ way, rel=0.02)
 
 
+@pytest.mark.parametrize("rounds, share", [(1, 3), (2, 2)])
+def test_every_training_window_is_learned(spark, rounds, share):
+    texts = [*ODD, *[prose(k, 3 * k) for k in range(40)]]
+    docs = spark.createDataFrame([(k, t or "", k % 7 != 2) for k, t in enumerate(texts)], "id long, text string, train boolean").repartition(3)
+    blocks = L.blocks_of(docs, "word_bpe_49k.json")
+    known = word_ids("word_bpe_49k.json")
+    words = L.vocabulary(blocks, known.tokenizer.get_vocab_size(), sum(k % 7 != 2 for k in range(len(texts))))
+    _, learned = L.fitted(blocks, words, rounds=rounds, share=share, batch=64, rate=0.03)
+    windows_of = [sum(len(L.Block(r.asDict(), np.array(r.train)).sizes) and L.Block(r.asDict(), np.array(r.train)).sizes // TOLD + 1) for r in blocks.collect() if any(r.train)]
+    assert learned == rounds * sum(windows_of)
+
+
 def test_base_and_model(spark):
     r = random.Random(4)
     texts = [*ODD, *[prose(k, r.randrange(1, 90)) for k in range(150)]]
