@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions.batches import BATCH_BYTES, small_batches  # noqa: F401
 from sieveline.sources.scratch import clear_scratch, drop_path, materialise, rekeyed, scratch_path, scratch_root  # noqa: F401
 
 #: The six ASCII white-space characters 0x20 and 0x09-0x0D as a Java class.
@@ -39,19 +40,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Bytes of rows that are handed to a Python worker at once, and of text that a worker handles at once.
-BATCH_BYTES = 4_000_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python workers at most ``BATCH_BYTES`` of rows at a time.
-
-    Texts are long: the session's usual 64 MB a batch are held several times
-    over, by the executor and by each of its workers.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def chunks(texts: list[str], most_rows: int, most_chars: int = BATCH_BYTES // 8) -> Iterator[slice]:
     """Consecutive slices of ``texts`` of at most ``most_rows`` texts and about
     ``most_chars`` characters; a longer text is a slice of its own."""

@@ -1,7 +1,7 @@
 """Decoded pictures as rows: codes, crops free of overlays, and views for encoders.
 
-Pictures reach Python in Arrow batches, whose bytes Spark bounds, and leave one
-by one, so a task holds one batch and one result.
+Pictures reach Python in Arrow batches of ``BATCH_BYTES`` and leave one by one,
+so a task holds one small batch and one result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import images as I
+from sieveline.functions.batches import small_batches
 from sieveline.functions.rng import hash_key
 from sieveline.sources.scratch import materialise
 
@@ -47,6 +48,7 @@ def picture_codes(pictures: DataFrame) -> DataFrame:
             codes = [0 if i is None else I.perceptual_code(i @ weight) for i in images]
             yield pd.DataFrame({"path": frame["path"], "code": codes, "decodable": frame["decodable"]})
 
+    small_batches(pictures.sparkSession)
     return pictures.mapInPandas(run, "path string, code long, decodable boolean")
 
 
@@ -91,6 +93,7 @@ def processed(
                 yield pd.DataFrame([one(row)], columns=names)
 
     kinds = ["string", "boolean", "int", "int", "double", "double", "boolean", "boolean", "binary"]
+    small_batches(pictures.sparkSession)
     return joined.mapInPandas(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
@@ -148,6 +151,7 @@ def pixel_sums(pictures: DataFrame, ways: int = 16) -> DataFrame:
                     held, size = {}, 0
         yield from _rows(iter(held.items()))
 
+    small_batches(pictures.sparkSession)
     taken = pictures.select("width", "height", "channels", "data", "decodable").mapInArrow(own, SUMS)
     keys = ["width", "height", "band"]
     once = taken.withColumn("way", F.pmod(F.monotonically_increasing_id(), F.lit(ways))).repartition(*keys, "way").drop("way")
@@ -221,4 +225,5 @@ def view_rows(pictures: DataFrame, *, number: int, train: bool, seed: int, size:
                     planes = I.normalised_planes(I.view(image, int(key), k, train=train, seed=seed))
                     yield pd.DataFrame({id_col: [key], "view": [k], "planes": [planes.reshape(-1)]})
 
+    small_batches(pictures.sparkSession)
     return rows.mapInPandas(run, f"`{id_col}` {id_type}, view int, planes array<float>")

@@ -107,3 +107,22 @@ def test_stored_arrays_and_states(spark, tmp_path):
     grid = readers.run_grid(spark, {"method": ["m", "n"], "seed": [1, 2]})
     missing = readers.missing_runs(grid, readers.read_states(spark, path), ["method", "seed"])
     assert {(r.method, r.seed) for r in missing.collect()} == {("n", 1), ("n", 2)}
+
+
+def batch_bytes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+
+def test_pictures_reach_workers_in_small_batches(spark):
+    from sieveline.functions.batches import BATCH_BYTES
+
+    shown = spark.range(0, 300, 1, 1).selectExpr("id AS row_id", "cast(id AS string) AS path", "100 AS width", "100 AS height", "3 AS channels", "cast(repeat('a', 30000) AS binary) AS data", "true AS decodable")
+    boxes = spark.createDataFrame([], "width int, height int, x int, y int, w int, h int")
+    for made in (P.picture_codes, P.pixel_sums, lambda f: P.processed(f, boxes), lambda f: P.view_rows(f, number=1, train=False, seed=1)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        made(shown)
+        sizes = [r.n for r in shown.mapInArrow(batch_bytes, "n long").collect()]
+        assert len(sizes) > 1 and max(sizes) < 2 * BATCH_BYTES
