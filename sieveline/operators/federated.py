@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.arrays import doubles
+from sieveline.functions.batches import small_batches
 from sieveline.operators import metrics
 from sieveline.sources.scratch import materialise
 
@@ -31,6 +32,8 @@ Key = tuple[str, int]  # method and client; -1 for a method's only model
 POOLED = -1
 #: Ways in which sums meet on the driver, and bytes of states that are broadcast at once.
 WAYS, STATES_AT_ONCE = 4, 64_000_000
+#: Rows that a task works on at once.
+ROWS_AT_ONCE = 512
 
 
 @dataclass(frozen=True)
@@ -69,17 +72,18 @@ def copied(s: State) -> State:
     return {k: v.copy() for k, v in s.items()}
 
 
-def erf(x: np.ndarray) -> np.ndarray:
-    """By a rational form with fixed coefficients, to 1.5e-7."""
+def erf(x: np.ndarray, bell: np.ndarray | None = None) -> np.ndarray:
+    """By a rational form with fixed coefficients, to 1.5e-7; ``bell`` is exp(-x * x) where it is known."""
     t = 1 / (1 + 0.3275911 * np.abs(x))
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return np.sign(x) * (1 - poly * np.exp(-x * x))
+    return np.sign(x) * (1 - poly * (np.exp(-x * x) if bell is None else bell))
 
 
 def gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The exact form and its derivative."""
-    half = 0.5 * (1 + erf(x / np.sqrt(2)))
-    return x * half, half + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+    bell = np.exp(-x * x / 2)
+    half = 0.5 * (1 + erf(x / np.sqrt(2), bell))
+    return x * half, half + x * bell / np.sqrt(2 * np.pi)
 
 
 def softmax_rows(z: np.ndarray) -> np.ndarray:
@@ -217,6 +221,13 @@ def _binary_rows(held: dict[tuple, np.ndarray], keys: Sequence[str]) -> Iterator
         yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([x.tobytes()], pa.binary())], names=[*keys, "x"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, ``ROWS_AT_ONCE`` at a time: hidden layers are larger than the rows."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
@@ -240,7 +251,7 @@ class Fit:
 
         def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple, np.ndarray] = {}
-            for b in batches:
+            for b in _slices(batches):
                 x, y, code = _matrix(b.column("v")), b.column("y").to_numpy(), np.stack([b.column("client").to_numpy(), b.column("batch").to_numpy()], 1)
                 for key in np.unique(code, axis=0):
                     some = (code == key).all(1)
@@ -276,7 +287,7 @@ class Fit:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple, np.ndarray] = {}
-            for b in batches:
+            for b in _slices(batches):
                 x, y, own = _matrix(b.column("v")), b.column("y").to_numpy(), b.column("client").to_numpy()
                 mask = keep_mask(b.column("h").to_numpy(), cfg.hidden, step, cfg.dropout) if cfg.dropout else np.ones((len(x), cfg.hidden))
                 for number, (c, s, mu, var, weight) in enumerate(known.value):
@@ -423,7 +434,7 @@ def head_aucs(rows: DataFrame, heads: dict[Key, State], abnormal: Sequence[int])
         known = rows.sparkSession.sparkContext.broadcast([(number[k], s) for k, s in chunk])
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 x, y = _matrix(b.column("v")), b.column("y")
                 for n, s in known.value if len(y) else []:
                     score = np.round(softmax_rows(head_logits(s, x))[:, list(abnormal)].sum(1), 9)
@@ -436,13 +447,14 @@ def head_aucs(rows: DataFrame, heads: dict[Key, State], abnormal: Sequence[int])
 
 def _scored(df: DataFrame, vector: str, heads: dict[int, State], fold: Callable, extra: str) -> DataFrame:
     """``df`` with ``__p``, worked out in Arrow batches chunk by chunk of the heads; ``fold(p, state, x, some)``."""
+    small_batches(df.sparkSession)
     out = df.withColumn("__v", doubles(F.col(f"`{vector}`"))).withColumn("__p", F.lit(None).cast("array<double>"))
     schema = out.schema
     for chunk in _chunks(heads):
         known = df.sparkSession.sparkContext.broadcast(chunk)
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 p = [None if x is None else np.array(x) for x in b.column("__p").to_pylist()]
                 valid = [n for n, v in enumerate(b.column("__v").to_pylist()) if v is not None]
                 x = _matrix(b.column("__v").take(pa.array(valid, pa.int64())))

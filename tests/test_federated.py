@@ -213,3 +213,11 @@ def test_fixed_forms():
     mask = FED.keep_mask(np.arange(4000), 8, 3, 0.3)
     assert abs((mask > 0).mean() - 0.7) < 0.02 and set(np.unique(mask)) == {0, 1 / 0.7}
     assert (FED.keep_mask(np.array([7, 5]), 8, 3, 0.3)[1] == FED.keep_mask(np.array([5]), 8, 3, 0.3)[0]).all()
+
+
+def test_rows_are_worked_on_a_few_at_a_time():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + n), pa.int64())], names=["x"]) for k, n in ((0, 1300), (1300, 0), (1300, 512), (1812, 7))]
+    parts = list(FED._slices(iter(batches)))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1819)) and max(map(len, parts)) == FED.ROWS_AT_ONCE
