@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of rows that are handed to a Python worker at once, and of text that a worker handles at once.
@@ -15,3 +18,24 @@ def small_batches(spark: SparkSession) -> None:
     times over, by the executor and by each of its workers.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def grouped(rows: Iterable[tuple], names: Sequence[str], kinds: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches, each handed out when its bytes pass an eighth of ``BATCH_BYTES``."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(zip(*held), kinds)], names=list(names))
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) if isinstance(v, (bytes, str)) else 8 for v in row)
+        if size > BATCH_BYTES // 8:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()

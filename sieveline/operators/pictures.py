@@ -1,24 +1,28 @@
 """Decoded pictures as rows: codes, crops free of overlays, and views for encoders.
 
-Pictures reach Python in Arrow batches of ``BATCH_BYTES`` and leave one by one,
-so a task holds one small batch and one result.
+Pictures reach Python in Arrow batches of ``BATCH_BYTES``; crops are decoded one by
+one and leave in batches of an eighth of that, so a task holds two small batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import images as I
-from sieveline.functions.batches import small_batches
+from sieveline.functions.batches import grouped, small_batches
 from sieveline.functions.rng import hash_key
 from sieveline.sources.scratch import materialise
 
+if TYPE_CHECKING:
+    import pandas as pd  # workers that don't need it stay without
+
 #: Boxes beyond this number are joined instead of broadcast.
 MOST_BOXES = 10_000
 
@@ -31,6 +35,13 @@ def _decoded(row) -> np.ndarray | None:
     return np.repeat(image, 3, axis=2) if row.channels == 1 else image[..., :3]
 
 
+def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[SimpleNamespace]:
+    """The rows, one picture at a time."""
+    for batch in batches:
+        for n in range(len(batch)):
+            yield SimpleNamespace(**{c: batch.column(c)[n].as_py() for c in batch.schema.names})
+
+
 def _resized(image: np.ndarray, size: int) -> np.ndarray:
     if image.shape[:2] == (size, size):
         return image
@@ -42,6 +53,8 @@ def picture_codes(pictures: DataFrame) -> DataFrame:
     """(path, code, decodable): the perceptual code of a picture's luminance, 0 if it can't be decoded."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         weight = np.array([0.114, 0.587, 0.299])
         for frame in frames:
             images = [_decoded(row) for row in frame.itertuples()]
@@ -78,7 +91,7 @@ def processed(
         image = _decoded(row)
         if image is None:
             return row.path, False, -1, -1, None, None, False, False, None
-        crop = I.apply_box(image, tuple(int(v) for v in (row.x, row.y, row.w, row.h))) if pd.notna(row.x) else None
+        crop = I.apply_box(image, (row.x, row.y, row.w, row.h)) if row.x is not None else None
         boxed = crop is not None and crop.size > 0
         crop = crop if boxed else I.crop_border(image, border)
         after = I.overlay_residual(crop)
@@ -86,15 +99,14 @@ def processed(
         return row.path, boxed, crop.shape[1], crop.shape[0], I.overlay_residual(image), after, after > flag, True, out.tobytes()
 
     names = ["path", "boxed", "cropped_w", "cropped_h", "residual_before", "residual_after", "flagged", "written", "data"]
+    kinds = ["string", "boolean", "int", "int", "double", "double", "boolean", "boolean", "binary"]
+    taken = ["path", "width", "height", "channels", "data", "decodable", *[F.col(c).cast("int").alias(c) for c in "xywh"]]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                yield pd.DataFrame([one(row)], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return grouped((one(row) for row in _pictures(batches)), names, kinds)
 
-    kinds = ["string", "boolean", "int", "int", "double", "double", "boolean", "boolean", "binary"]
     small_batches(pictures.sparkSession)
-    return joined.mapInPandas(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return joined.select(*taken).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
 #: Pixels of a band of rows, whose sums travel together, and bytes of sums that a task holds.
@@ -126,29 +138,28 @@ def pixel_sums(pictures: DataFrame, ways: int = 16) -> DataFrame:
     and then in one, so no task holds a stack of pictures.
     """
 
-    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         size = 0
-        for frame in frames:
-            for row in frame.to_pandas().itertuples():
-                image = _decoded(row)
-                if image is None:
-                    continue
-                gray = I.luminance(image).astype(np.int64)
-                rows = max(1, BAND // gray.shape[1])
-                for band, y in enumerate(range(0, gray.shape[0], rows)):
-                    part = gray[y : y + rows].reshape(-1)
-                    got = held.get((gray.shape[1], gray.shape[0], band))
-                    if got is None:
-                        held[gray.shape[1], gray.shape[0], band] = [1, part, part * part]
-                        size += 2 * part.nbytes
-                    else:
-                        got[0] += 1
-                        got[1] += part
-                        got[2] += part * part
-                if size > HELD:
-                    yield from _rows(iter(held.items()))
-                    held, size = {}, 0
+        for row in _pictures(batches):
+            image = _decoded(row)
+            if image is None:
+                continue
+            gray = I.luminance(image).astype(np.int64)
+            rows = max(1, BAND // gray.shape[1])
+            for band, y in enumerate(range(0, gray.shape[0], rows)):
+                part = gray[y : y + rows].reshape(-1)
+                got = held.get((gray.shape[1], gray.shape[0], band))
+                if got is None:
+                    held[gray.shape[1], gray.shape[0], band] = [1, part, part * part]
+                    size += 2 * part.nbytes
+                else:
+                    got[0] += 1
+                    got[1] += part
+                    got[2] += part * part
+            if size > HELD:
+                yield from _rows(iter(held.items()))
+                held, size = {}, 0
         yield from _rows(iter(held.items()))
 
     small_batches(pictures.sparkSession)
@@ -175,10 +186,12 @@ def overlay_free_boxes(pictures: DataFrame, *, sample: int = 300, least: int = 3
     """
     sized = pictures.where("width > 0 AND height > 0")
     keys = ["width", "height"]
-    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
+    # Sizes and names are read off the pictures once.
+    named = materialise(sized.select(*keys, F.col(f"`{id_col}`").alias("__name")), "frame-names")
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
     enough = counts.where(F.col("frames") >= least)
     # The frames are chosen by name alone; their bytes stay where they are if the names are few.
-    names = sized.select(*keys, F.col(f"`{id_col}`").alias("__name")).join(enough.select(*keys), keys, "left_semi")
+    names = named.join(enough.select(*keys), keys, "left_semi")
     order = Window.partitionBy(*keys).orderBy(hash_key(seed, F.col("__name").cast("string")), "__name")
     names = materialise(names.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("__name").distinct(), "frames")
     few = names.limit(MOST_BOXES + 1).count() <= MOST_BOXES
@@ -191,6 +204,8 @@ def overlay_free_boxes(pictures: DataFrame, *, sample: int = 300, least: int = 3
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("width", "height", "band", "n")), pa.array([len(x) for x in found], pa.int32()), bits], names=["width", "height", "band", "n", "pixels", "bits"])
 
     def boxed(frame: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         first = frame.iloc[0]
         out = {"width": first.width, "height": first.height, "n": first.n, "reason": "unreadable", "x": None, "y": None, "w": None, "h": None}
         if first.n >= least:
@@ -199,8 +214,8 @@ def overlay_free_boxes(pictures: DataFrame, *, sample: int = 300, least: int = 3
             out |= {"reason": "ok" if found else "no_content"} | dict(zip("xywh", found or [None] * 4))
         return pd.DataFrame([out]).astype({c: "Int32" for c in "xywh"})
 
-    masks = materialise(sums.mapInArrow(flags, "width int, height int, band int, n long, pixels int, bits binary"), "frame-flags")
-    found = masks.groupBy(*keys).applyInPandas(boxed, "width int, height int, n long, reason string, x int, y int, w int, h int")  # one bit a pixel
+    masks = sums.mapInArrow(flags, "width int, height int, band int, n long, pixels int, bits binary")  # one bit a pixel
+    found = materialise(masks.groupBy(*keys).applyInPandas(boxed, "width int, height int, n long, reason string, x int, y int, w int, h int"), "frame-boxes")
     told = counts.join(found, keys, "left")
     few = F.col("frames") < least
     reason = F.when(few, "too_few_frames").otherwise(F.coalesce("reason", F.lit("unreadable")))
@@ -217,6 +232,8 @@ def view_rows(pictures: DataFrame, *, number: int, train: bool, seed: int, size:
     rows = pictures.withColumn("__id", F.col(f"`{id_col}`"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for frame in frames:
             for key, row in zip(frame["__id"], frame.itertuples()):
                 image = _decoded(row)

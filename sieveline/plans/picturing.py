@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.config import Curation
-from sieveline.functions import images as I
+from sieveline.functions.batches import grouped
 from sieveline.operators import pictures as P
 from sieveline.plans.tables import table
 
@@ -35,14 +35,19 @@ def drawn(vector: np.ndarray, label: int) -> np.ndarray:
 def pictures(spark, sf) -> DataFrame:
     """(vec_id, path, width, height, channels, data, decodable) of every row of ``embeddings``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for vec_id, vector, label in frame.itertuples(index=False):
-                image, fine = drawn(vector, label), vec_id % 50 != 3
-                yield pd.DataFrame({"vec_id": [vec_id], "path": [f"{vec_id:08d}.png"], "width": [image.shape[1]], "height": [image.shape[0]], "channels": [3], "data": [image.tobytes() if fine else None], "decodable": [fine]})
+    names = ["vec_id", "path", "width", "height", "channels", "data", "decodable"]
+    kinds = ["long", "string", "int", "int", "int", "binary", "boolean"]
+
+    def one(vec_id: int, vector: np.ndarray, label: int) -> tuple:
+        image, fine = drawn(vector, label), vec_id % 50 != 3
+        return vec_id, f"{vec_id:08d}.png", image.shape[1], image.shape[0], 3, image.tobytes() if fine else None, fine
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (one(i.as_py(), v.values.to_numpy(zero_copy_only=False), n.as_py()) for batch in batches for i, v, n in zip(*batch.columns))
+        return grouped(rows, names, kinds)
 
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    return rows.mapInPandas(run, "vec_id long, path string, width int, height int, channels int, data binary, decodable boolean")
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
 def frame_boxes(spark, sf):

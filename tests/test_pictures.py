@@ -126,3 +126,27 @@ def test_pictures_reach_workers_in_small_batches(spark):
         made(shown)
         sizes = [r.n for r in shown.mapInArrow(batch_bytes, "n long").collect()]
         assert len(sizes) > 1 and max(sizes) < 2 * BATCH_BYTES
+
+
+def test_pictures_are_made_three_times_for_boxes_and_crops(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    shown = spark.range(0, 80, 1, 2).selectExpr("cast(id AS string) AS path", "20 AS width", "20 AS height", "3 AS channels", "unhex(repeat(hex(40 + 4 * (id % 40)), 1200)) AS data", "true AS decodable")
+    shown = shown.mapInArrow(counted, shown.schema)
+    boxes = P.overlay_free_boxes(shown, pad=0).where("reason = 'ok'").select("width", "height", "x", "y", "w", "h")
+    rows = P.processed(shown, boxes, size=8, contrast=None).collect()
+    assert len(rows) == 80 and all(r.written and r.boxed and len(r.data) == 192 for r in rows)
+    assert made.value == 3 * 80
+
+
+def test_pictures_need_no_pandas_in_workers(spark, tmp_path):
+    import subprocess
+    import sys
+
+    script = "import sys; import sieveline.plans.picturing, sieveline.sources.pictures; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", script]).returncode == 0
