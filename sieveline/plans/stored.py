@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.functions.batches import small_batches
+from sieveline.functions.batches import grouped, small_batches
 from sieveline.operators import close, curate as C
 from sieveline.operators.graph import components
 from sieveline.plans.curation import GROUPS, _codes, _docs
@@ -33,16 +33,18 @@ def stored_pictures(spark, sf):
     found = read_pictures(spark, root, ["all"]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("data").alias("got"))
     rows = rows.select("vec_id", name.alias("name"), "data").join(told, "name").join(found, F.col("name") == F.col("file"), "left")
 
-    def compared(frames):
+    names, kinds = ["vec_id", "written", "width", "height", "close"], ["long", "boolean", "int", "int", "boolean"]
+
+    def compared(batches):
         import numpy as np
-        import pandas as pd
 
-        for frame in frames:
-            whole = [a is not None and b is not None and len(a) == len(b) for a, b in zip(frame["data"], frame["got"])]
-            near = [w and bool(np.abs(np.frombuffer(a, np.uint8).astype(int) - np.frombuffer(b, np.uint8)).mean() < 4) for w, a, b in zip(whole, frame["data"], frame["got"])]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "written": frame["written"], "width": frame["w"].astype("Int32"), "height": frame["h"].astype("Int32"), "close": near})
+        def near(a, b):
+            return a is not None and b is not None and len(a) == len(b) and bool(np.abs(np.frombuffer(a, np.uint8).astype(int) - np.frombuffer(b, np.uint8)).mean() < 4)
+
+        told = ((*(x.as_py() for x in row), near(a.as_buffer(), b.as_buffer())) for batch in batches for *row, a, b in zip(*batch.columns))
+        return grouped(told, names, kinds)
 
-    return rows.select("vec_id", "written", "w", "h", "data", "got").mapInPandas(compared, "vec_id long, written boolean, width int, height int, close boolean")
+    return rows.select("vec_id", "written", "w", "h", "data", "got").mapInArrow(compared, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
 def stored_vectors(spark, sf):

@@ -150,3 +150,18 @@ def test_vectors_written_and_read_back(spark, tmp_path):
             arrays.write_rows(spark.createDataFrame(bad, df.schema), str(tmp_path / "bad"), "v")
     arrays.write_rows(df.limit(0), str(tmp_path / "empty"), "v")
     assert [p.name for p in tmp_path.iterdir() if p.name != "out"] == ["empty"]
+
+
+def test_stored_pictures_meet_in_arrow_batches(spark, tmp_path, capsys):
+    from sieveline.plans.stored import stored_pictures
+
+    r = np.random.default_rng(5)
+    rows = [(k, r.normal(0, 1, 64).tolist(), k % 3) for k in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = stored_pictures(spark, str(tmp_path))
+    made.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    got = {x.vec_id: x for x in made.collect()}
+    side = lambda k: 8 * (6 + k % 3) + 48
+    assert {k: tuple(x)[1:] for k, x in got.items()} == {k: (True, side(k), side(k), True) if k % 50 != 3 else (False, None, None, False) for k in range(60)}
