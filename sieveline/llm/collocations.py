@@ -26,8 +26,8 @@ from sieveline.sources.scratch import materialise, rekeyed
 U64 = np.uint64
 #: Buckets of a pass, as bits, and of a segment, in which counts are merged.
 BITS, SEGMENT = 24, 14
-#: Ways that the counts of a segment are first merged in, and rows of counts that a task holds.
-SALTS, HELD = 64, 500_000
+#: Ways that the counts of a segment are first merged in, tasks that do it, and rows of counts that a task holds.
+SALTS, MERGERS, HELD = 64, 16, 500_000
 #: What ends a piece (fixed).
 END_OF_PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
 LOWER = np.arange(256, dtype=np.uint8)
@@ -233,28 +233,38 @@ def one_pass(k: int, last: bool, least: int, known: Callable[[], tuple[np.ndarra
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each segment and salt: the sum of its counts, up to ``least``."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for segment, salt, counts in zip(*(batch.column(c).to_pylist() for c in ("segment", "salt", "counts"))):
+            found = expanded(counts)
+            if (segment, salt) in held:
+                found = np.minimum(found.astype(np.uint16) + held[segment, salt], least).astype(np.uint8)
+            held[segment, salt] = found
+    rows = [(*key, squeezed(v)) for key, v in held.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["segment", "salt", "counts"])
+
+
+def salted_segments(emitted: DataFrame, least: int) -> DataFrame:
+    """(segment, salt, counts): the counts of segments, merged in ``SALTS`` ways.
+
+    The number of tasks is fixed, so Spark doesn't join tasks whose packed counts
+    are few: unpacked, all segments and salts take a gigabyte, of which a task holds about 64 MB.
+    """
+    segments = emitted.where("segment IS NOT NULL").select("segment", "salt", "counts")
+    return segments.repartition(MERGERS, "segment", "salt").mapInArrow(lambda b: _summed(b, least), "segment int, salt int, counts binary")
+
+
 def merged_buckets(emitted: DataFrame, least: int) -> np.ndarray:
     """The bitmap of the buckets that reach ``least``; counts are merged in ``SALTS`` ways, then in one."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for segment, salt, counts in zip(*(batch.column(c).to_pylist() for c in ("segment", "salt", "counts"))):
-                found = expanded(counts).astype(np.uint16)
-                if (segment, salt) in held:
-                    found += held[segment, salt]
-                held[segment, salt] = np.minimum(found, least)
-        rows = [(s, squeezed(v.astype(np.uint8))) for (s, _), v in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["segment", "salt", "counts"])
-
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in summed(batches):
+        for batch in _summed(batches, least):
             bits = [np.packbits(expanded(x) >= least).tobytes() for x in batch.column("counts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], names=["segment", "bits"])
 
-    kind = "segment int, salt int, counts binary"
-    segments = emitted.where("segment IS NOT NULL").select("segment", "salt", "counts")
-    once = segments.repartition("segment", "salt").mapInArrow(summed, kind)
+    once = salted_segments(emitted, least).withColumn("salt", F.lit(0))
     rows = once.repartition("segment").mapInArrow(flagged, "segment int, bits binary").collect()  # 2 MB at most
     out = np.zeros((1 << (BITS - SEGMENT), 1 << (SEGMENT - 3)), np.uint8)
     for r in rows:

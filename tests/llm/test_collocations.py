@@ -94,3 +94,20 @@ def test_counts_are_handed_out_when_they_are_many(monkeypatch):
         for x in b.to_pylist():
             total[x["phrase"]] += x["c"]
     assert sum(total.values()) == 200 and tally.rows < 100
+
+
+def test_no_task_unpacks_many_segments(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    least, one = 100, np.zeros(1 << C.SEGMENT, np.uint8)
+    one[5], one[7] = 60, 2
+    packed = F.lit(C.squeezed(one))
+    rows = spark.range(64 * C.SALTS).select(F.lit(None).cast("string").alias("phrase"), (F.col("id") % 64).cast("int").alias("segment"), F.floor(F.col("id") / 64).cast("int").alias("salt"), packed.alias("counts"))
+    made = C.salted_segments(rows.where("salt < 2").union(rows), least)
+    # Packed they are a few bytes each; still they stay in as many tasks.
+    held = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count("salt").alias("n")).collect()]
+    assert sum(held) == 64 * C.SALTS and max(held) <= 2 * 64 * C.SALTS / C.MERGERS
+    found = np.flatnonzero(np.unpackbits(C.merged_buckets(rows.where("salt < 2"), least)))
+    assert found.tolist() == [s * (1 << C.SEGMENT) + 5 for s in range(64)]
+    assert not C.merged_buckets(rows.where("salt < 1"), least).any()
