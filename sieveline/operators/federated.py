@@ -394,17 +394,26 @@ def train(
     if validation is not None:
         y = F.col(f"`{label}`").isin(list(abnormal)).cast("int")
         validation = materialise(validation.where(F.col(f"`{vector}`").isNotNull()).select(doubles(F.col(f"`{vector}`")).alias("v"), y.alias("y")), "fit-validation")
-    history, spent = [], dict.fromkeys(fit.methods, 0.0)
+    # Heads of many rounds are validated together: states of ``STATES_AT_ONCE`` bytes, or the last ones.
+    losses: dict[int, dict[str, float]] = {}
+    held: dict[tuple, State] = {}
+    aucs: dict[tuple, float | None] = {}
     for number in range(1, cfg.rounds + 1 if fit.clients else 1):
-        losses = fit.round(number)
-        aucs = head_aucs(validation, {(m, c): s for m in fit.methods for c, s in fit.heads(m).items()}, abnormal) if validation is not None else {}
+        losses[number] = fit.round(number)
+        if validation is not None:
+            held |= {(number, m, c): dict(s) for m in fit.methods for c, s in fit.heads(m).items()}
+            if sum(v.nbytes for s in held.values() for v in s.values()) >= STATES_AT_ONCE:
+                aucs, held = aucs | head_aucs(validation, held, abnormal), {}
+    aucs |= head_aucs(validation, held, abnormal) if held else {}
+    history, spent = [], dict.fromkeys(fit.methods, 0.0)
+    for number, loss in losses.items():
         for m in fit.methods:
             alone = m in ("centralized", "local")
             mb = 0.0 if alone else payload_bytes(fit.shared[m], m, cfg) * len(fit.clients) * 2 / 2**20
             spent[m] += mb
-            own = [aucs.get((m, c)) for c in fit.heads(m)]
+            own = [aucs.get((number, m, c)) for c in fit.heads(m)]
             auc = None if not own or None in own else float(np.mean(own))
-            history.append((m, number, losses[m], auc, mb, spent[m]))
+            history.append((m, number, loss[m], auc, mb, spent[m]))
     return fit, history
 
 
@@ -425,7 +434,7 @@ def _chunks(heads: dict) -> Iterator[list[tuple]]:
         yield held
 
 
-def head_aucs(rows: DataFrame, heads: dict[Key, State], abnormal: Sequence[int]) -> dict[Key, float | None]:
+def head_aucs(rows: DataFrame, heads: dict[tuple, State], abnormal: Sequence[int]) -> dict[tuple, float | None]:
     """AUC of every head's chance of the abnormal classes on (v, y) rows."""
     keys = list(heads)
     number = {k: n for n, k in enumerate(keys)}

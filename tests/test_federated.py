@@ -221,3 +221,19 @@ def test_rows_are_worked_on_a_few_at_a_time():
     batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + n), pa.int64())], names=["x"]) for k, n in ((0, 1300), (1300, 0), (1300, 512), (1812, 7))]
     parts = list(FED._slices(iter(batches)))
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1819)) and max(map(len, parts)) == FED.ROWS_AT_ONCE
+
+
+def test_rounds_are_validated_together(spark, monkeypatch):
+    df, cfg = frame(spark, data(120)), replace(CFG, rounds=3, inner=1)
+    asked, real = [], FED.head_aucs
+    monkeypatch.setattr(FED, "head_aucs", lambda rows, heads, abnormal: asked.append(len(heads)) or real(rows, heads, abnormal))
+
+    def run():
+        asked.clear()
+        return FED.train(df, client="c", vector="v", label="y", id_col="id", methods=("fedavg", "fedper"), cfg=cfg, validation=df.where("id % 3 = 0"), abnormal=(0,))[1]
+
+    together = run()
+    assert len(asked) == 1 and [h[1] for h in together] == [1, 1, 2, 2, 3, 3]
+    monkeypatch.setattr(FED, "STATES_AT_ONCE", 1)
+    apart = run()
+    assert len(asked) == 3 and [h[3] for h in apart] == [h[3] for h in together] and len({h[3] for h in together}) > 2
