@@ -15,6 +15,7 @@ counts of its distinct words, so words are aggregated before any exchange.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from sieveline.sources.scratch import materialise
 F32 = np.float32
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
-#: Places of a window that are scored and those before them; windows worked on at once by the attention and by the slots.
+#: Places of a window that are scored and those before them; windows scored at once by the attention and by the groups.
 TOLD, BEFORE, STEP, LONG = 16, 8, 256, 2048
 SPAN = BEFORE + TOLD
 #: Width of the model and of its hidden layer, random directions for neighbours on either side.
@@ -87,7 +88,7 @@ def blocks_of(docs: DataFrame, tokenizer: str) -> DataFrame:
             words, code, sizes = split_words(texts)
             mark = np.array(train, bool)
             counts = np.bincount(code[np.repeat(mark, sizes)], minlength=len(words))
-            pieces, length = table.each(words.to_pylist())
+            pieces, length = table.each(words)
             row = {
                 "block": (TaskContext.get().partitionId() << 32) + number,
                 "ids": ids,
@@ -156,11 +157,14 @@ def windows(ids: np.ndarray, sizes: np.ndarray, begin: int, pad: int, end: int)
 
 DISTANCE = BEFORE + np.arange(TOLD)[:, None] - np.arange(SPAN)
 CAUSAL = np.where(DISTANCE < 0, F32(-1e4), F32(0))
-ONE_OF = np.eye(CLASSES + 2, dtype=F32)
+SCALE = F32(WIDTH**-0.5)
+#: Which columns are told together: those of all places of a window, and those of groups and of slots.
+EVERY, HEADS = np.ones((SPAN, 1), F32), np.repeat(np.eye(2, dtype=F32), [CLASSES, SLOTS], 0)
 SHAPES = {
     "emb": (CLASSES + 2, WIDTH), "near": (2 * SKETCH, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH),
     "far": (SPAN,), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "w3": (GROUPS, HIDDEN, SLOTS),
 }
+EMB_AT = np.arange(np.prod(SHAPES["emb"])).reshape(SHAPES["emb"])
 
 
 def first_parameters(seed: int = 13) -> dict[str, np.ndarray]:
@@ -177,7 +181,7 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
     sizes = [int(np.prod(s)) for s in SHAPES.values()]
-    return {k: part.reshape(s).astype(F32) for (k, s), part in zip(SHAPES.items(), np.split(x, np.cumsum(sizes)[:-1]))}
+    return {k: part.reshape(s).astype(F32, copy=False) for (k, s), part in zip(SHAPES.items(), np.split(x, np.cumsum(sizes)[:-1]))}
 
 
 class Vocabulary:
@@ -237,13 +241,23 @@ class Vocabulary:
             told = np.log(slots / np.maximum(slots.sum(2, keepdims=True), 1e-9))
             self.next_slot = np.ascontiguousarray(np.maximum(told, -1e4).transpose(1, 0, 2)).astype(F32)  # by group, then by the group before
 
-    def slotted(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the targets that have a slot, group by group, where each group begins among them, and their slots."""
-        goal = np.where(target >= 0, self.goal[target], np.int16(GROUPS))
+    def by_group(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the targets, group by group, and where each group begins among them; those without a slot are last."""
+        goal = np.where(target >= 0, self.goal.take(target), np.int16(CLASSES))
         order = np.argsort(goal, kind="stable")
-        ends = np.searchsorted(goal[order], np.arange(GROUPS + 1))
-        order = order[: ends[-1]]
-        return order, ends, self.slot[target[order]]
+        ends = np.searchsorted(goal.take(order), np.arange(CLASSES + 1))
+        return order[: ends[-1]], ends
+
+
+def few_rows(ends: np.ndarray, least: int = 1024) -> Iterator[tuple[slice, list[tuple[int, slice]]]]:
+    """Groups that lie together in about ``least`` rows, which fit a core's own memory: their rows, and those of each among them."""
+    ends, parts, first = ends.tolist(), [], 0
+    for one, (begin, end) in enumerate(pairwise(ends)):
+        if end > begin:
+            parts.append((one, slice(begin - first, end - first)))
+        if parts and (end - first >= least or end == ends[-1]):
+            yield slice(first, end), parts
+            parts, first = [], end
 
 
 def groups(x: np.ndarray, weight: np.ndarray, rounds: int = 20) -> np.ndarray:
@@ -271,83 +285,110 @@ class Network:
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Summed loss over the targets, and the gradient of its mean."""
-        p, cls, near = self.p, self.of.cls.take(inputs), self.of.near.take(inputs, 0)
-        scale = F32(WIDTH**-0.5)
-        x = p["emb"][cls] + near @ p["near"]
-        x2 = x[:, BEFORE:]
-        q, k, v = x2 @ p["q"] * scale, x @ p["k"], x @ p["v"]
+        p, of, shape = self.p, self.of, (len(inputs), SPAN, WIDTH)
+        cls, near = of.cls.take(inputs.reshape(-1)), of.near.take(inputs.reshape(-1), 0)
+        x = near @ p["near"]
+        x += p["emb"].take(cls, 0)
+        x2 = x.reshape(shape)[:, BEFORE:].reshape(-1, WIDTH)
+        gives, asks = np.concatenate([p["k"], p["v"]], 1), np.concatenate([p["q"] * SCALE, p["r"]], 1)
+        kv, qr = (x @ gives).reshape(*shape[:2], -1), (x2 @ asks).reshape(len(inputs), TOLD, -1)
+        k, v, q = kv[..., :WIDTH], kv[..., WIDTH:], qr[..., :WIDTH]
         a = self.attend(q, k, inputs)
         o = a @ v
-        h = x2 @ p["r"] + o
-        z = h @ p["w1"] + p["b1"]
-        g = np.maximum(z, 0)
-        two = lambda m: m.reshape(-1, m.shape[-1])
-        flat_g, target, last = two(g), target.reshape(-1), inputs[:, BEFORE:].reshape(-1)
-        row = np.arange(len(target))
-        dy = shares(flat_g @ p["w2"] + self.of.next_group.take(last, 0))
-        live = target >= 0
-        goal = self.of.goal[target]
-        n = max(int(live.sum()), 1)
-        loss = -np.log(np.maximum(dy[row, goal][live], 1e-30)).sum(dtype=float)
-        dy[row, goal] -= 1
-        dy *= (live / F32(n))[:, None].astype(F32)
-        d = {"w2": flat_g.T @ dy, "w3": np.zeros_like(p["w3"])}
-        flat_dg = dy @ p["w2"].T
-        order, ends, slot = self.of.slotted(target)
-        sorted_g, bias = flat_g.take(order, 0), self.of.next_slot.reshape(-1, SLOTS)
-        y = bias.take(goal[order] * np.int64(CLASSES + 2) + self.of.cls[last[order]], 0)
-        parts = [(one, slice(*ends[one : one + 2])) for one in np.flatnonzero(np.diff(ends))]
-        for one, some in parts:
-            y[some] += sorted_g[some] @ p["w3"][one]
-        y, row = shares(y), row[: len(order)]
-        loss -= np.log(np.maximum(y[row, slot], 1e-30)).sum(dtype=float)
-        y[row, slot] -= 1
-        y *= F32(1 / n)
-        sorted_dg = np.empty_like(sorted_g)
-        for one, some in parts:
-            d["w3"][one] = sorted_g[some].T @ y[some]
-            sorted_dg[some] = y[some] @ p["w3"][one].T
-        flat_dg[order] += sorted_dg
-        dg = flat_dg.reshape(g.shape)
-        dz = dg * (z > 0)
-        d |= {"w1": two(h).T @ two(dz), "b1": two(dz).sum(0)}
-        dh = dz @ p["w1"].T
-        d["r"] = two(x2).T @ two(dh)
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
+        target = target.reshape(-1)
+        order, ends = of.by_group(target)
+        target, last, n = target.take(order), inputs[:, BEFORE:].reshape(-1).take(order), max(len(order), 1)
+        h = np.ones((len(order), WIDTH + 1), F32)  # the last column is for what is added
+        h[:, :WIDTH] = (qr[..., WIDTH:] + o).reshape(-1, WIDTH).take(order, 0)
+        g = h @ np.concatenate([p["w1"], p["b1"][None]])
+        np.maximum(g, 0, out=g)
+        heads, loss, dg = self.heads(), 0.0, np.empty_like(g)
+        d_heads = np.zeros_like(heads)
+        for some, parts in few_rows(ends):
+            y, at = self.told(g[some], heads, parts, last[some], target[some])
+            y = shares(y, HEADS, n)
+            y[max(ends[GROUPS] - some.start, 0) :, CLASSES:] = 0  # these have no slot
+            share = y.reshape(-1).take(at)
+            loss -= np.log(np.maximum(share * F32(n), 1e-30)).sum(dtype=float)
+            y.reshape(-1)[at] = share - F32(1 / n)
+            rows, d_rows = g[some], dg[some]
+            for one, part in parts:
+                np.matmul(rows[part].T, y[part], out=d_heads[one])
+                np.matmul(y[part], heads[one].T, out=d_rows[part])
+        d = {"w2": d_heads[..., :CLASSES].sum(0), "w3": d_heads[:GROUPS, :, CLASSES:]}
+        dg *= g > 0
+        d_w1 = h.T @ dg
+        d |= {"w1": d_w1[:WIDTH], "b1": d_w1[WIDTH]}
+        dh = np.zeros((len(inputs) * TOLD, WIDTH), F32)
+        dh[order] = dg @ p["w1"].T
+        dh = dh.reshape(len(inputs), TOLD, WIDTH)
+        d_kv, d_qr = np.empty_like(kv), np.empty_like(qr)
+        np.matmul(a.transpose(0, 2, 1), dh, out=d_kv[..., WIDTH:])
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= ((dh * o).reshape(-1, WIDTH) @ np.ones(WIDTH, F32)).reshape(*ds.shape[:2], 1)  # each row's mean of ds by its shares
+        ds *= a
         d["far"] = np.bincount(np.maximum(DISTANCE, 0).reshape(-1), (ds.sum(0) * (DISTANCE >= 0)).reshape(-1), SPAN).astype(F32)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        d |= {"q": two(x2).T @ two(dq), "k": two(x).T @ two(dk), "v": two(x).T @ two(dv)}
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, BEFORE:] += dq @ p["q"].T + dh @ p["r"].T
-        d["near"] = two(near).T @ two(dx)
-        d["emb"] = ONE_OF.take(cls.reshape(-1), 0).T @ two(dx)
+        np.matmul(ds.transpose(0, 2, 1), q, out=d_kv[..., :WIDTH])
+        np.matmul(ds, k, out=d_qr[..., :WIDTH])
+        d_qr[..., WIDTH:] = dh
+        d_kv, d_qr = d_kv.reshape(-1, 2 * WIDTH), d_qr.reshape(-1, 2 * WIDTH)
+        d["k"], d["v"] = np.split(x.T @ d_kv, 2, 1)
+        d["q"], d["r"] = np.split(x2.T @ d_qr, 2, 1)
+        d["q"] = d["q"] * SCALE
+        dx = d_kv @ gives.T
+        dx.reshape(shape)[:, BEFORE:] += (d_qr @ asks.T).reshape(len(inputs), TOLD, WIDTH)
+        d["near"] = near.T @ dx
+        d["emb"] = np.bincount(EMB_AT.take(cls, 0).reshape(-1), dx.reshape(-1), EMB_AT.size).reshape(EMB_AT.shape).astype(F32)
         return loss, d
 
+    def heads(self) -> np.ndarray:
+        """For each group as a target the weights of all groups and of its slots."""
+        heads = np.zeros((CLASSES, HIDDEN, CLASSES + SLOTS), F32)
+        heads[..., :CLASSES], heads[:GROUPS, :, CLASSES:] = self.p["w2"], self.p["w3"]
+        return heads
+
+    def told(self, g: np.ndarray, heads: np.ndarray, parts: list[tuple[int, slice]], last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is told of groups and slots from hidden rows that lie group by group, and the flat places of the targets' groups and slots."""
+        of, y = self.of, np.empty((len(g), CLASSES + SLOTS), F32)
+        for one, part in parts:
+            np.matmul(g[part], heads[one], out=y[part])
+        goal, slot = of.goal.take(target), of.slot.take(target)
+        n = np.searchsorted(goal, GROUPS)  # those that have a slot
+        y[:, :CLASSES] += of.next_group.take(last, 0)
+        y[:n, CLASSES:] += of.next_slot.reshape(-1, SLOTS).take(goal[:n] * np.int64(CLASSES + 2) + of.cls.take(last[:n]), 0)
+        at = np.arange(len(g)) * (CLASSES + SLOTS)
+        return y, np.concatenate([at + goal, at[:n] + (CLASSES + slot[:n])])
+
     def attend(self, q: np.ndarray, k: np.ndarray, inputs: np.ndarray) -> np.ndarray:
         s = q @ k.transpose(0, 2, 1)
         s += self.p["far"][np.maximum(DISTANCE, 0)] + CAUSAL
-        s += np.where(inputs == self.of.pad, F32(-1e4), F32(0))[:, None, :]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        return s
+        # Padding behind a text's end is seen from dead places only.
+        padded = np.flatnonzero(inputs[:, 0] == self.of.pad)
+        s[padded] += np.where(inputs[padded] == self.of.pad, F32(-1e4), F32(0))[:, None, :]
+        return shares(s.reshape(-1, SPAN), EVERY).reshape(s.shape)
 
     def fit(self, seq: np.ndarray, goal: np.ndarray, start: np.ndarray, *, batch: int, rate: float) -> None:
         """A pass of Adam over the windows that begin at ``start``; the rate falls to a tenth."""
-        first = {k: np.zeros_like(x) for k, x in self.p.items()}
-        second = {k: np.zeros_like(x) for k, x in self.p.items()}
+        now = flat(self.p)
+        self.p = shaped(now)  # views
+        first, second = np.zeros_like(now), np.zeros_like(now)
         steps = -(-len(start) // batch)
         for t in range(steps):
             where = start[t * batch : (t + 1) * batch, None] + np.arange(SPAN)
-            _, d = self.gradient(seq.take(where), goal.take(where[:, BEFORE:]))
-            step = rate * (1 - 0.9 * t / steps)
-            for k, g in d.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                m, s = first[k] / F32(1 - 0.9 ** (t + 1)), second[k] / F32(1 - 0.99 ** (t + 1))
-                self.p[k] = (self.p[k] - F32(step) * m / (np.sqrt(s) + F32(1e-6))).astype(F32)
+            g = flat(self.gradient(seq.take(where), goal.take(where[:, BEFORE:]))[1])
+            step = rate * (1 - 0.9 * t / steps) / (1 - 0.9 ** (t + 1))
+            first *= F32(0.9)
+            first += F32(0.1) * g
+            second *= F32(0.99)
+            np.multiply(g, g, out=g)
+            g *= F32(0.01)
+            second += g
+            np.sqrt(second, out=g)
+            g *= F32((1 - 0.99 ** (t + 1)) ** -0.5)
+            g += F32(1e-6)
+            np.divide(first, g, out=g)
+            g *= F32(step)
+            now -= g
 
     def tables(self) -> None:
         """What the layers give for each id, worked out once; a last column masks padding and sums weights."""
@@ -357,6 +398,7 @@ class Network:
         mask[self.of.pad] = -1e4
         self.asks = np.concatenate(ask, 1)
         self.gives = np.concatenate([x @ p["k"], mask, x @ p["v"], np.ones_like(mask)], 1)
+        self.weights = self.heads()
         self.place = p["far"][np.maximum(DISTANCE, 0)] + CAUSAL
 
     def log_chances(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -369,10 +411,10 @@ class Network:
         return out
 
     def windows_log(self, seq: np.ndarray, start: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Of the targets of each window, together; slots are told for all windows group by group."""
-        p, span = self.p, np.arange(SPAN)
+        """Of the targets of each window, together; they are told for all windows group by group."""
+        p, span, hidden = self.p, np.arange(SPAN), np.empty((len(start), TOLD, WIDTH), F32)
         told = start[:, None] + span[BEFORE:]
-        log, hidden, targets, before = [], [], goal[told].reshape(-1), self.of.cls[seq[told]].reshape(-1)
+        targets, last = goal.take(told.reshape(-1)), seq.take(told.reshape(-1))
         for at in range(0, len(start), STEP):
             inputs = seq.take(start[at : at + STEP, None] + span)
             ask, give = self.asks.take(inputs[:, BEFORE:], 0), self.gives.take(inputs, 0)
@@ -382,46 +424,48 @@ class Network:
                 s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
             h = s @ give[..., WIDTH + 1 :]
-            h = h[..., :WIDTH] / h[..., WIDTH:]
-            h += ask[..., WIDTH + 1 :]
-            g = h.reshape(-1, WIDTH) @ p["w1"] + p["b1"]
+            part = hidden[at : at + STEP]
+            np.divide(h[..., :WIDTH], h[..., WIDTH:], out=part)
+            part += ask[..., WIDTH + 1 :]
+        order, ends = self.of.by_group(targets)
+        hidden, targets, last = hidden.reshape(-1, WIDTH).take(order, 0), targets.take(order), last.take(order)
+        log = self.of.within.take(targets)
+        for some, parts in few_rows(ends):
+            g = hidden[some] @ p["w1"]
+            g += p["b1"]
             np.maximum(g, 0, out=g)
-            y = g @ p["w2"]
-            y += self.of.next_group.take(inputs[:, BEFORE:].reshape(-1), 0)
-            log.append(log_share(y, self.of.goal[targets[at * TOLD : (at + STEP) * TOLD]]))
-            hidden.append(g)
-        live, g = targets >= 0, np.concatenate(hidden)
-        total = np.where(live, np.concatenate(log) + self.of.within[targets], 0.0)
-        order, ends, slots = self.of.slotted(targets)
-        for one in np.flatnonzero(np.diff(ends)):
-            part = slice(*ends[one : one + 2])
-            some, slot = order[part], slots[part]
-            y = g[some] @ p["w3"][one]
-            y += self.of.next_slot[one].take(before[some], 0)
-            total[some] += log_share(y, slot)
-        return total.reshape(-1, TOLD).sum(1)
-
-
-def log_share(y: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of the rows of ``y``, which is used up, at one place of each."""
-    told = y[np.arange(len(y)), which].astype(float)
-    top = y.max()
-    if top > 60:  # beyond what sums of exponentials hold
-        top = y.max(-1, keepdims=True)
-        told -= top[:, 0]
-        y -= top
+            y, at = self.told(g, self.weights, parts, last[some], targets[some])
+            log[some] += log_shares(y, at)
+        return np.bincount(order // TOLD, log, len(start))
+
+
+def log_shares(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row of ``y``, which is used up, the logarithms of the softmax of groups and of slots at the flat places ``at``, together;
+    first rows have a place among the slots."""
+    told, n = y.reshape(-1).take(at).astype(float), len(y)
+    if y.max() > 60:  # beyond what sums of exponentials hold
+        for k, part in enumerate(HEADS.T > 0):
+            top = y[:, part].max(-1)
+            y[:, part] -= top[:, None]
+            told[k * n : (k + 1) * n] -= top[: len(told) - k * n]
     np.exp(y, out=y)
-    return told - np.log(y @ np.ones(y.shape[1], F32))
+    told -= np.log(y @ HEADS).T.reshape(-1)[: len(told)]
+    told[: len(told) - n] += told[n:]
+    return told[:n]
 
 
-def shares(y: np.ndarray) -> np.ndarray:
-    """The softmax of the rows of ``y``."""
+def shares(y: np.ndarray, parts: np.ndarray, n: int = 1) -> np.ndarray:
+    """The softmax of the parts of the rows of ``y``, over ``n``; a column of ``parts`` marks those of one part."""
     e = np.exp(y)
-    total = e @ np.ones(y.shape[1], F32)
+    total = e @ parts
     if len(y) and not 1e-30 < total.min() <= total.max() < 1e30:  # beyond what sums of exponentials hold
-        e = np.exp(y - y.max(-1, keepdims=True))
-        total = e.sum(-1)
-    e /= total[:, None]
+        for k, part in enumerate(parts.T > 0):
+            e[:, part] = np.exp(y[:, part] - y[:, part].max(-1, keepdims=True))
+        total = e @ parts
+    total *= F32(n)
+    ends = np.cumsum(parts.sum(0, dtype=int))
+    for k, end in enumerate(ends):
+        e[:, ends[k - 1] if k else 0 : end] /= total[:, k : k + 1]
     return e
 
 

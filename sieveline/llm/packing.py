@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,10 @@ class WordIds(dict):
         of_char = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(hidden)}
         # A word's end is written as a space, which no chunk holds.
         ranks = {bytes(of_char[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in vocab.items()}
-        self.merge = tiktoken.Encoding("word", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.pairs = tiktoken.Encoding("word", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.merge = self.pairs._core_bpe.encode_single_piece
+        self.ends_word = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends_word[[i for t, i in ranks.items() if t.endswith(b" ")]] = True
         letters = "a-zªµºß-öø-ÿ"
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾{letters}]+").findall
         # Latin-1 without the odd control characters: lower case and pattern are certain there.
@@ -78,20 +82,24 @@ class WordIds(dict):
         self[chunk] = out
         return out
 
-    def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks end to end and how many each has; for chunks that don't repeat, so plain words aren't kept."""
-        out, sizes, merge = array("I"), array("i"), self.merge
-        for chunk in chunks:
-            before = len(out)
-            if chunk.isalpha() and chunk.isascii() and chunk.islower():
-                out.extend(merge(chunk.encode() + b" "))
-            elif chunk[-1] in ",." and chunk[:-1].isalpha() and chunk.isascii() and chunk.islower():
-                out.extend(merge(chunk[:-1].encode() + b" "))
-                out.frombytes(self.part(chunk[-1]))
-            else:
-                out.frombytes(self[chunk])
-            sizes.append(len(out) - before)
-        return np.frombuffer(out, np.uint32), np.frombuffer(sizes, np.int32)
+    def each(self, chunks: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end and how many each has; for chunks that don't repeat.
+        Words of lower-case Latin letters, which may end in a comma or a stop, are merged by one call and aren't kept."""
+        chunks = chunks if isinstance(chunks, pa.Array) else pa.array(chunks, pa.string())
+        easy = pc.match_substring_regex(chunks, "^[a-zß-öø-ÿ]+[,.]?$")
+        words = chunks.filter(easy)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        # A word's end is the last of its ids and of no other's; a comma or a stop is a word of its own.
+        ids = self.pairs.encode_to_numpy(joined.replace(",", " ,").replace(".", " .") + " " * bool(joined), disallowed_special=())
+        parts = 1 + pc.match_substring_regex(words, "[,.]$").to_numpy(zero_copy_only=False)
+        until = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)[np.cumsum(parts)]
+        easy, sizes = easy.to_numpy(zero_copy_only=False), np.empty(len(chunks), np.int32)
+        sizes[easy] = np.diff(until, prepend=0)
+        found = [self[c] for c in chunks.filter(pa.array(~easy)).to_pylist()]
+        sizes[~easy] = [len(x) // 4 for x in found]
+        of_easy, out = np.repeat(easy, sizes), np.empty(sizes.sum(), np.uint32)
+        out[of_easy], out[~of_easy] = ids, np.frombuffer(b"".join(found), np.uint32)
+        return out, sizes
 
     def of(self, text: str) -> bytes:
         if "<|" in text:  # special tokens in a text are found before anything else

@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -162,3 +163,27 @@ def test_words():
     chunks = ["stone", "stone,", "don't", "é", "漢字", "<|endoftext|>", "a1.", "...", "marsh.", "\x1f"]
     ids, sizes = table.each(chunks)
     assert isinstance(table, WordIds) and ids.tobytes() == b"".join(table[c] for c in chunks) and sizes.tolist() == [len(table[c]) // 4 for c in chunks]
+
+
+def test_plain_words_are_merged_by_one_call(monkeypatch):
+    table = word_ids("word_bpe_49k.json")
+    chunks = [*(f"mar{chr(97 + k)}st{c}on{end}" for k in range(26) for c in "aéßz" for end in ("", ",", ".")), "÷", "a..", "x1", "ª,", "漢字"]
+    expected = [table[c] for c in chunks]
+    one_by_one = []
+    monkeypatch.setattr(table, "merge", lambda piece: one_by_one.append(piece) or [])
+    ids, sizes = table.each(chunks)
+    assert one_by_one == [] and ids.tobytes() == b"".join(expected) and sizes.tolist() == [len(x) // 4 for x in expected]
+    assert [x.tolist() for x in table.each([])] == [[], []]
+
+
+def test_gradient_works_in_little_memory():
+    net, r = model(5)
+    seq, at, goal, _ = windows(r.integers(0, net.of.size, 4000).astype(np.int32), np.array([1000, 3000]), net.of.begin, net.of.pad, net.of.end)
+    where = at[:, None] + np.arange(SPAN)
+    inputs, target = seq[where], goal[where[:, BEFORE:]]
+    net.gradient(inputs, target)
+    tracemalloc.start()
+    net.gradient(inputs, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8.5e6  # 9.4e6 when all rows of all groups were told at once
